@@ -5,4 +5,4 @@ from tabsmith.functions.columns import (  # noqa: F401
     numeric_columns,
     row_hash,
 )
-from tabsmith.functions.ranking import hash_rank, ordered_cumsum  # noqa: F401
+from tabsmith.functions.ranking import hash_rank, ordered_cumsum, ordered_rank  # noqa: F401

@@ -66,3 +66,41 @@ def ordered_cumsum(df: DataFrame, order_col: str, sums: dict[str, Column], group
     for n in sums:
         joined = joined.withColumn(n, F.sum(f"__v_{n}").over(wl) + F.col(f"__o_{n}"))
     return joined.drop(b, *[f"__v_{n}" for n in sums], *[f"__o_{n}" for n in sums])
+
+
+def ordered_rank(df: DataFrame, col: str, out: str = "rn", n_buckets: int | None = None,
+                 sample_per_bucket: int = 20, seed: int = 7) -> DataFrame:
+    """Add ``out`` = row_number() over (order by ``col``) for a non-null, unique, sortable column
+    (numbers or strings in code-point order) without a single-task window.
+
+    Bucket bounds are taken from a bounded random sample of the column (about
+    ``sample_per_bucket`` values per bucket); a row's bucket is a pure function of its value.
+    Per-bucket counts become offsets (a small broadcast table) and rows are numbered inside
+    their bucket."""
+    spark = df.sparkSession
+    n = df.count()
+    if n == 0:
+        return df.withColumn(out, F.lit(None).cast("long"))
+    if n_buckets is None:
+        n_buckets = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")) * 4, n // 1000 + 1))
+    frac = min(1.0, sample_per_bucket * n_buckets / n)
+    sample = sorted(r[0] for r in df.select(col).sample(False, frac, seed=seed).collect() if r[0] is not None)
+    bounds = []
+    for i in range(1, n_buckets):
+        if sample:
+            v = sample[min(len(sample) - 1, int(len(sample) * i / n_buckets))]
+            if not bounds or v != bounds[-1]:
+                bounds.append(v)
+    b = "__bucket"
+    if bounds:
+        arr = F.array(*[F.lit(v) for v in bounds])
+        with_b = df.withColumn(b, F.size(F.filter(arr, lambda e: e < F.col(col))))
+    else:
+        with_b = df.withColumn(b, F.lit(0))
+    counts = with_b.groupBy(b).agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # one row per bucket (at most n_buckets rows): a bounded table, so the window and broadcast are cheap
+    offsets = counts.select(b, (F.sum("__n").over(w) - F.col("__n")).alias("__off"))
+    joined = with_b.join(F.broadcast(offsets), on=b, how="inner")
+    wr = Window.partitionBy(b).orderBy(F.col(col))
+    return joined.withColumn(out, (F.row_number().over(wr) + F.col("__off")).cast("long")).drop(b, "__off")

@@ -6,6 +6,7 @@ import importlib
 
 FAMILIES = [
     "tabsmith.plans.profile_queries",
+    "tabsmith.plans.step_queries",
 ]
 
 
