@@ -189,3 +189,24 @@ def complete_rows(df: DataFrame, target: str, label: str = SPLIT_COL) -> DataFra
     """rows with no null in ANY column (features, target, split label) — computed before
     non-numeric columns are discarded, as the reference does."""
     return df.na.drop("any")
+
+
+def target_profile_df(df: DataFrame, targets: Sequence[str]) -> DataFrame:
+    """C03 + C07 as a lazy query: per target the non-null count, exact distinct count, whether a
+    float value is fractional, the detected task and whether stratification is allowed."""
+    parts = []
+    for t in targets:
+        y = q(t)
+        num = isinstance(df.schema[t].dataType, NUMERIC_TYPES)
+        frac = (F.coalesce(F.max(y.cast("double") % 1 != 0), F.lit(False)) if _is_float(df, t) else F.lit(False))
+        nd = F.count_distinct(y)
+        task = (F.when(F.lit(not num), "classification").when(frac, "regression")
+                 .when(nd < 20, "classification").otherwise("regression"))
+        ok = (F.count(y) >= 2) & (nd >= 2) & (nd < 20) & ~frac
+        parts.append(df.agg(F.lit(t).alias("target"), F.count(y).cast("long").alias("n"),
+                            nd.cast("long").alias("n_distinct"), frac.alias("fractional"), task.alias("task"),
+                            ok.alias("stratify_ok")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -7,6 +7,8 @@ import importlib
 FAMILIES = [
     "tabsmith.plans.profile_queries",
     "tabsmith.plans.step_queries",
+    "tabsmith.plans.split_queries",
+    "tabsmith.plans.metric_queries",
 ]
 
 
