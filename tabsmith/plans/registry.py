@@ -9,6 +9,7 @@ FAMILIES = [
     "tabsmith.plans.step_queries",
     "tabsmith.plans.split_queries",
     "tabsmith.plans.metric_queries",
+    "tabsmith.plans.model_queries",
 ]
 
 
