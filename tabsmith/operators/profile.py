@@ -66,7 +66,7 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None, exact: boo
 
 
 def _edge(first: Column, step: Column, last: Column, i: Column, n: int) -> Column:
-    """NumPy ``linspace`` edge i: first + i*step, the last edge exactly ``last``."""
+    """NumPy ``linspace`` edge i: i*step + first, the last edge exactly ``last``."""
     return F.when(i >= n, last).otherwise(i.cast("double") * step + first)
 
 
@@ -74,8 +74,10 @@ def histogram_bins(values: DataFrame, bins: int = 20, group: str = "column", val
                    constant_pad: float = 0.5) -> DataFrame:
     """NumPy-compatible equal-width histogram per group over long (group, value) rows.
 
-    Left-closed bins, the last one closed; a constant group spans [v - pad, v + pad].
-    Returns group, bin, lo, hi, count with every bin present (empty bins count 0)."""
+    Edges are NumPy's ``linspace`` values; bins are left-closed and the last one closed, so a
+    value's bin is the number of interior edges <= value (what NumPy's edge corrections
+    guarantee). A constant group spans [v - pad, v + pad]. Returns group, bin, lo, hi, count
+    with every bin present (empty bins count 0)."""
     v = values.where(F.col(value).isNotNull())
     rng = v.groupBy(group).agg(F.min(value).alias("mn"), F.max(value).alias("mx"))
     rng = rng.select(
@@ -83,26 +85,22 @@ def histogram_bins(values: DataFrame, bins: int = 20, group: str = "column", val
         F.when(F.col("mn") == F.col("mx"), F.col("mn") - constant_pad).otherwise(F.col("mn")).alias("first"),
         F.when(F.col("mn") == F.col("mx"), F.col("mx") + constant_pad).otherwise(F.col("mx")).alias("last"),
     ).withColumn("step", (F.col("last") - F.col("first")) / bins)
+    rng = rng.withColumn("inner", F.transform(F.sequence(F.lit(1), F.lit(max(bins - 1, 1))),
+                                              lambda k: k.cast("double") * F.col("step") + F.col("first"))
+                         if bins > 1 else F.array().cast("array<double>"))
     # one row per group: bounded by the number of columns, so broadcast
-    j = v.join(F.broadcast(rng), on=group)
-    first, last, step, x = F.col("first"), F.col("last"), F.col("step"), F.col(value)
-    i0 = F.floor((x - first) / (last - first) * bins).cast("int")
-    i0 = F.when(i0 >= bins, F.lit(bins - 1)).otherwise(i0)
-    j = j.withColumn("__i", i0)
-    i = F.col("__i")
-    i = F.when(x < _edge(first, step, last, i, bins), i - 1).otherwise(i)
-    j = j.withColumn("__i", i)
-    i = F.col("__i")
-    i = F.when((x >= _edge(first, step, last, i + 1, bins)) & (i != bins - 1), i + 1).otherwise(i)
-    counts = j.select(group, i.alias("bin")).groupBy(group, "bin").agg(F.count(F.lit(1)).alias("count"))
+    j = v.join(F.broadcast(rng.select(group, "inner")), on=group)
+    x = F.col(value)
+    b = F.size(F.filter(F.col("inner"), lambda e: e <= x))
+    counts = j.select(group, b.alias("bin")).groupBy(group, "bin").agg(F.count(F.lit(1)).alias("count"))
     spine = rng.select(group, "first", "last", "step", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     out = spine.join(counts, on=[group, "bin"], how="left")
-    b = F.col("bin")
+    first, last, step, bc = F.col("first"), F.col("last"), F.col("step"), F.col("bin")
     return out.select(
         group,
-        b.alias("bin"),
-        F.round(_edge(first, step, last, b, bins), 4).alias("lo"),
-        F.round(_edge(first, step, last, b + 1, bins), 4).alias("hi"),
+        bc.alias("bin"),
+        F.round(_edge(first, step, last, bc, bins), 4).alias("lo"),
+        F.round(_edge(first, step, last, bc + 1, bins), 4).alias("hi"),
         F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"),
     )
 
@@ -116,25 +114,26 @@ def histogram(df: DataFrame, bins: int = 20, columns: Sequence[str] | None = Non
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, chunk: int = 200) -> DataFrame:
     """Pairwise-complete Pearson r for every ordered pair (diagonal included), 4 dp.
 
-    p(p+1)/2 aggregate expressions in one pass (chunked into several aggregates of at most
-    ``chunk`` expressions each for wide tables), mirrored to the full matrix."""
+    p(p+1)/2 correlations in one pass (chunked into aggregates of at most ``chunk`` pairs for
+    wide tables); the mirrored cell reuses the same aggregate expression, which Catalyst
+    computes once."""
     cols = list(columns) if columns else numeric_columns(df)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     parts = []
     for s in range(0, len(pairs), chunk):
-        block = pairs[s:s + chunk]
-        structs = [F.struct(F.lit(a).alias("col_x"), F.lit(b).alias("col_y"),
-                            pairwise_corr(q(a).cast("double"), q(b).cast("double")).alias("r")) for a, b in block]
+        structs = []
+        for a, b in pairs[s:s + chunk]:
+            r = F.round(pairwise_corr(q(a).cast("double"), q(b).cast("double")), 4)
+            structs.append(F.struct(F.lit(a).alias("col_x"), F.lit(b).alias("col_y"), r.alias("r")))
+            if a != b:
+                structs.append(F.struct(F.lit(b).alias("col_x"), F.lit(a).alias("col_y"), r.alias("r")))
         parts.append(_wide_to_long(df, structs))
     if not parts:
         return df.sparkSession.createDataFrame([], "col_x string, col_y string, r double")
-    upper = parts[0]
+    out = parts[0]
     for p in parts[1:]:
-        upper = upper.unionByName(p)
-    upper = upper.withColumn("r", F.round("r", 4))
-    lower = upper.where(F.col("col_x") != F.col("col_y")).select(
-        F.col("col_y").alias("col_x"), F.col("col_x").alias("col_y"), "r")
-    return upper.unionByName(lower)
+        out = out.unionByName(p)
+    return out
 
 
 def missing_values(df: DataFrame) -> DataFrame:

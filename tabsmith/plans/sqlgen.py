@@ -31,25 +31,21 @@ def long_sql(table: str, cols: Sequence[str], ids: Sequence[str] = (), cast: str
 
 
 def hist_sql(long: str, bins: int, pad: float = 0.5) -> str:
-    """NumPy-compatible equal-width histogram of a long ("column", value) relation."""
+    """NumPy-compatible equal-width histogram of a long ("column", value) relation: the bin of a
+    value is the number of interior linspace edges <= value."""
     n = bins
     return f"""
 WITH lv AS ({long}),
 v AS (SELECT * FROM lv WHERE value IS NOT NULL),
 rng0 AS (SELECT "column", min(value) AS mn, max(value) AS mx FROM v GROUP BY "column"),
-p AS (SELECT "column",
+p0 AS (SELECT "column",
              CASE WHEN mn = mx THEN mn - {pad} ELSE mn END AS f,
-             CASE WHEN mn = mx THEN mx + {pad} ELSE mx END AS l,
-             ((CASE WHEN mn = mx THEN mx + {pad} ELSE mx END) - (CASE WHEN mn = mx THEN mn - {pad} ELSE mn END)) / {n} AS st
+             CASE WHEN mn = mx THEN mx + {pad} ELSE mx END AS l
       FROM rng0),
-b0 AS (SELECT v."column", value, f, l, st,
-              CASE WHEN CAST(floor((value - f) / (l - f) * {n}) AS INTEGER) >= {n} THEN {n - 1}
-                   ELSE CAST(floor((value - f) / (l - f) * {n}) AS INTEGER) END AS i0
-       FROM v JOIN p ON v."column" = p."column"),
-b1 AS (SELECT *, CASE WHEN value < (CASE WHEN i0 >= {n} THEN l ELSE CAST(i0 AS DOUBLE) * st + f END)
-                      THEN i0 - 1 ELSE i0 END AS i1 FROM b0),
-b2 AS (SELECT "column", CASE WHEN value >= (CASE WHEN i1 + 1 >= {n} THEN l ELSE CAST(i1 + 1 AS DOUBLE) * st + f END)
-                              AND i1 <> {n - 1} THEN i1 + 1 ELSE i1 END AS bin FROM b1),
+p AS (SELECT "column", f, l, (l - f) / {n} AS st FROM p0),
+pe AS (SELECT "column", list_transform(range(1, {max(n, 2)}), lambda k: CAST(k AS DOUBLE) * st + f) AS inner_edges FROM p),
+b2 AS (SELECT v."column", CAST(len(list_filter(inner_edges, lambda e: e <= value)) AS INTEGER) AS bin
+       FROM v JOIN pe ON v."column" = pe."column"),
 cnt AS (SELECT "column", bin, count(*) AS c FROM b2 GROUP BY "column", bin),
 spine AS (SELECT "column", f, l, st, CAST(unnest(range(0, {n})) AS INTEGER) AS bin FROM p)
 SELECT s."column" AS "column", s.bin AS bin,
