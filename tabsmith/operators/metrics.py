@@ -151,8 +151,8 @@ def roc_curve(pred: DataFrame, y: str = "y", score: str = "score", positive=1, p
     if drop_intermediate:
         prev = pts.select((F.col("i") + 1).alias("i"), F.col("tps").alias("tp0"), F.col("fps").alias("fp0"))
         nxt = pts.select((F.col("i") - 1).alias("i"), F.col("tps").alias("tp2"), F.col("fps").alias("fp2"))
-        j = pts.join(prev, "i", "left").join(nxt, "i", "left").crossJoin(F.broadcast(tot))
-        keep = ((F.col("i") == F.col("m")) | F.col("tp0").isNull() |
+        j = pts.join(prev, "i", "left").join(nxt, "i", "left")
+        keep = ((F.col("i") == tot.select("m").scalar()) | F.col("tp0").isNull() |
                 ((F.col("fp2") - 2 * F.col("fps") + F.col("fp0")) != 0) | ((F.col("tp2") - 2 * F.col("tps") + F.col("tp0")) != 0))
         # the first distinct threshold is always kept by the prepended (0, 0) point's neighbour rule
         kept = j.where(keep).select("i", "tps", "fps")

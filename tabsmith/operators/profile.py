@@ -281,11 +281,12 @@ def target_numeric(df: DataFrame, target: str, exact: bool = True) -> DataFrame:
 def target_classes(df: DataFrame, target: str) -> DataFrame:
     """Class counts and shares, number of classes, imbalance = max/min count, flag > 3."""
     vc = value_counts(df, [target]).select(F.col("value").alias("class"), "count")
-    tot = vc.agg(F.sum("count").alias("total"), F.count(F.lit(1)).cast("long").alias("n_classes"),
-                 F.max("count").alias("mx"), F.min("count").alias("mn"))
-    imb = F.when(F.col("n_classes") > 1, F.round(F.col("mx") / F.col("mn"), 2)).otherwise(F.lit(1.0))
-    return vc.crossJoin(F.broadcast(tot)).select(
-        "class", "count", F.round(F.col("count") / F.col("total") * 100, 2).alias("pct"), "n_classes",
+    total = vc.agg(F.sum("count")).scalar()
+    n_classes = vc.agg(F.count(F.lit(1)).cast("long")).scalar()
+    imb = F.when(n_classes > 1, F.round(vc.agg(F.max("count")).scalar() / vc.agg(F.min("count")).scalar(), 2)) \
+        .otherwise(F.lit(1.0))
+    return vc.select(
+        "class", "count", F.round(F.col("count") / total * 100, 2).alias("pct"), n_classes.alias("n_classes"),
         imb.alias("imbalance_ratio"), (imb > 3.0).alias("is_imbalanced"))
 
 

@@ -44,9 +44,12 @@ pml AS (SELECT y, 'A' AS class, a / (a + n + r) AS p FROM pm UNION ALL SELECT y,
 
 def _board(s, sf):
     m = M.regression_metrics(preds_reg(s, sf), by="split")
-    tr = m.where("split = 'train'").select(F.col("rmse").alias("train_rmse"), F.col("r2").alias("train_r2"))
-    te = m.where("split = 'test'").select("rmse", "r2")
-    return M.fit_hints(tr.crossJoin(te).withColumn("model", F.lit("quantity_rule")), "regression")
+
+    def pick(split, col):
+        return F.max(F.when(F.col("split") == split, F.col(col)))
+    board = m.agg(pick("train", "rmse").alias("train_rmse"), pick("test", "rmse").alias("rmse"),
+                  pick("train", "r2").alias("train_r2"), pick("test", "r2").alias("r2"))
+    return M.fit_hints(board.withColumn("model", F.lit("quantity_rule")), "regression")
 
 
 QUERIES = {

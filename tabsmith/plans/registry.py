@@ -10,6 +10,7 @@ FAMILIES = [
     "tabsmith.plans.split_queries",
     "tabsmith.plans.metric_queries",
     "tabsmith.plans.model_queries",
+    "tabsmith.plans.prep_queries",
 ]
 
 
