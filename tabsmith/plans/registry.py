@@ -11,6 +11,7 @@ FAMILIES = [
     "tabsmith.plans.metric_queries",
     "tabsmith.plans.model_queries",
     "tabsmith.plans.prep_queries",
+    "tabsmith.plans.run_queries",
 ]
 
 
