@@ -12,6 +12,7 @@ FAMILIES = [
     "tabsmith.plans.model_queries",
     "tabsmith.plans.prep_queries",
     "tabsmith.plans.run_queries",
+    "tabsmith.plans.io_queries",
 ]
 
 

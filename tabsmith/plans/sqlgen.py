@@ -10,6 +10,12 @@ def R(expr: str, d: int = 4) -> str:
     return f"(round({expr}, {d}) + 0.0)"
 
 
+def RD(expr: str, d: int = 4) -> str:
+    """Rounded like Spark's ``round`` on a double: HALF_UP on its shortest decimal form (DuckDB's
+    ``round`` works on the binary value, which differs on exact half-way values)."""
+    return f"(CAST(round(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38, 18)), {d}) AS DOUBLE) + 0.0)"
+
+
 def D(col: str) -> str:
     return f'CAST("{col}" AS DOUBLE)'
 
