@@ -31,20 +31,22 @@ ORDERS_NULLS_SQL = """orders_nulls AS (
 
 LINEITEM_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
                 "l_discount", "l_tax"]
-LINEITEM_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+# unique at every scale factor (the first four columns alone repeat at sf0.001)
+LINEITEM_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate"]
+SPLIT_KEY4 = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 
 
 def preds_reg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regression predictions fixture: y = l_extendedprice, yhat = l_quantity * 1500 and a
     hash split (about 20 % test)."""
     li = table(spark, sf_dir, "lineitem")
-    h = F.md5(F.concat_ws("~", *[F.col(c).cast("string") for c in LINEITEM_KEY], F.lit("7")))
+    h = F.md5(F.concat_ws("~", *[F.col(c).cast("string") for c in SPLIT_KEY4], F.lit("7")))
     return li.select(*LINEITEM_KEY, F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 1500).alias("yhat"),
                      F.when(F.substring(h, 1, 1).isin("0", "1", "2"), "test").otherwise("train").alias("split"))
 
 
 PREDS_REG_SQL = """preds_reg AS (
-  SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice AS y, l_quantity * 1500 AS yhat,
+  SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate, l_extendedprice AS y, l_quantity * 1500 AS yhat,
          CASE WHEN substring(md5(concat_ws('~', CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR),
               CAST(l_suppkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), '7')), 1, 1) IN ('0','1','2')
               THEN 'test' ELSE 'train' END AS split
@@ -60,7 +62,7 @@ def preds_clf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PREDS_CLF_SQL = """preds_clf AS (
-  SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag AS y,
+  SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate, l_returnflag AS y,
          CASE WHEN l_linestatus = 'F' THEN (CASE WHEN l_quantity > 25 THEN 'R' ELSE 'A' END) ELSE 'N' END AS yhat
   FROM lineitem)"""
 

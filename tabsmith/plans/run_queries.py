@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tabsmith.operators import runs as X
 from tabsmith.operators.metrics import regression_metrics
-from tabsmith.plans.fixtures import PREDS_REG_SQL, preds_reg, table
+from tabsmith.plans.fixtures import LINEITEM_KEY, PREDS_REG_SQL, preds_reg, table
 from tabsmith.plans.sqlgen import R
 
 SCALES = [1300, 1400, 1500, 1600, 1700]
@@ -19,9 +19,7 @@ FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
 
 
 def rule_predictions(s, sf):
-    p = preds_reg(s, sf).join(table(s, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-                                                                "l_quantity", "l_tax"),
-                              ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"])
+    p = preds_reg(s, sf).join(table(s, sf, "lineitem").select(*LINEITEM_KEY, "l_quantity", "l_tax"), LINEITEM_KEY)
     p = p.withColumn("c", F.explode(F.array(*[F.lit(c) for c in SCALES])))  # 5 rule models per row
     tax = F.col("c").isin(list(TAX_SCALES))
     yhat = F.col("l_quantity") * F.col("c") + F.when(tax, F.col("l_tax") * 10000).otherwise(0.0)
@@ -65,8 +63,7 @@ def trials(s, sf):
     """Tuning trials derived from the rule grid: value = train RMSE of scale 1000 + 50 * number;
     every seventh trial is marked pruned."""
     p = preds_reg(s, sf).where(F.col("split") == "train").join(
-        table(s, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"),
-        ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"])
+        table(s, sf, "lineitem").select(*LINEITEM_KEY, "l_quantity"), LINEITEM_KEY)
     p = p.withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(20))))
     e = F.col("y") - F.col("l_quantity") * (F.lit(1000) + F.col("number") * 50)
     g = p.groupBy("number").agg(F.round(F.sqrt(F.avg(e * e)), 4).alias("value"))
@@ -93,7 +90,7 @@ QUERIES = {
 
 _RUNS_SQL = f"""{PREDS_REG_SQL},
 rp AS (SELECT c, y, l_quantity * c + CASE WHEN c IN (1400, 1600) THEN l_tax * 10000 ELSE 0.0 END AS yhat, split
-       FROM preds_reg p JOIN lineitem l USING (l_orderkey, l_partkey, l_suppkey, l_linenumber),
+       FROM preds_reg p JOIN lineitem l USING (l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate),
             (SELECT unnest([{', '.join(str(c) for c in SCALES)}]) AS c)),
 m AS (SELECT c, split, {R('sqrt(avg((y - yhat) * (y - yhat)))')} AS rmse, {R('avg(abs(y - yhat))')} AS mae,
              {R('1 - sum((y - yhat) * (y - yhat)) / (var_pop(y) * count(y))')} AS r2 FROM rp GROUP BY c, split),
@@ -168,7 +165,7 @@ SELECT feature, 'common_top' AS kind, CAST(NULL AS VARCHAR) AS run_id FROM r WHE
 UNION ALL SELECT feature, 'top1', run_id FROM r WHERE r = 1""",
     "h04_trial_history": f"""WITH {PREDS_REG_SQL},
 t AS (SELECT n AS number, {R('sqrt(avg((y - l_quantity * (1000 + n * 50)) * (y - l_quantity * (1000 + n * 50))))')} AS value
-      FROM preds_reg p JOIN lineitem l USING (l_orderkey, l_partkey, l_suppkey, l_linenumber),
+      FROM preds_reg p JOIN lineitem l USING (l_orderkey, l_partkey, l_suppkey, l_linenumber, l_shipdate),
            (SELECT unnest(range(0, 21)) AS n) WHERE split = 'train' GROUP BY n),
 d AS (SELECT * FROM t WHERE number % 7 <> 6)
 SELECT CAST(number AS INTEGER) AS number, value,
