@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,6 +61,9 @@ def scaler_baseline(train: DataFrame, test: DataFrame, features: Sequence[str],
     te = test.drop("features").withColumns(fill)
     if max_rows:
         tr = tr.withColumn("__h", row_hash(key or list(features), seed)).orderBy("__h").limit(max_rows).drop("__h")
+    # three scalers x (params, fit, score) read the same rows: persist them once
+    tr = tr.select(*[q(c) for c in features], q(label)).persist(StorageLevel.MEMORY_AND_DISK)
+    te = te.select(*[q(c) for c in features], q(label)).persist(StorageLevel.MEMORY_AND_DISK)
     rows = []
     for name in ("standard", "minmax", "robust"):
         prm = scale_params(tr, list(features), name)
@@ -70,6 +74,8 @@ def scaler_baseline(train: DataFrame, test: DataFrame, features: Sequence[str],
         model = build_estimator("linear_regression", "regression").fit(dtr)
         m = M.regression_metrics(model.transform(dte), "label", "prediction", by=None, digits=digits).first()
         rows.append((name, m["rmse"], m["r2"]))
+    tr.unpersist()
+    te.unpersist()
     best = min(rows, key=lambda t: (t[1], ["standard", "minmax", "robust"].index(t[0])))[0]
     return spark.createDataFrame([(n, r, r2, n == best) for n, r, r2 in rows],
                                  "scaler string, rmse double, r2 double, is_best boolean")
@@ -83,17 +89,22 @@ def learning_curve(data: DataFrame, model: str, task: str, hyper: dict | None =
     classification). Sizes are fractions of the training fold."""
     spark = data.sparkSession
     k = key or [c for c in data.columns if c != "features"]
-    keyed = data.withColumn("__h", row_hash(k, seed))
+    keyed = data.withColumn("__h", row_hash(k, seed)).withColumn("__h2", row_hash(k, seed + 1))
     keyed = hash_rank(keyed, "__h", out="__rn").withColumn("__fold", ((F.col("__rn") - 1) % folds).cast("int"))
+    # every fit and score below reads this frame: persist it once (recomputed from lineage if
+    # an executor holding blocks is lost)
+    keyed = keyed.persist(StorageLevel.MEMORY_AND_DISK)
+    parts = {f: keyed.where(F.col("__fold") != f) for f in range(folds)}
+    ranked = {f: hash_rank(parts[f].drop("__rn"), "__h2", out="__r2").persist(StorageLevel.MEMORY_AND_DISK)
+              for f in range(folds)}
+    counts = {f: parts[f].count() for f in range(folds)}
     out = []
     for frac in fractions:
         tr_scores, va_scores, sizes = [], [], []
         for f in range(folds):
-            part = keyed.where(F.col("__fold") != f)
-            n = part.count()
+            n = counts[f]
             size = min(n, max(min_size, int(n * frac)))
-            sub = hash_rank(part.drop("__rn").withColumn("__h2", row_hash(k, seed + 1)), "__h2", out="__r2") \
-                .where(F.col("__r2") <= size)
+            sub = ranked[f].where(F.col("__r2") <= size)
             sd = sub.agg(F.stddev_pop("label")).first()[0] or 1.0
             m = build_estimator(model, task, hyper, n=size, y_std=sd).fit(sub)
             val = keyed.where(F.col("__fold") == f)
@@ -108,6 +119,9 @@ def learning_curve(data: DataFrame, model: str, task: str, hyper: dict | None =
             sizes.append(size)
         out.append((float(frac), int(round(np.mean(sizes))), round(float(np.mean(tr_scores)), 4),
                     round(float(np.mean(va_scores)), 4)))
+    for r in ranked.values():
+        r.unpersist()
+    keyed.unpersist()
     return spark.createDataFrame(out, "fraction double, train_size long, train_score double, val_score double")
 
 

@@ -13,6 +13,7 @@ FAMILIES = [
     "tabsmith.plans.prep_queries",
     "tabsmith.plans.run_queries",
     "tabsmith.plans.io_queries",
+    "tabsmith.plans.diag_queries",
 ]
 
 

@@ -77,7 +77,9 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", null_tokens=NULL_TO
 
 def read_table(spark: SparkSession, uri: str, fmt: str | None = None, **opts) -> DataFrame:
     """Any Hadoop-FS URI (file:, hdfs:, s3a:, ...) in csv / parquet / json / orc."""
-    fmt = fmt or uri.rsplit(".", 1)[-1].lower()
+    if fmt is None:
+        ext = uri.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)
+        fmt = ext[1].lower() if len(ext) == 2 and ext[1].lower() in ("csv", "json", "parquet", "orc") else "parquet"
     if fmt == "csv":
         return read_csv(spark, uri, **opts)
     return spark.read.format(fmt).options(**opts).load(uri)
