@@ -31,3 +31,107 @@ def pairwise_corr(x: Column, y: Column) -> Column:
     yy = F.when(both, y)
     den = F.stddev_pop(xx) * F.stddev_pop(yy)
     return F.try_divide(F.covar_pop(xx, yy), F.when(den != 0, den))
+
+
+def _means(df, cols):
+    """Pass 1: row count, non-null count and mean of each column (one aggregate)."""
+    from tabsmith.functions.columns import q
+
+    exprs = [F.count(F.lit(1)).alias("__n")]
+    for i, c in enumerate(cols):
+        exprs += [F.count(q(c)).alias(f"c{i}"), F.avg(q(c).cast("double")).alias(f"m{i}")]
+    r = df.agg(*exprs).first()
+    return r["__n"], [r[f"c{i}"] for i in range(len(cols))], [r[f"m{i}"] for i in range(len(cols))]
+
+
+def pairwise_corr_values(df, pairs, cols=None) -> dict:
+    """Pearson r of every (a, b) pair over rows where both are non-null, by the two-pass
+    method: pass 1 the means, pass 2 sums of mean-shifted products (plain sums, combined
+    map-side). Null-free pairs share per-column sums; pairs touching a column with nulls get
+    masked sums. Returns {(a, b): r or None}; all work is two aggregates over the data."""
+    from tabsmith.functions.columns import q
+
+    cols = cols or sorted({c for p in pairs for c in p})
+    idx = {c: i for i, c in enumerate(cols)}
+    n, counts, means = _means(df, cols)
+    full = {c for c in cols if counts[idx[c]] == n}
+    d = {c: q(c).cast("double") - F.lit(means[idx[c]] if means[idx[c]] is not None else 0.0) for c in cols}
+    exprs = {}
+    for c in full:
+        exprs[f"s_{idx[c]}"] = F.sum(d[c])
+        exprs[f"ss_{idx[c]}"] = F.sum(d[c] * d[c])
+    for a, b in pairs:
+        ia, ib = idx[a], idx[b]
+        if a in full and b in full:
+            exprs[f"x_{ia}_{ib}"] = F.sum(d[a] * d[b])
+        else:
+            both = q(a).isNotNull() & q(b).isNotNull()
+            da, db = F.when(both, d[a]), F.when(both, d[b])
+            exprs[f"n_{ia}_{ib}"] = F.count_if(both)
+            exprs[f"a_{ia}_{ib}"] = F.sum(da)
+            exprs[f"b_{ia}_{ib}"] = F.sum(db)
+            exprs[f"aa_{ia}_{ib}"] = F.sum(da * da)
+            exprs[f"bb_{ia}_{ib}"] = F.sum(db * db)
+            exprs[f"x_{ia}_{ib}"] = F.sum(da * db)
+    r = df.agg(*[e.alias(k) for k, e in exprs.items()]).first() if exprs else {}
+    out = {}
+    for a, b in pairs:
+        ia, ib = idx[a], idx[b]
+        if a in full and b in full:
+            m, sa, sb, saa, sbb = n, r[f"s_{ia}"], r[f"s_{ib}"], r[f"ss_{ia}"], r[f"ss_{ib}"]
+        else:
+            m, sa, sb, saa, sbb = (r[f"n_{ia}_{ib}"], r[f"a_{ia}_{ib}"], r[f"b_{ia}_{ib}"], r[f"aa_{ia}_{ib}"],
+                                   r[f"bb_{ia}_{ib}"])
+        sab = r[f"x_{ia}_{ib}"]
+        if not m or sab is None:
+            out[(a, b)] = None
+            continue
+        cov = sab / m - (sa / m) * (sb / m)
+        va = saa / m - (sa / m) ** 2
+        vb = sbb / m - (sb / m) ** 2
+        den = (va * vb) ** 0.5 if va > 0 and vb > 0 else 0.0
+        out[(a, b)] = None if den == 0 else max(-1.0, min(1.0, cov / den))
+    return out
+
+
+def moments(df, cols) -> dict:
+    """Per column: n, mean and the central moments m2, m3, m4 (population) by the two-pass
+    method (pass 2 sums powers of mean-shifted values)."""
+    from tabsmith.functions.columns import q
+
+    n_rows, counts, means = _means(df, cols)
+    exprs = []
+    for i, c in enumerate(cols):
+        dd = q(c).cast("double") - F.lit(means[i] if means[i] is not None else 0.0)
+        exprs += [F.sum(dd).alias(f"s1_{i}"), F.sum(dd * dd).alias(f"s2_{i}"), F.sum(dd * dd * dd).alias(f"s3_{i}"),
+                  F.sum(dd * dd * dd * dd).alias(f"s4_{i}")]
+    r = df.agg(*exprs).first() if exprs else {}
+    out = {}
+    for i, c in enumerate(cols):
+        n = counts[i]
+        if not n:
+            out[c] = {"n": 0, "mean": None, "m2": None, "m3": None, "m4": None}
+            continue
+        e1, e2, e3, e4 = (r[f"s{k}_{i}"] / n for k in (1, 2, 3, 4))
+        m2 = e2 - e1 * e1
+        m3 = e3 - 3 * e1 * e2 + 2 * e1 ** 3
+        m4 = e4 - 4 * e1 * e3 + 6 * e1 * e1 * e2 - 3 * e1 ** 4
+        out[c] = {"n": n, "mean": means[i], "m2": m2, "m3": m3, "m4": m4}
+    return out
+
+
+def skew_kurt(mom: dict):
+    """Bias-corrected (G1, G2) from population moments, as pandas: 0 for a constant, None when
+    there are too few values."""
+    n, m2, m3, m4 = mom["n"], mom["m2"], mom["m3"], mom["m4"]
+    if n is None or n < 3 or m2 is None:
+        return None, None
+    if m2 <= 1e-14 * max(1.0, abs(mom["mean"] or 0.0)) ** 2:
+        return 0.0, (0.0 if n >= 4 else None)
+    g1 = m3 / m2 ** 1.5
+    G1 = g1 * (n * (n - 1)) ** 0.5 / (n - 2)
+    G2 = None
+    if n >= 4:
+        g2 = m4 / (m2 * m2) - 3
+        G2 = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)
+    return G1, G2

@@ -138,31 +138,32 @@ def roc_curve(pred: DataFrame, y: str = "y", score: str = "score", positive=1, p
     """ROC points (fpr, tpr) with collinear points dropped, starting at (0, 0), then
     down-sampled to ``points`` evenly spaced indices.
 
-    Distinct scores are numbered in descending order with ``ordered_rank`` and cumulative
-    counts come from ``ordered_cumsum``; neighbours for the collinearity test are equi-joins on
-    the index (no global window)."""
-    sc = _score_counts(pred, y, score, positive, []).withColumn("ns", -F.col("s"))
-    cum = ordered_cumsum(sc, "ns", {"tps": F.col("pos"), "fps": F.col("neg")})
-    idx = ordered_rank(cum.select("ns", "tps", "fps"), "ns", "i")  # 1 = highest score
-    start = idx.sparkSession.range(1).select(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("tps"),
-                                             F.lit(0).cast("long").alias("fps"))
-    pts = idx.select("i", F.col("tps").cast("long").alias("tps"), F.col("fps").cast("long").alias("fps"))
-    tot = pts.agg(F.max("i").alias("m"), F.max("tps").alias("P"), F.max("fps").alias("N"))
-    if drop_intermediate:
+    Distinct scores (persisted: several small actions read them) get cumulative positives,
+    negatives and their descending index from ONE ``ordered_cumsum``; neighbours for the
+    collinearity test are equi-joins on the index (no global window)."""
+    from pyspark import StorageLevel
+
+    sc = _score_counts(pred, y, score, positive, []).withColumn("ns", -F.col("s")).persist(StorageLevel.MEMORY_AND_DISK)
+    cum = ordered_cumsum(sc, "ns", {"tps": F.col("pos"), "fps": F.col("neg"), "i": F.lit(1)})
+    pts = cum.select(F.col("i").cast("long").alias("i"), F.col("tps").cast("long").alias("tps"),
+                     F.col("fps").cast("long").alias("fps")).persist(StorageLevel.MEMORY_AND_DISK)
+    tot = pts.agg(F.max("i").alias("m"), F.max("tps").alias("P"), F.max("fps").alias("N")).first()
+    m, P, N = tot["m"] or 0, tot["P"] or 0, tot["N"] or 0
+    spark = pred.sparkSession
+    start = spark.range(1).select(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("tps"),
+                                  F.lit(0).cast("long").alias("fps"))
+    if drop_intermediate and m > 2:
         prev = pts.select((F.col("i") + 1).alias("i"), F.col("tps").alias("tp0"), F.col("fps").alias("fp0"))
         nxt = pts.select((F.col("i") - 1).alias("i"), F.col("tps").alias("tp2"), F.col("fps").alias("fp2"))
         j = pts.join(prev, "i", "left").join(nxt, "i", "left")
-        keep = ((F.col("i") == tot.select("m").scalar()) | F.col("tp0").isNull() |
+        keep = ((F.col("i") == m) | F.col("tp0").isNull() |
                 ((F.col("fp2") - 2 * F.col("fps") + F.col("fp0")) != 0) | ((F.col("tp2") - 2 * F.col("tps") + F.col("tp0")) != 0))
-        # the first distinct threshold is always kept by the prepended (0, 0) point's neighbour rule
         kept = j.where(keep).select("i", "tps", "fps")
     else:
         kept = pts
-    allp = start.unionByName(kept)
+    allp = start.unionByName(kept).persist(StorageLevel.MEMORY_AND_DISK)
     rk = ordered_rank(allp, "i", "k")  # 1-based positions of the kept points
-    n = rk.count()
-    tot_row = tot.first()
-    P, N = tot_row["P"], tot_row["N"]
+    n = allp.count()
     if n > points:
         step = (n - 1) / (points - 1)
         want = sorted({int(i * step) for i in range(points - 1)} | {n - 1})

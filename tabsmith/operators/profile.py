@@ -25,7 +25,14 @@ from tabsmith.functions.columns import (
     row_hash,
     default_key,
 )
-from tabsmith.functions.stats import pairwise_corr, sample_kurtosis, sample_skewness
+from tabsmith.functions.stats import (
+    moments,
+    pairwise_corr,
+    pairwise_corr_values,
+    sample_kurtosis,
+    sample_skewness,
+    skew_kurt,
+)
 
 
 def _stats_struct(c: str, probs=(0.25, 0.5, 0.75), exact: bool = True) -> Column:
@@ -85,13 +92,16 @@ def histogram_bins(values: DataFrame, bins: int = 20, group: str = "column", val
         F.when(F.col("mn") == F.col("mx"), F.col("mn") - constant_pad).otherwise(F.col("mn")).alias("first"),
         F.when(F.col("mn") == F.col("mx"), F.col("mx") + constant_pad).otherwise(F.col("mx")).alias("last"),
     ).withColumn("step", (F.col("last") - F.col("first")) / bins)
-    rng = rng.withColumn("inner", F.transform(F.sequence(F.lit(1), F.lit(max(bins - 1, 1))),
-                                              lambda k: k.cast("double") * F.col("step") + F.col("first"))
-                         if bins > 1 else F.array().cast("array<double>"))
     # one row per group: bounded by the number of columns, so broadcast
-    j = v.join(F.broadcast(rng.select(group, "inner")), on=group)
-    x = F.col(value)
-    b = F.size(F.filter(F.col("inner"), lambda e: e <= x))
+    j = v.join(F.broadcast(rng.select(group, "first", "last", "step")), on=group)
+    x, first, last, step = F.col(value), F.col("first"), F.col("last"), F.col("step")
+    # first estimate, then one correction against the neighbouring linspace edges (plain
+    # arithmetic, code-generated; equals counting the interior edges <= x)
+    j = j.withColumn("__i", F.least(F.floor((x - first) / (last - first) * bins).cast("int"), F.lit(bins - 1)))
+    i = F.col("__i")
+    lo_e = i.cast("double") * step + first
+    hi_e = F.when(i + 1 >= bins, last).otherwise((i + 1).cast("double") * step + first)
+    b = (F.when(x < lo_e, i - 1).when((x >= hi_e) & (i != bins - 1), i + 1).otherwise(i))
     counts = j.select(group, b.alias("bin")).groupBy(group, "bin").agg(F.count(F.lit(1)).alias("count"))
     spine = rng.select(group, "first", "last", "step", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     out = spine.join(counts, on=[group, "bin"], how="left")
@@ -111,29 +121,22 @@ def histogram(df: DataFrame, bins: int = 20, columns: Sequence[str] | None = Non
     return histogram_bins(long_numeric(df, cols), bins)
 
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None, chunk: int = 200) -> DataFrame:
+def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pairwise-complete Pearson r for every ordered pair (diagonal included), 4 dp.
 
-    p(p+1)/2 correlations in one pass (chunked into aggregates of at most ``chunk`` pairs for
-    wide tables); the mirrored cell reuses the same aggregate expression, which Catalyst
-    computes once."""
+    Two aggregates over the data (means, then mean-shifted cross products; see
+    ``pairwise_corr_values``); the p x p result is finalised on the driver (bounded by the
+    number of columns)."""
     cols = list(columns) if columns else numeric_columns(df)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    parts = []
-    for s in range(0, len(pairs), chunk):
-        structs = []
-        for a, b in pairs[s:s + chunk]:
-            r = F.round(pairwise_corr(q(a).cast("double"), q(b).cast("double")), 4)
-            structs.append(F.struct(F.lit(a).alias("col_x"), F.lit(b).alias("col_y"), r.alias("r")))
-            if a != b:
-                structs.append(F.struct(F.lit(b).alias("col_x"), F.lit(a).alias("col_y"), r.alias("r")))
-        parts.append(_wide_to_long(df, structs))
-    if not parts:
-        return df.sparkSession.createDataFrame([], "col_x string, col_y string, r double")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    vals = pairwise_corr_values(df, pairs, cols) if pairs else {}
+    rows = []
+    for (a, b), r in vals.items():
+        rows.append((a, b, r))
+        if a != b:
+            rows.append((b, a, r))
+    out = df.sparkSession.createDataFrame(rows, "col_x string, col_y string, r double")
+    return out.select("col_x", "col_y", F.round("r", 4).alias("r"))
 
 
 def missing_values(df: DataFrame) -> DataFrame:
@@ -291,12 +294,19 @@ def target_classes(df: DataFrame, target: str) -> DataFrame:
 
 
 def skew_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Skewness, kurtosis, |skew|, severity and hint per numeric column with >= 3 values."""
+    """Skewness, kurtosis, |skew|, severity and hint per numeric column with >= 3 values.
+
+    Two aggregates over the data (means, then powers of mean-shifted values); the per-column
+    result (bounded by the number of columns) is finalised on the driver."""
     cols = list(columns) if columns else numeric_columns(df)
-    structs = [F.struct(F.lit(c).alias("column"), F.count(q(c)).alias("n"),
-                        sample_skewness(q(c).cast("double")).alias("skew"),
-                        sample_kurtosis(q(c).cast("double")).alias("kurt")) for c in cols]
-    long = _wide_to_long(df, structs).where("n >= 3")
+    mom = moments(df, cols) if cols else {}
+    rows = []
+    for c in cols:
+        if mom[c]["n"] < 3:
+            continue
+        g1, g2 = skew_kurt(mom[c])
+        rows.append((c, g1, g2))
+    long = df.sparkSession.createDataFrame(rows, "column string, skew double, kurt double")
     sk = F.round("skew", 4)
     a = F.abs(F.col("skew"))
     return long.select(
@@ -408,9 +418,8 @@ def top_correlated(df: DataFrame, target: str, k: int = 5, columns: Sequence[str
     """The k features with the largest |r| against the target (null r counts as 0)."""
     k = max(1, min(int(k), 20))
     cols = [c for c in (list(columns) if columns else numeric_columns(df)) if c != target]
-    structs = [F.struct(F.lit(c).alias("column"), pairwise_corr(q(c).cast("double"), q(target).cast("double")).alias("r"))
-               for c in cols]
-    long = _wide_to_long(df, structs).select("column", F.round("r", 4).alias("r"))
-    return (long.orderBy(F.abs(F.coalesce("r", F.lit(0.0))).desc(), F.col("column").asc()).limit(k)
-                .withColumn("rank", F.row_number().over(Window.orderBy(F.abs(F.coalesce("r", F.lit(0.0))).desc(),
-                                                                      F.col("column").asc())).cast("int")))
+    vals = pairwise_corr_values(df, [(c, target) for c in cols], cols + [target]) if cols else {}
+    rows = [(c, None if vals[(c, target)] is None else round(vals[(c, target)], 4)) for c in cols]
+    rows.sort(key=lambda t: (-abs(t[1] or 0.0), t[0]))
+    top = [(c, r, i + 1) for i, (c, r) in enumerate(rows[:k])]
+    return df.sparkSession.createDataFrame(top, "column string, r double, rank int")
