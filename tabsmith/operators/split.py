@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,7 +107,9 @@ def holdout_split(df: DataFrame, target: str, test_size: float = 0.2, seed: int
         ranked = hash_rank(usable, "__h", out="__rn")
         labeled = ranked.withColumn(SPLIT_COL, F.when(F.col("__rn") <= n_test, "test").otherwise("train"))
     out = labeled.select(*[q(c) for c in cols], SPLIT_COL).unionByName(rest.select(*[q(c) for c in cols], SPLIT_COL))
-    return out
+    # a labelled frame is read by several fits and counts: keep it rather than re-rank per action
+    # (MEMORY_AND_DISK; blocks lost with an executor are recomputed from the deterministic lineage)
+    return out.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def split_rows(df: DataFrame, label: str = SPLIT_COL) -> tuple[DataFrame, DataFrame]:
