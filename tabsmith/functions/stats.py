@@ -135,3 +135,86 @@ def skew_kurt(mom: dict):
         g2 = m4 / (m2 * m2) - 3
         G2 = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)
     return G1, G2
+
+
+QUANTILE_CONF = "tabsmith.quantiles"  # exact (default) | distributed | approx
+
+
+def quantile_mode(spark) -> str:
+    """How quantiles are computed, read from the session: ``exact`` (Spark ``percentile``,
+    memory grows with a column's distinct values in one task), ``distributed`` (exact, from
+    pre-aggregated value counts and two-phase cumulative counts, no per-task value set) or
+    ``approx`` (bounded ``percentile_approx`` sketch)."""
+    return (spark.conf.get(QUANTILE_CONF, "exact") or "exact").lower()
+
+
+def distributed_quantiles(df, cols, probs) -> dict:
+    """Exact linear-interpolated quantiles (pandas / ``quantile_cont``) of each column without
+    holding any column's value set in one task.
+
+    1. non-null counts per column (one aggregate);
+    2. (column, value, count) by a pre-aggregated ``groupBy``;
+    3. cumulative counts per column over sorted values with ``ordered_cumsum`` (bucketed);
+    4. each distinct value row keeps the target positions that fall inside its run of equal
+       values (a small per-column position array, filtered per row), so only the needed
+       values reach the driver (columns x probs x 2).
+    Returns {column: [q(p) for p in probs]} (None for an all-null column)."""
+    from tabsmith.functions.columns import long_numeric
+    from tabsmith.functions.ranking import ordered_cumsum
+
+    long = long_numeric(df, cols).where(F.col("value").isNotNull())
+    n = {r["column"]: r["n"] for r in long.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    want = {}
+    for c in cols:
+        if not n.get(c):
+            continue
+        pos = set()
+        for p in probs:
+            x = p * (n[c] - 1)
+            pos.update({int(x // 1), int(-(-x // 1))})
+        want[c] = sorted(pos)
+    if not want:
+        return {c: [None] * len(probs) for c in cols}
+    vc = long.where(F.col("column").isin(list(want))).groupBy("column", "value").agg(F.count(F.lit(1)).alias("c"))
+    cum = ordered_cumsum(vc, "value", {"cum": F.col("c")}, groups=["column"])
+    targets = F.create_map(*[x for c, ps in want.items() for x in (F.lit(c), F.array(*[F.lit(v) for v in ps]))])
+    hit = cum.select("column", "value", F.filter(F.element_at(targets, F.col("column")),
+                                                  lambda t: (t >= F.col("cum") - F.col("c")) & (t < F.col("cum")))
+                     .alias("pos"))
+    got = {}
+    for r in hit.where(F.size("pos") > 0).select("column", "value", F.explode("pos").alias("p")).collect():
+        got[(r["column"], r["p"])] = r["value"]
+    out = {}
+    for c in cols:
+        if c not in want:
+            out[c] = [None] * len(probs)
+            continue
+        vals = []
+        for p in probs:
+            x = p * (n[c] - 1)
+            lo, hi = int(x // 1), int(-(-x // 1))
+            a, b = got[(c, lo)], got[(c, hi)]
+            vals.append(a + (b - a) * (x - lo))
+        out[c] = vals
+    return out
+
+
+def column_quantiles(df, cols, probs, exact: bool = True) -> dict:
+    """{column: [quantiles]} by the session's quantile mode (``exact=False`` forces the sketch)."""
+    from tabsmith.functions.columns import q, quantile_expr
+
+    cols = list(cols)
+    if not cols:
+        return {}
+    mode = quantile_mode(df.sparkSession) if exact else "approx"
+    if mode == "distributed":
+        return distributed_quantiles(df, cols, probs)
+    r = df.agg(*[quantile_expr(q(c).cast("double"), probs, mode != "approx").alias(c) for c in cols]).first()
+    return {c: (list(r[c]) if r[c] is not None else [None] * len(probs)) for c in cols}
+
+
+def quantile_frame(df, cols, probs, exact: bool = True):
+    """The same as a small DataFrame (column, qs array<double>), one row per column."""
+    vals = column_quantiles(df, cols, probs, exact)
+    return df.sparkSession.createDataFrame([(c, [None if v is None else float(v) for v in vals[c]]) for c in cols],
+                                           "column string, qs array<double>")

@@ -27,6 +27,8 @@ from tabsmith.functions.columns import (
 )
 from tabsmith.functions.stats import (
     moments,
+    quantile_frame,
+    quantile_mode,
     pairwise_corr,
     pairwise_corr_values,
     sample_kurtosis,
@@ -35,17 +37,13 @@ from tabsmith.functions.stats import (
 )
 
 
-def _stats_struct(c: str, probs=(0.25, 0.5, 0.75), exact: bool = True) -> Column:
+def _stats_struct(c: str, probs=(0.25, 0.5, 0.75), exact: bool = True, with_q: bool = True) -> Column:
     x = q(c).cast("double")
-    return F.struct(
-        F.lit(c).alias("column"),
-        F.count(x).alias("n"),
-        F.avg(x).alias("mean"),
-        F.stddev_samp(x).alias("std"),
-        F.min(x).alias("min"),
-        F.max(x).alias("max"),
-        quantile_expr(x, probs, exact).alias("qs"),
-    )
+    fields = [F.lit(c).alias("column"), F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+              F.min(x).alias("min"), F.max(x).alias("max")]
+    if with_q:
+        fields.append(quantile_expr(x, probs, exact).alias("qs"))
+    return F.struct(*fields)
 
 
 def _wide_to_long(df: DataFrame, structs: list[Column]) -> DataFrame:
@@ -53,13 +51,23 @@ def _wide_to_long(df: DataFrame, structs: list[Column]) -> DataFrame:
     return df.agg(F.array(*structs).alias("s")).select(F.inline("s"))
 
 
+def _stats_long(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75), exact: bool = True) -> DataFrame:
+    """Per-column moments and quantiles. In the session's ``distributed`` quantile mode the
+    quantiles come from ``distributed_quantiles`` (no column value set in one task) and are
+    joined on as a one-row-per-column table."""
+    if exact and quantile_mode(df.sparkSession) == "distributed":
+        long = _wide_to_long(df, [_stats_struct(c, probs, exact, with_q=False) for c in cols])
+        return long.join(F.broadcast(quantile_frame(df, cols, probs)), "column")
+    return _wide_to_long(df, [_stats_struct(c, probs, exact) for c in cols])
+
+
 def column_stats(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """Mean, std (ddof 1), min, max, median, q25, q75 per numeric column; empty columns skipped."""
     cols = list(columns) if columns else numeric_columns(df, include_bool=True)
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, mean double, std double, min double, max double, "
                                                    "median double, q25 double, q75 double")
-    long = _wide_to_long(df, [_stats_struct(c, exact=exact) for c in cols])
+    long = _stats_long(df, cols, exact=exact)
     return long.where("n > 0").select(
         "column",
         F.round("mean", 4).alias("mean"),
@@ -152,9 +160,13 @@ def missing_values(df: DataFrame) -> DataFrame:
 
 def iqr_bounds(df: DataFrame, cols: Sequence[str], exact: bool = True, k: float = 1.5) -> DataFrame:
     """One row per column: q1, q3, lower = q1 - k*IQR, upper = q3 + k*IQR (unrounded)."""
-    structs = [F.struct(F.lit(c).alias("column"), quantile_expr(q(c).cast("double"), (0.25, 0.75), exact).alias("qs"))
-               for c in cols]
-    b = _wide_to_long(df, structs).select("column", F.col("qs")[0].alias("q1"), F.col("qs")[1].alias("q3"))
+    if exact and quantile_mode(df.sparkSession) == "distributed":
+        b = quantile_frame(df, cols, (0.25, 0.75))
+    else:
+        structs = [F.struct(F.lit(c).alias("column"), quantile_expr(q(c).cast("double"), (0.25, 0.75), exact).alias("qs"))
+                   for c in cols]
+        b = _wide_to_long(df, structs)
+    b = b.select("column", F.col("qs")[0].alias("q1"), F.col("qs")[1].alias("q3"))
     return b.select("column", "q1", "q3", (F.col("q1") - k * (F.col("q3") - F.col("q1"))).alias("lower"),
                     (F.col("q3") + k * (F.col("q3") - F.col("q1"))).alias("upper"))
 
@@ -321,8 +333,7 @@ def skew_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 def box_stats(df: DataFrame, columns: Sequence[str] | None = None, max_cols: int = 20, exact: bool = True) -> DataFrame:
     """Min, q1, median, mean, q3, max and 1.5 IQR fences for the first ``max_cols`` columns."""
     cols = (list(columns) if columns else numeric_columns(df))[:max_cols]
-    structs = [_stats_struct(c, exact=exact) for c in cols]
-    long = _wide_to_long(df, structs).where("n > 0")
+    long = _stats_long(df, cols, exact=exact).where("n > 0")
     q1, med, q3 = F.col("qs")[0], F.col("qs")[1], F.col("qs")[2]
     return long.select(
         "column", F.round("min", 4).alias("min"), F.round(q1, 4).alias("q1"), F.round(med, 4).alias("median"),

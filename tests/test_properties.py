@@ -137,3 +137,16 @@ def test_holdout_sizes_and_stratification(li):
 def test_unshuffled_stratified_is_an_error(li):
     with pytest.raises(ValueError):
         S.holdout_split(li, "l_returnflag", 0.2, shuffle=False, stratify=True)
+
+
+def test_distributed_quantiles_equal_exact_percentile(spark):
+    from tabsmith.functions.stats import distributed_quantiles
+
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    cols = ["value", "user_id", "event_id"]
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = distributed_quantiles(ev, cols, probs)
+    want = ev.agg(*[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(p) for p in probs])).alias(c)
+                    for c in cols]).first()
+    for c in cols:
+        assert np.allclose(got[c], want[c], rtol=1e-12, atol=1e-9), (c, got[c], want[c])
