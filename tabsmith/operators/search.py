@@ -109,6 +109,7 @@ def refit_best(df: DataFrame, target: str, model: str, trials: DataFrame, task:
     data = assemble(prep, cfg)
     res = fit_and_score(model, prep, data, {model: params}, cfg)
     fitted = res.pop("fitted")
+    res.pop("importances", None)
     if runs_dir:
         from tabsmith.sources.runs import log_run
         log_run(df.sparkSession, runs_dir, dataset, model, prep.task, cfg, {model: params}, res, fitted, prep,

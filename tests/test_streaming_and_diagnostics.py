@@ -106,3 +106,15 @@ def test_classification_train_all(spark):
                       {"val_strategy": "kfold", "cv_folds": 2}).collect()
     assert len(board) == 3 and all(0 <= r["accuracy"] <= 1 for r in board)
     assert SPLIT_COL
+
+
+def test_training_with_pca_and_undersampling(spark):
+    from tabsmith.operators.training import SplitConfig, assemble, fit_and_score, prepare
+
+    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").select("l_quantity", "l_discount", "l_tax",
+                                                                     "l_extendedprice", "l_returnflag")
+    cfg = SplitConfig(val_strategy="none", train_pca_components=2, imbalance_method="random_under")
+    prep = prepare(li, "l_returnflag", cfg, "classification")
+    assert prep.features == ["pca_0", "pca_1"] and prep.classes == ["A", "N", "R"]
+    res = fit_and_score("logistic_regression", prep, assemble(prep, cfg), None, cfg)
+    assert 0 <= res["accuracy"] <= 1 and len(res["importances"]) == 2
