@@ -103,6 +103,8 @@ def _t24(s, sf):
     IO.apply_and_save(s, root, "orders", src, [{"type": "impute", "columns": ["o_totalprice"], "strategy": "zero"}])
     out = IO.apply_and_save(s, root, "orders", src, [{"type": "drop_columns", "columns": ["o_custkey"]}])
     assert [st["type"] for st in IO.history(s, root, "orders")] == ["impute", "drop_columns"]
+    status = IO.holdout_status(s, root, "orders")
+    assert status["configured"] and status["column_present"] and status["n_test"] > 0
     return s.read.parquet(out["path"])
 
 
@@ -136,8 +138,19 @@ QUERIES = {
     "t24_apply_versions": _t24,
     "s02_read_table_json": _s02,
     "s04_list_datasets": _s04,
+    "f06_split_rows": lambda s, sf: _f06(s, sf),
 }
 
+
+def _f06(s, sf):
+    """train / test rows of a labelled frame (validated), counted per label."""
+    from tabsmith.operators.split import split_rows
+
+    lab = holdout_split(table(s, sf, "orders"), "o_totalprice", 0.2, 42, stratify=False, key=["o_orderkey"])
+    tr, te = split_rows(lab)
+    return tr.groupBy(SPLIT_COL).count().unionByName(te.groupBy(SPLIT_COL).count()) \
+        .select(SPLIT_COL, F.col("count").cast("long").alias("n"))
+
 ORACLE = {
     "c12_loo_press": f"""WITH s AS (SELECT count(*) AS n, avg(CAST(l_quantity AS DOUBLE)) AS mx, regr_sxx(l_extendedprice, l_quantity) AS sxx,
     regr_slope(l_extendedprice, l_quantity) AS b1, regr_intercept(l_extendedprice, l_quantity) AS b0 FROM lineitem),
@@ -148,6 +161,10 @@ SELECT CAST(count(*) AS BIGINT) AS n, {R('sqrt(avg(e * e))')} AS loo_rmse FROM e
 SELECT o_orderkey, o_custkey, o_orderstatus, coalesce(o_totalprice, 0.0) AS o_totalprice, o_orderdate, o_orderpriority
 FROM orders_nulls ORDER BY md5(concat_ws('~', CAST(o_orderkey AS VARCHAR), '0')) LIMIT 5""",
     "s02_read_table_json": "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders",
+    "f06_split_rows": f"""SELECT {SPLIT_COL}, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT CASE WHEN row_number() OVER (ORDER BY md5(concat_ws('~', CAST(o_orderkey AS VARCHAR), '42')))
+    <= (SELECT ceil(count(*) * 0.2) FROM orders) THEN 'test' ELSE 'train' END AS {SPLIT_COL} FROM orders)
+GROUP BY {SPLIT_COL}""",
     "s04_list_datasets": """SELECT 'orders' AS id, CAST(count(*) AS BIGINT) AS n_rows, CAST(6 AS BIGINT) AS n_cols FROM orders
 UNION ALL SELECT 'customer', CAST(count(*) AS BIGINT), CAST(5 AS BIGINT) FROM customer
 UNION ALL SELECT 'part', CAST(count(*) AS BIGINT), CAST(6 AS BIGINT) FROM part""",

@@ -209,6 +209,20 @@ def save_holdout(spark: SparkSession, root: str, dataset: str, original_path: st
     return {r[SPLIT_COL]: r["count"] for r in counts}
 
 
+def holdout_status(spark: SparkSession, root: str, dataset: str, df: DataFrame | None = None) -> dict:
+    """Whether a hold-out is configured, whether the label column is present in the active
+    version, and its train / test counts (one grouped count)."""
+    v = latest_version(spark, root, dataset)
+    spec = json.loads(v["holdout"]) if v and v["holdout"] else None
+    active = df if df is not None else (spark.read.parquet(v["path"]) if v else None)
+    present = active is not None and SPLIT_COL in active.columns
+    counts = {}
+    if present:
+        counts = {r[SPLIT_COL]: r["count"] for r in active.groupBy(SPLIT_COL).count().collect() if r[SPLIT_COL]}
+    return {"configured": spec is not None, "spec": spec, "column_present": present,
+            "n_train": counts.get("train", 0), "n_test": counts.get("test", 0)}
+
+
 def history(spark: SparkSession, root: str, dataset: str) -> list:
     v = latest_version(spark, root, dataset)
     return json.loads(v["steps"]) if v else []
