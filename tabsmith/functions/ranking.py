@@ -21,9 +21,21 @@ from pyspark.sql import functions as F
 BUCKET_HEX_DIGITS = 4  # 65,536 ordered buckets
 
 
+def bucket_digits(n_rows: int | None, rows_per_bucket: int = 1_000_000) -> int:
+    """Leading hex digits so that a bucket holds about ``rows_per_bucket`` rows (4..6)."""
+    if not n_rows:
+        return BUCKET_HEX_DIGITS
+    d = BUCKET_HEX_DIGITS
+    while d < 6 and n_rows / 16 ** d > rows_per_bucket:
+        d += 1
+    return d
+
+
 def hash_rank(df: DataFrame, digest: str, groups: Sequence[str] = (), out: str = "rn",
-              hex_digits: int = BUCKET_HEX_DIGITS) -> DataFrame:
-    """Add ``out`` = row_number() over (partition by groups order by digest) (1-based)."""
+              hex_digits: int | None = None, n_rows: int | None = None) -> DataFrame:
+    """Add ``out`` = row_number() over (partition by groups order by digest) (1-based).
+    ``n_rows`` (when known) sizes the buckets: 16^4 buckets up to ~65 G rows, then more."""
+    hex_digits = hex_digits or bucket_digits(n_rows)
     g = list(groups)
     b = "__bucket"
     with_b = df.withColumn(b, F.substring(F.col(digest), 1, hex_digits))

@@ -148,57 +148,58 @@ def quantile_mode(spark) -> str:
     return (spark.conf.get(QUANTILE_CONF, "exact") or "exact").lower()
 
 
-def distributed_quantiles(df, cols, probs) -> dict:
-    """Exact linear-interpolated quantiles (pandas / ``quantile_cont``) of each column without
-    holding any column's value set in one task.
-
-    1. non-null counts per column (one aggregate);
-    2. (column, value, count) by a pre-aggregated ``groupBy``;
-    3. cumulative counts per column over sorted values with ``ordered_cumsum`` (bucketed);
-    4. each distinct value row keeps the target positions that fall inside its run of equal
-       values (a small per-column position array, filtered per row), so only the needed
-       values reach the driver (columns x probs x 2).
-    Returns {column: [q(p) for p in probs]} (None for an all-null column)."""
-    from tabsmith.functions.columns import long_numeric
+def grouped_quantiles(long, group: str, value: str, probs) -> dict:
+    """Exact linear-interpolated quantiles (pandas / ``quantile_cont``) of ``value`` for every
+    ``group`` of a long frame, without holding any group's value set in one task.
+
+    1. non-null counts per group (one aggregate; bounded by the number of groups);
+    2. (group, value, count) by a pre-aggregated ``groupBy``;
+    3. cumulative counts per group over sorted values with ``ordered_cumsum`` (bucketed);
+    4. each distinct value row keeps the wanted positions inside its run of equal values (a
+       small per-group position array, filtered per row), so only groups x probs x 2 values
+       reach the driver.
+    Returns {group: [q(p) for p in probs]} for groups with at least one value."""
     from tabsmith.functions.ranking import ordered_cumsum
 
-    long = long_numeric(df, cols).where(F.col("value").isNotNull())
-    n = {r["column"]: r["n"] for r in long.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    v = long.select(F.col(group).alias("__g"), F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
+    n = {r["__g"]: r["n"] for r in v.groupBy("__g").agg(F.count(F.lit(1)).alias("n")).collect()}
     want = {}
-    for c in cols:
-        if not n.get(c):
-            continue
+    for g, cnt in n.items():
         pos = set()
         for p in probs:
-            x = p * (n[c] - 1)
+            x = p * (cnt - 1)
             pos.update({int(x // 1), int(-(-x // 1))})
-        want[c] = sorted(pos)
+        want[g] = sorted(pos)
     if not want:
-        return {c: [None] * len(probs) for c in cols}
-    vc = long.where(F.col("column").isin(list(want))).groupBy("column", "value").agg(F.count(F.lit(1)).alias("c"))
-    cum = ordered_cumsum(vc, "value", {"cum": F.col("c")}, groups=["column"])
-    targets = F.create_map(*[x for c, ps in want.items() for x in (F.lit(c), F.array(*[F.lit(v) for v in ps]))])
-    hit = cum.select("column", "value", F.filter(F.element_at(targets, F.col("column")),
-                                                  lambda t: (t >= F.col("cum") - F.col("c")) & (t < F.col("cum")))
-                     .alias("pos"))
+        return {}
+    vc = v.groupBy("__g", "__v").agg(F.count(F.lit(1)).alias("c"))
+    cum = ordered_cumsum(vc, "__v", {"cum": F.col("c")}, groups=["__g"])
+    targets = F.create_map(*[x for g, ps in want.items() for x in (F.lit(g), F.array(*[F.lit(t) for t in ps]))])
+    hit = cum.select("__g", "__v", F.filter(F.element_at(targets, F.col("__g")),
+                                            lambda t: (t >= F.col("cum") - F.col("c")) & (t < F.col("cum"))).alias("pos"))
     got = {}
-    for r in hit.where(F.size("pos") > 0).select("column", "value", F.explode("pos").alias("p")).collect():
-        got[(r["column"], r["p"])] = r["value"]
+    for r in hit.where(F.size("pos") > 0).select("__g", "__v", F.explode("pos").alias("p")).collect():
+        got[(r["__g"], r["p"])] = r["__v"]
     out = {}
-    for c in cols:
-        if c not in want:
-            out[c] = [None] * len(probs)
-            continue
+    for g, cnt in n.items():
         vals = []
         for p in probs:
-            x = p * (n[c] - 1)
+            x = p * (cnt - 1)
             lo, hi = int(x // 1), int(-(-x // 1))
-            a, b = got[(c, lo)], got[(c, hi)]
+            a, b = got[(g, lo)], got[(g, hi)]
             vals.append(a + (b - a) * (x - lo))
-        out[c] = vals
+        out[g] = vals
     return out
 
 
+def distributed_quantiles(df, cols, probs) -> dict:
+    """Exact quantiles of each column (see ``grouped_quantiles``; the group is the column)."""
+    from tabsmith.functions.columns import long_numeric
+
+    got = grouped_quantiles(long_numeric(df, cols), "column", "value", probs)
+    return {c: got.get(c, [None] * len(probs)) for c in cols}
+
+
 def column_quantiles(df, cols, probs, exact: bool = True) -> dict:
     """{column: [quantiles]} by the session's quantile mode (``exact=False`` forces the sketch)."""
     from tabsmith.functions.columns import q, quantile_expr

@@ -26,6 +26,7 @@ from tabsmith.functions.columns import (
     default_key,
 )
 from tabsmith.functions.stats import (
+    grouped_quantiles,
     moments,
     quantile_frame,
     quantile_mode,
@@ -417,6 +418,18 @@ def feature_target_classes(df: DataFrame, target: str, columns: Sequence[str] |
              .orderBy("c").limit(max_classes).collect()]
     base = df.where(cls.isin(first)).select(cls.alias("class"), *[q(c) for c in cols])
     long = long_numeric(base, cols, id_cols=["class"]).where(F.col("value").isNotNull())
+    if exact and quantile_mode(df.sparkSession) == "distributed":
+        # one class may hold most rows: exact quantiles without a per-group value set in one task
+        key = F.concat_ws("\u0001", F.col("column"), F.col("class"))
+        qs = grouped_quantiles(long.withColumn("__k", key), "__k", "value", (0.25, 0.5, 0.75))
+        qf = df.sparkSession.createDataFrame([(k.split("\u0001")[0], k.split("\u0001")[1], v) for k, v in qs.items()],
+                                             "column string, class string, qs array<double>")
+        g = long.groupBy("column", "class").agg(F.avg("value").alias("mean"), F.min("value").alias("min"),
+                                                F.max("value").alias("max")).join(F.broadcast(qf), ["column", "class"])
+        return g.select("column", "class", F.round(F.col("qs")[0], 4).alias("q1"),
+                        F.round(F.col("qs")[1], 4).alias("median"), F.round("mean", 4).alias("mean"),
+                        F.round(F.col("qs")[2], 4).alias("q3"), F.round("min", 4).alias("min"),
+                        F.round("max", 4).alias("max"))
     g = long.groupBy("column", "class").agg(
         quantile_expr(F.col("value"), (0.25, 0.5, 0.75), exact).alias("qs"), F.avg("value").alias("mean"),
         F.min("value").alias("min"), F.max("value").alias("max"))

@@ -101,18 +101,18 @@ def holdout_split(df: DataFrame, target: str, test_size: float = 0.2, seed: int
         if order_by:
             ranked = ordered_rank(usable, order_by, "__rn")
         else:
-            ranked = hash_rank(usable, "__h", out="__rn")
+            ranked = hash_rank(usable, "__h", out="__rn", n_rows=n)
         labeled = ranked.withColumn(SPLIT_COL, F.when(F.col("__rn") > n_train, "test").otherwise("train"))
     elif strat:
         cls = y.cast("string")
         train_alloc = largest_remainder(counts, n_train)
         alloc = df.sparkSession.createDataFrame([(k, counts[k] - train_alloc[k]) for k in counts],
                                                 "__cls string, __nt long")
-        ranked = hash_rank(usable.withColumn("__cls", cls), "__h", groups=["__cls"], out="__rn")
+        ranked = hash_rank(usable.withColumn("__cls", cls), "__h", groups=["__cls"], out="__rn", n_rows=n)
         labeled = (ranked.join(F.broadcast(alloc), on="__cls")
                    .withColumn(SPLIT_COL, F.when(F.col("__rn") <= F.col("__nt"), "test").otherwise("train")))
     else:
-        ranked = hash_rank(usable, "__h", out="__rn")
+        ranked = hash_rank(usable, "__h", out="__rn", n_rows=n)
         labeled = ranked.withColumn(SPLIT_COL, F.when(F.col("__rn") <= n_test, "test").otherwise("train"))
     out = labeled.select(*[q(c) for c in cols], SPLIT_COL).unionByName(rest.select(*[q(c) for c in cols], SPLIT_COL))
     # a labelled frame is read by several fits and counts: keep it rather than re-rank per action
