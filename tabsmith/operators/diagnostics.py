@@ -14,11 +14,11 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsmith.functions.columns import q, row_hash
+from tabsmith.functions.columns import q, quantile_expr, row_hash
 from tabsmith.functions.ranking import hash_rank
 from tabsmith.operators import metrics as M
 from tabsmith.operators.models import build_estimator
-from tabsmith.operators.steps import quantile_expr, scale_params
+from tabsmith.operators.steps import scale_params
 
 
 def loo_press(df: DataFrame, features: Sequence[str], label: str, alpha: float = 0.0) -> DataFrame:

@@ -11,7 +11,7 @@ from tabsmith.operators.steps import apply_steps
 from tabsmith.plans.fixtures import LINEITEM_KEY, ORDERS_NULLS_SQL, orders_nulls, table
 from tabsmith.plans.sqlgen import RD, R
 from tabsmith.session import ensure_checkpoint_dir
-from tabsmith.sources.io import preview, read_csv, write_version
+from tabsmith.sources.io import preview, read_csv
 
 
 def _s01(s, sf):
