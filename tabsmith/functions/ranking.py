@@ -65,10 +65,17 @@ def ordered_cumsum(df: DataFrame, order_col: str, sums: dict[str, Column], group
     bounds = df.agg(F.percentile_approx(F.col(order_col).cast("double"), probs, 10_000).alias("b")).first()["b"] or []
     bounds = sorted({float(b) for b in bounds if b is not None})
     b = "__bucket"
-    edges = F.array(*[F.lit(v) for v in bounds]) if bounds else F.array().cast("array<double>")
-    base = df.withColumn(b, F.size(F.filter(edges, lambda e: e < F.col(order_col).cast("double"))))
+    base = df
     for name, expr in sums.items():
         base = base.withColumn(f"__v_{name}", expr)
+    if not bounds:
+        # one bucket: a window per group is the whole job (no offsets to join)
+        wl = Window.partitionBy(*g).orderBy(F.col(order_col)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        for n in sums:
+            base = base.withColumn(n, F.sum(f"__v_{n}").over(wl))
+        return base.drop(*[f"__v_{n}" for n in sums])
+    edges = F.array(*[F.lit(v) for v in bounds])
+    base = base.withColumn(b, F.size(F.filter(edges, lambda e: e < F.col(order_col).cast("double"))))
     per_bucket = base.groupBy(*g, b).agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums])
     wo = Window.partitionBy(*g).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offs = per_bucket.select(*g, b, *[F.coalesce(F.sum(f"__t_{n}").over(wo), F.lit(0)).alias(f"__o_{n}") for n in sums])
@@ -104,11 +111,11 @@ def ordered_rank(df: DataFrame, col: str, out: str = "rn", n_buckets: int | None
             if not bounds or v != bounds[-1]:
                 bounds.append(v)
     b = "__bucket"
-    if bounds:
-        arr = F.array(*[F.lit(v) for v in bounds])
-        with_b = df.withColumn(b, F.size(F.filter(arr, lambda e: e < F.col(col))))
-    else:
-        with_b = df.withColumn(b, F.lit(0))
+    if not bounds:
+        # a single bucket (small input): number the rows directly
+        return df.withColumn(out, F.row_number().over(Window.orderBy(F.col(col))).cast("long"))
+    arr = F.array(*[F.lit(v) for v in bounds])
+    with_b = df.withColumn(b, F.size(F.filter(arr, lambda e: e < F.col(col))))
     counts = with_b.groupBy(b).agg(F.count(F.lit(1)).alias("__n"))
     w = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # one row per bucket (at most n_buckets rows): a bounded table, so the window and broadcast are cheap

@@ -222,7 +222,7 @@ def residual_histogram(pred: DataFrame, y: str = "y", yhat: str = "yhat", bins:
         n = pred.count()
         bins = min(24, max(8, n // 20))
     e = (q(y).cast("double") - q(yhat).cast("double")).alias("value")
-    return histogram_bins(pred.select(F.lit("residual").alias("column"), e), bins).drop("column")
+    return histogram_bins(pred.select(F.lit("residual").alias("column"), e), bins, single_group="residual").drop("column")
 
 
 def residual_samples(pred: DataFrame, y: str = "y", yhat: str = "yhat", n: int = 500, seed: int = 44,

@@ -87,7 +87,7 @@ def _edge(first: Column, step: Column, last: Column, i: Column, n: int) -> Colum
 
 
 def histogram_bins(values: DataFrame, bins: int = 20, group: str = "column", value: str = "value",
-                   constant_pad: float = 0.5) -> DataFrame:
+                   constant_pad: float = 0.5, single_group: str | None = None) -> DataFrame:
     """NumPy-compatible equal-width histogram per group over long (group, value) rows.
 
     Edges are NumPy's ``linspace`` values; bins are left-closed and the last one closed, so a
@@ -101,8 +101,13 @@ def histogram_bins(values: DataFrame, bins: int = 20, group: str = "column", val
         F.when(F.col("mn") == F.col("mx"), F.col("mn") - constant_pad).otherwise(F.col("mn")).alias("first"),
         F.when(F.col("mn") == F.col("mx"), F.col("mx") + constant_pad).otherwise(F.col("mx")).alias("last"),
     ).withColumn("step", (F.col("last") - F.col("first")) / bins)
-    # one row per group: bounded by the number of columns, so broadcast
-    j = v.join(F.broadcast(rng.select(group, "first", "last", "step")), on=group)
+    if single_group is not None:
+        # one group: its range as scalar subqueries (a join on a constant key would be a cross join)
+        j = v.withColumns({"first": rng.select("first").scalar(), "last": rng.select("last").scalar(),
+                           "step": rng.select("step").scalar()})
+    else:
+        # one row per group: bounded by the number of columns, so broadcast
+        j = v.join(F.broadcast(rng.select(group, "first", "last", "step")), on=group)
     x, first, last, step = F.col(value), F.col("first"), F.col("last"), F.col("step")
     # first estimate, then one correction against the neighbouring linspace edges (plain
     # arithmetic, code-generated; equals counting the interior edges <= x)
@@ -113,7 +118,10 @@ def histogram_bins(values: DataFrame, bins: int = 20, group: str = "column", val
     b = (F.when(x < lo_e, i - 1).when((x >= hi_e) & (i != bins - 1), i + 1).otherwise(i))
     counts = j.select(group, b.alias("bin")).groupBy(group, "bin").agg(F.count(F.lit(1)).alias("count"))
     spine = rng.select(group, "first", "last", "step", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    out = spine.join(counts, on=[group, "bin"], how="left")
+    if single_group is not None:
+        out = spine.drop(group).join(counts.drop(group), on="bin", how="left").withColumn(group, F.lit(single_group))
+    else:
+        out = spine.join(counts, on=[group, "bin"], how="left")
     first, last, step, bc = F.col("first"), F.col("last"), F.col("step"), F.col("bin")
     return out.select(
         group,
