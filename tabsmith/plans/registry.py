@@ -14,6 +14,7 @@ FAMILIES = [
     "tabsmith.plans.run_queries",
     "tabsmith.plans.io_queries",
     "tabsmith.plans.diag_queries",
+    "tabsmith.plans.stream_queries",
 ]
 
 
