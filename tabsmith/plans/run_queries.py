@@ -43,7 +43,8 @@ def rule_runs(s, sf):
         F.create_map(*[x for k in ("rmse", "mae", "r2", "train_rmse", "train_mae", "train_r2")
                        for x in (F.lit(k), F.col(k))]).alias("metrics"),
         F.create_map().cast("map<string,string>").alias("tags"),
-        F.timestamp_seconds(F.lit(1704067200) + F.col("c") * 60).alias("started_at"),
+        # time-zone free (TIMESTAMP_NTZ): 2024-01-01 00:00 plus c minutes
+        F.timestamp_add("MINUTE", F.col("c"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).alias("started_at"),
         F.lit(None).cast("string").alias("model_path"))
 
 
