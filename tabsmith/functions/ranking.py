@@ -22,10 +22,11 @@ BUCKET_HEX_DIGITS = 4  # 65,536 ordered buckets
 
 
 def bucket_digits(n_rows: int | None, rows_per_bucket: int = 1_000_000) -> int:
-    """Leading hex digits so that a bucket holds about ``rows_per_bucket`` rows (4..6)."""
+    """Leading hex digits so that a bucket holds at most about ``rows_per_bucket`` rows (2..6);
+    4 when the row count is unknown."""
     if not n_rows:
         return BUCKET_HEX_DIGITS
-    d = BUCKET_HEX_DIGITS
+    d = 2
     while d < 6 and n_rows / 16 ** d > rows_per_bucket:
         d += 1
     return d
@@ -34,7 +35,7 @@ def bucket_digits(n_rows: int | None, rows_per_bucket: int = 1_000_000) -> int:
 def hash_rank(df: DataFrame, digest: str, groups: Sequence[str] = (), out: str = "rn",
               hex_digits: int | None = None, n_rows: int | None = None) -> DataFrame:
     """Add ``out`` = row_number() over (partition by groups order by digest) (1-based).
-    ``n_rows`` (when known) sizes the buckets: 16^4 buckets up to ~65 G rows, then more."""
+    ``n_rows`` (when known) sizes the buckets (16^2 .. 16^6, about a million rows per bucket at most)."""
     hex_digits = hex_digits or bucket_digits(n_rows)
     g = list(groups)
     b = "__bucket"
@@ -42,8 +43,9 @@ def hash_rank(df: DataFrame, digest: str, groups: Sequence[str] = (), out: str =
     counts = with_b.groupBy(*g, b).agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy(*g).orderBy(b).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = counts.select(*g, b, (F.sum("__n").over(w) - F.col("__n")).alias("__off"))
-    # offsets has at most (#groups x 16^hex_digits) rows: bounded, so it is broadcast.
-    joined = with_b.join(F.broadcast(offsets), on=[*g, b], how="inner")
+    # without groups the offsets table has at most 16^hex_digits rows and is broadcast; with
+    # groups it has (#groups x buckets) rows, so adaptive execution picks the join by its size
+    joined = with_b.join(F.broadcast(offsets) if not g else offsets, on=[*g, b], how="inner")
     wr = Window.partitionBy(*g, b).orderBy(F.col(digest))
     return joined.withColumn(out, (F.row_number().over(wr) + F.col("__off")).cast("long")).drop(b, "__off")
 
