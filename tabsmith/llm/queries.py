@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from tabsmith.llm import decontam, line_dedup, minhash
+from tabsmith.llm import decontam, html_text, line_dedup, minhash, packing, token_scan, warc
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_decontamination": decontam.op2_decontamination,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
+    "op6_warc": warc.op6_warc,
+    "op7_html_extraction": html_text.op7_html_extraction,
+    "op10_token_counts": token_scan.op10_token_counts,
 }
 
 ORACLE = {
     "op2_decontamination": decontam.ORACLE,
     "op3_line_dedup": line_dedup.ORACLE,
     "op5_minhash_near_dedup": minhash.ORACLE,
+    "op6_warc": warc.ORACLE,
 }
