@@ -133,17 +133,21 @@ ORACLE = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
          'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents
-), s AS (
-  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, chr(10))]
-         ELSE list_distinct(list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i + 4], ' '))) END AS ss FROM d
-), x AS (SELECT doc_id, len(ss) AS n, unnest(ss) AS g FROM s),
+), x0 AS (
+  SELECT doc_id, array_to_string(ws, chr(10)) AS g FROM d WHERE len(ws) BETWEEN 1 AND 4
+  UNION ALL
+  SELECT doc_id, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o
+  FROM (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d WHERE len(ws) >= 5) WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), x1 AS (SELECT DISTINCT doc_id, g FROM x0 WHERE g IS NOT NULL),
+s AS (SELECT d.doc_id, count(g) AS n FROM d LEFT JOIN x1 USING (doc_id) GROUP BY d.doc_id),
+x AS (SELECT doc_id, n, g FROM x1 JOIN s USING (doc_id)),
 links AS (
   SELECT a.doc_id AS u, b.doc_id AS v FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id
   GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
 ), reach(u, v) AS (
   SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u
 ), c AS (SELECT u, min(v) AS m FROM reach GROUP BY u)
-SELECT s.doc_id, len(ss) AS n_shingles, least(s.doc_id, coalesce(m, s.doc_id)) AS component_id,
+SELECT s.doc_id, n AS n_shingles, least(s.doc_id, coalesce(m, s.doc_id)) AS component_id,
        s.doc_id = least(s.doc_id, coalesce(m, s.doc_id)) AS kept
 FROM s LEFT JOIN c ON c.u = s.doc_id
 """

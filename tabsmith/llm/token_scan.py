@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tabsmith.llm.common import scratch
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Identifiers are stored one higher than in the vocabulary, which frees 0 for the separator.
 SEPARATOR, SHIFT = 0, 1
 FILE_DOCS = 10_000

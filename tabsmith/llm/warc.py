@@ -161,6 +161,6 @@ d AS (SELECT page_id, sha256(body) AS digest, octet_length(encode(body)) AS n FR
 f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) END AS first FROM d)
 SELECT page_id, n AS payload_bytes, digest AS payload_digest,
        CASE WHEN first IS NOT NULL AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN first IS NOT NULL AND first <> page_id THEN first END AS refers_to
+       CASE WHEN first IS NOT NULL AND first <> page_id THEN CAST(first AS DOUBLE) END AS refers_to
 FROM f
 """
