@@ -8,7 +8,7 @@ with the document."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsmith.llm.common import ascii_lower, digest, stored
@@ -43,89 +43,96 @@ def term_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> Da
             .groupBy("term").agg(F.count("*").alias("n")))
 
 
-def windows_of(items: DataFrame, counts: DataFrame, size: int = 10, probes: int = 3) -> DataFrame:
-    """(item, item_id, words, windows): each window has its start, its length and the item positions
-    of its ``probes`` rarest words. An item shorter than ``size`` is one window."""
+def windows_of(items: DataFrame, counts: DataFrame, size: int = 10, probes: int = 2) -> DataFrame:
+    """(item, item_id, words, width, windows): each window has its start and the item positions of its
+    ``probes`` rarest words. An item shorter than ``size`` is one window."""
     ranked = (items.select("item", F.posexplode("words").alias("pos", "term")).join(counts, "term", "left")
               .groupBy("item").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("n", F.lit(0)).alias("n")))).alias("ns")))
-    width = F.least(F.size("words"), F.lit(size))
 
     def window(s: Column) -> Column:
         rare = F.array_sort(F.transform(F.slice("ns", s + 1, F.col("width")), lambda x: F.struct(x["n"].alias("n"), x["pos"].alias("pos"))))
         return F.struct(s.alias("start"), F.transform(F.slice(rare, 1, probes), lambda x: x["pos"]).alias("probes"))
 
-    return (items.join(ranked, "item").withColumn("width", width)
+    return (items.join(ranked, "item").withColumn("width", F.least(F.size("words"), F.lit(size)))
             .withColumn("windows", F.transform(F.sequence(F.lit(0), F.size("words") - F.col("width")), window))
             .select("item", "item_id", "words", "width", "windows"))
 
 
 def probe_positions(windows: DataFrame) -> DataFrame:
-    """(item, pos, term): the item positions that some window is looked up by."""
-    at = F.explode(F.array_distinct(F.flatten("windows.probes"))).alias("pos")
-    return windows.select("item", "words", at).select("item", "pos", F.get("words", F.col("pos")).alias("term"))
+    """(item, ipos, term, need): the item positions that some window is looked up by, and how many of
+    them each window of the item has."""
+    at = F.explode(F.array_distinct(F.flatten("windows.probes"))).alias("ipos")
+    need = F.size(F.get("windows.probes", F.lit(0))).alias("need")
+    return (windows.select("item", "words", "windows", need).select("item", "words", "need", at)
+            .select("item", "ipos", F.get("words", F.col("ipos")).alias("term"), "need"))
 
 
 def build_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store the postings (term, doc_id, doc, pos) of ``terms`` in all documents, and one posting of
-    the term ``END`` a document, at its number of words. ``doc`` is the digest of the whole text;
-    with ``doc_id`` it identifies a row up to full repeats. Postings go from the scan to the file."""
+    """Store the postings (term, row, pos) of ``terms`` in all documents. ``row`` numbers the
+    documents as they are stored. The posting of the term ``END`` has a document's number of words
+    and, with it, doc_id and the digest of the whole text. Postings go from the scan to the file."""
     with_end = _sized(terms.unionByName(docs.sparkSession.createDataFrame([(END,)], "term string")))
-    tokens = docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("doc"),
-                         F.posexplode(F.concat(words_of(F.col(text_col)), F.array(F.lit(END)))).alias("pos", "term"))
-    return stored(tokens.join(with_end, "term").select("term", "doc_id", "doc", "pos"), "postings")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("doc"),
+                       F.concat(words_of(F.col(text_col)), F.array(F.lit(END))).alias("own"))
+    tokens = rows.select("row", "doc_id", "doc", F.posexplode("own").alias("pos", "term")).join(with_end, "term")
+    last = F.col("term") == END
+    return stored(tokens.select("term", "row", "pos", F.when(last, F.col("doc_id")).alias("doc_id"), F.when(last, F.col("doc")).alias("doc")), "postings")
+
+
+def postings(index: DataFrame) -> DataFrame:
+    return index.where(F.col("term") != END).select("term", "row", "pos")
+
+
+def lengths(index: DataFrame) -> DataFrame:
+    return index.where(F.col("term") == END).select("row", "doc_id", "doc", F.col("pos").cast("long").alias("n_words"))
 
 
 def meetings(index: DataFrame, probes: DataFrame) -> DataFrame:
-    """(doc_id, doc, item, shift, seen): offset-adjusted intersection of the posting lists; ``seen``
-    are the item positions whose word stands at position + shift in the document."""
-    probes = probes.withColumnRenamed("pos", "ipos")
-    return (index.where(F.col("term") != END).join(_sized(probes), "term")
-            .groupBy("doc_id", "doc", "item", (F.col("pos") - F.col("ipos")).alias("shift"))
-            .agg(F.collect_set("ipos").alias("seen")))
-
-
-def proximity_matches(index: DataFrame, probes: DataFrame, windows: DataFrame, slop: int = 3) -> DataFrame:
-    """(item_id, doc_id, start): windows all of whose probe words occur in the item's order of
-    offsets up to ``slop`` words of insertions or deletions: their shifts lie within ``slop``.
-
-    Frames are per (document, item), so they hold one document's postings at most."""
-    from pyspark.sql import Window
-
-    hits = (index.where(F.col("term") != END).withColumnRenamed("pos", "at").join(_sized(probes), "term")
-            .select("doc_id", "doc", "item", "pos", (F.col("at") - F.col("pos")).alias("shift")))
-    near = Window.partitionBy("doc_id", "doc", "item").orderBy("shift").rangeBetween(0, slop)
-    seen = hits.withColumn("seen", F.collect_set("pos").over(near))
-    return (seen.join(windows, "item").select("item_id", "doc_id", "shift", "seen", F.explode("windows").alias("w"))
+    """(row, item, shift): offset-adjusted intersection of the posting lists of the rarest words. A
+    document position less the item position is the shift; where an item passage stands in a
+    document, the lists of a window's words all have its shift."""
+    return (postings(index).join(_sized(probes), "term")
+            .groupBy("row", "item", (F.col("pos") - F.col("ipos")).alias("shift"))
+            .agg(F.count("*").alias("seen"), F.max("need").alias("need")).where("seen >= need").select("row", "item", "shift"))
+
+
+def proximity_matches(index: DataFrame, windows: DataFrame, slop: int = 3) -> DataFrame:
+    """(item_id, row, start, shift): windows whose rarest words all occur with shifts that differ by up
+    to ``slop``, that is with so many words put in or left out between them. Frames are of one
+    document and item."""
+    near = Window.partitionBy("row", "item").orderBy("shift").rangeBetween(0, slop)
+    hits = (postings(index).join(_sized(probe_positions(windows)), "term")
+            .select("row", "item", "ipos", (F.col("pos") - F.col("ipos")).alias("shift")).withColumn("seen", F.collect_set("ipos").over(near)))
+    return (hits.join(windows, "item").select("item_id", "row", "shift", "seen", F.explode("windows").alias("w"))
             .where(F.size(F.array_except("w.probes", "seen")) == 0)
-            .groupBy("item_id", "doc_id", F.col("w.start").alias("start")).agg(F.min("shift").alias("shift")))
+            .groupBy("item_id", "row", F.col("w.start").alias("start")).agg(F.min("shift").alias("shift")))
 
 
 def phrase_matches(docs: DataFrame, index: DataFrame, windows: DataFrame, probes: DataFrame,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, doc, matches): per document the exact occurrences (item_id, start, width) of windows."""
-    possible = F.filter("windows", lambda w: F.size(F.array_except(w["probes"], F.col("seen"))) == 0)
-    candidates = stored(meetings(index, probes).join(windows, "item").withColumn("starts", F.transform(possible, lambda w: w["start"]))
-                        .where(F.size("starts") > 0)
-                        .groupBy("doc_id", "doc").agg(F.collect_list(F.struct("item_id", "words", "width", "shift", "starts")).alias("found")),
-                        "candidates").withColumnsRenamed({"doc_id": "c_id", "doc": "c_doc"})
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["c_id"]) & (a["doc"] == b["c_doc"])
+    """(row, matches): the exact occurrences (item_id, start, width) of windows in each document that
+    has any. Where an item's rarest words meet, its windows are compared word by word."""
+    place = F.struct("item_id", "words", "width", "shift")
+    found = meetings(index, probes).join(windows.select("item", "item_id", "words", "width"), "item").groupBy("row").agg(F.collect_list(place).alias("found"))
+    found = stored(found.join(lengths(index), "row").select("row", F.col("doc_id").alias("c_id"), F.col("doc").alias("c_doc"), "found"), "candidates")
+    keys = _sized(found.select("c_id", "c_doc").distinct())
     texts = docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("doc"), F.col(text_col).alias("text"))
-    keys = _sized(candidates.select("c_id", "c_doc"))
-    texts = texts.join(keys, same(texts, keys), "left_semi").dropDuplicates(["doc_id", "doc"])
+    same = lambda b: texts["doc_id"].eqNullSafe(b["c_id"]) & (texts["doc"] == b["c_doc"])
+    texts = texts.join(keys, same(keys), "left_semi").dropDuplicates(["doc_id", "doc"])
     own = texts.select("doc_id", "doc", words_of(F.col("text")).alias("own"))
 
     def checked(c: Column) -> Column:
-        equal = lambda s: F.slice("own", s + c["shift"] + 1, c["width"]) == F.slice(c["words"], s + 1, c["width"])
-        inside = lambda s: s + c["shift"] >= 0
-        return F.transform(F.filter(F.filter(c["starts"], inside), equal),
+        equal = lambda s: ((s + c["shift"] >= 0) &
+                           (F.slice("own", F.greatest(s + c["shift"], F.lit(0)) + 1, c["width"]) == F.slice(c["words"], s + 1, c["width"])))
+        return F.transform(F.filter(F.sequence(F.lit(0), F.size(c["words"]) - c["width"]), equal),
                            lambda s: F.struct(c["item_id"].alias("item_id"), (s + c["shift"]).alias("start"), c["width"].alias("width")))
 
-    return (own.join(candidates, same(own, candidates))
-            .select("doc_id", "doc", F.flatten(F.transform("found", checked)).alias("matches")).where(F.size("matches") > 0))
+    return (own.join(found, own["doc_id"].eqNullSafe(found["c_id"]) & (own["doc"] == found["c_doc"]))
+            .select("row", F.flatten(F.transform("found", checked)).alias("matches")).where(F.size("matches") > 0))
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  window: int = 10, probes: int = 3) -> DataFrame:
+                  window: int = 10, probes: int = 2) -> DataFrame:
     """One row per document: doc_id, doc (digest of the text), n_words, n_hit, items (sorted
     item ids as strings), matches (item_id, start, width) and contaminated.
 
@@ -145,13 +152,11 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     found = phrase_matches(docs, index, windows, probe, id_col, text_col)
     hit = F.array_distinct(F.flatten(F.transform("matches", lambda m: F.sequence(m["start"], m["start"] + m["width"] - 1))))
     ids = F.array_sort(F.array_distinct(F.filter(F.transform("matches", lambda m: m["item_id"]), lambda x: x.isNotNull())))
-    found = found.select(F.col("doc_id").alias("c_id"), F.col("doc").alias("c_doc"), "matches",
-                         F.size(hit).cast("long").alias("n_hit"), ids.alias("items"))
-    rows = index.where(F.col("term") == END).select("doc_id", "doc", F.col("pos").cast("long").alias("n_words"))
-    rows = rows.join(found, rows["doc_id"].eqNullSafe(found["c_id"]) & (rows["doc"] == found["c_doc"]), "left")
-    return rows.select("doc_id", "doc", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-                       F.coalesce("items", F.array().cast("array<string>")).alias("items"), "matches",
-                       (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    found = found.select("row", "matches", F.size(hit).cast("long").alias("n_hit"), ids.alias("items"))
+    n_hit = F.coalesce("n_hit", F.lit(0))
+    return lengths(index).join(found, "row", "left").select(
+        "doc_id", "doc", "n_words", n_hit.cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        "matches", (n_hit > 0).alias("contaminated"))
 
 
 def op2_decontamination(spark, sf_dir):

@@ -31,23 +31,24 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the document itself; the text is shuffled once. Adaptive execution splits the partitions of a
     line that a large part of the documents hold."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.split(text, "\n")
-    keys = F.transform(lines, lambda x: F.when(F.char_length(line_key(x)) >= min_chars, F.md5(line_key(x))))
+    long_enough = F.filter(F.transform(F.split(text, "\n"), line_key), lambda x: F.char_length(x) >= min_chars)
+    placed = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("pos"), line_key(x).alias("key")))
     row = [F.col(id_col).alias("__ld_id"), digest(F.col(text_col)).alias("__ld_text")]
-    common = (docs.select(F.explode(F.array_distinct(keys)).alias("k")).where("k IS NOT NULL")
+    common = (docs.select(F.explode(F.array_distinct(F.transform(long_enough, lambda x: F.md5(x)))).alias("k"))
               .groupBy(F.unhex("k").alias("k")).count().where(F.col("count") >= min_docs).select("k"))
-    hits = (docs.select(*row, F.posexplode(keys).alias("pos", "k")).where("k IS NOT NULL")
-            .select("__ld_id", "__ld_text", "pos", F.unhex("k").alias("k"))
+    hits = (docs.select(*row, placed.alias("lines")).select("__ld_id", "__ld_text", F.explode("lines").alias("line")).where(F.char_length("line.key") >= min_chars)
+            .select("__ld_id", "__ld_text", "line.pos", F.unhex(F.md5("line.key")).alias("k"))
             .join(common, "k").groupBy("__ld_id", "__ld_text").agg(F.collect_set("pos").alias("__ld_gone"))
             .select(F.col("__ld_id").alias("__ld_id2"), F.col("__ld_text").alias("__ld_text2"), "__ld_gone"))
     found = docs.select("*", *row).join(
         hits, F.col("__ld_id").eqNullSafe(F.col("__ld_id2")) & (F.col("__ld_text") == F.col("__ld_text2")), "left")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__ld_gone"))
-    out = {"n_lines": F.size(lines).cast("long"),
-           "n_dropped": F.coalesce(F.size("__ld_gone"), F.lit(0)).cast("long"),
+    found = found.withColumn("__ld_lines", F.split(text, "\n"))  # a column, as an expression would be evaluated for each line
+    n = F.size("__ld_lines")
+    kept = F.array_except(F.sequence(F.lit(0), n - 1), F.col("__ld_gone"))
+    out = {"n_lines": n.cast("long"), "n_dropped": F.coalesce(F.size("__ld_gone"), F.lit(0)).cast("long"),
            text_col: F.when(F.col("__ld_gone").isNull(), text).otherwise(
-               F.array_join(F.transform(kept, lambda p: F.get(lines, p)), "\n"))}
-    return found.withColumns(out).drop("__ld_id", "__ld_text", "__ld_id2", "__ld_text2", "__ld_gone")
+               F.array_join(F.transform(kept, lambda p: F.get(F.col("__ld_lines"), p)), "\n"))}
+    return found.withColumns(out).drop("__ld_id", "__ld_text", "__ld_id2", "__ld_text2", "__ld_gone", "__ld_lines")
 
 
 def op3_line_dedup(spark, sf_dir):

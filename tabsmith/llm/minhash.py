@@ -19,8 +19,10 @@ def word_list(text: Column) -> Column:
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"[\x20\x09-\x0D]+"))
 
 
-def shingle_set(words: Column, k: int = 5) -> Column:
-    """Distinct 64-bit digests of the ``k``-word shingles; a shorter text is one shingle."""
+def shingle_set(name: str, k: int = 5) -> Column:
+    """Distinct 64-bit digests of the ``k``-word shingles; a shorter text is one shingle. Takes the
+    name of a column of words: an expression would be evaluated again for each word."""
+    words = F.col(name)
     each = F.transform(F.sequence(F.lit(0), F.size(words) - k), lambda i: F.xxhash64(*(F.get(words, i + j) for j in range(k))))
     return (F.when(F.size(words) >= k, F.array_distinct(each))
             .when(F.size(words) > 0, F.array(F.xxhash64(F.array_join(words, "\n"))))
@@ -38,8 +40,8 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int,
     set, the smallest id and a hash of each band. Minima are aggregated before the shuffle, so
     a text with many copies crosses the network once a task."""
     sets = (docs.select(F.col(id_col).alias("id"), digest(F.col(text_col)).alias("text"), word_list(F.col(text_col)).alias("w"))
-            .select("id", "text", shingle_set(F.col("w"), k).alias("s"))
-            .select("id", "text", F.size("s").alias("n"), F.explode("s").alias("s")))
+            .select("id", "text", shingle_set("w", k).alias("s"))
+            .select("id", "text", F.size("s").alias("n"), "s").select("id", "text", "n", F.explode("s").alias("s")))
     minima = sets.groupBy("text").agg(F.max("n").alias("n"), F.min("id").alias("first_id"),
                                       *(F.min(coordinate(F.col("s"), i)).alias(f"c{i}") for i in range(bands * rows)))
     band = [F.xxhash64(F.lit(b), *(F.col(f"c{b * rows + r}") for r in range(rows))) for b in range(bands)]
@@ -113,7 +115,7 @@ def _sets(docs: DataFrame, sig: DataFrame, members: DataFrame, id_col: str, text
     need = members.select("text").distinct().join(sig.select("text", "first_id"), "text").withColumnsRenamed({"text": "need", "first_id": "need_id"})
     rows = docs.select(F.col(id_col).alias("id"), digest(F.col(text_col)).alias("text"), F.col(text_col).alias("body"))
     rows = rows.join(need, (rows["text"] == need["need"]) & rows["id"].eqNullSafe(need["need_id"])).dropDuplicates(["text"])
-    return stored(rows.select("text", shingle_set(word_list(F.col("body")), k).alias("s")), "sets")
+    return stored(rows.select("text", word_list(F.col("body")).alias("w")).select("text", shingle_set("w", k).alias("s")), "sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -131,8 +133,8 @@ def op5_minhash_near_dedup(spark, sf_dir):
 
 ORACLE = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-         'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x20\x09-\x0D]+'), []) AS ws FROM documents
 ), x0 AS (
   SELECT doc_id, array_to_string(ws, chr(10)) AS g FROM d WHERE len(ws) BETWEEN 1 AND 4
   UNION ALL
