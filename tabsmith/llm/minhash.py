@@ -38,10 +38,11 @@ def coordinate(shingle: Column, number: int) -> Column:
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int, rows: int) -> DataFrame:
     """(text, n, first_id, bands): per distinct text with words its digest, the size of its shingle
     set, the smallest id and a hash of each band. Minima are aggregated before the shuffle, so
-    a text with many copies crosses the network once a task."""
+    a text with many copies crosses the network once a task. Sets are spread by the outer form of
+    explode: for the inner form Spark would make each set once more, in a filter."""
     sets = (docs.select(F.col(id_col).alias("id"), digest(F.col(text_col)).alias("text"), word_list(F.col(text_col)).alias("w"))
             .select("id", "text", shingle_set("w", k).alias("s"))
-            .select("id", "text", F.size("s").alias("n"), "s").select("id", "text", "n", F.explode("s").alias("s")))
+            .select("id", "text", F.size("s").alias("n"), "s").select("id", "text", "n", F.explode_outer("s").alias("s")).where("s IS NOT NULL"))
     minima = sets.groupBy("text").agg(F.max("n").alias("n"), F.min("id").alias("first_id"),
                                       *(F.min(coordinate(F.col("s"), i)).alias(f"c{i}") for i in range(bands * rows)))
     band = [F.xxhash64(F.lit(b), *(F.col(f"c{b * rows + r}") for r in range(rows))) for b in range(bands)]
@@ -82,7 +83,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _components(docs: DataFrame, sig: DataFrame, id_col: str, text_col: str, k: int, percent: int, rounds: int) -> DataFrame:
     """(text, root) for the nodes that are linked with another."""
-    spread = sig.select("text", "n", F.explode("bands").alias("bucket"))
+    spread = sig.select("text", "n", F.explode_outer("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
     members = stored(spread.join(shared, "bucket"), "buckets")
     sets = _sets(docs, sig, members, id_col, text_col, k)
