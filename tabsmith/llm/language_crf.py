@@ -19,12 +19,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Documents a language that the model is fitted on: the bound of the training sample.
-SAMPLE = 150
+SAMPLE = 100
 DIMENSIONS = 1 << 16
 SEGMENT = 64
 _WORD = re.compile(r"[^\W\d_]+")
 #: Characters handled at a time and words whose scores a worker remembers.
-SLICE_CHARS, REMEMBERED = 2_000_000, 400_000
+SLICE_CHARS, REMEMBERED = 2_000_000, 800_000
 
 
 def words_in(text: str | None) -> list[str]:
@@ -32,13 +32,32 @@ def words_in(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+class _Numbers(dict):
+    """Feature numbers by name; names of affixes and n-grams are remembered."""
+
+    def __missing__(self, name: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        self[name] = number = _number(name)
+        return number
+
+
+def _number(name: str) -> int:
+    return crc32(name.encode("utf-8", "surrogatepass")) % DIMENSIONS
+
+
+_NUMBERS = _Numbers()
+
+
 def features(word: str) -> list[int]:
     """Hashed features: affixes of up to 4 letters, n-grams of 2 and 3 with borders, the word itself."""
-    marked = f"^{word}$"
-    names = [f"p{word[:n]}" for n in range(1, min(4, len(word)) + 1)] + [f"s{word[-n:]}" for n in range(1, min(4, len(word)) + 1)]
-    names += [marked[i:i + n] for n in (2, 3) for i in range(len(marked) - n + 1)]
-    names.append(f"w{word}")
-    return [crc32(x.encode("utf-8", "surrogatepass")) % DIMENSIONS for x in names]
+    known, marked, n = _NUMBERS, f"^{word}$", len(word)
+    out = [known[marked[i:i + 2]] for i in range(n + 1)]
+    out += [known[marked[i:i + 3]] for i in range(n)]
+    out += [known["<" + word[:i]] for i in range(1, min(4, n) + 1)]
+    out += [known[word[-i:] + ">"] for i in range(1, min(4, n) + 1)]
+    out.append(_number("=" + word))
+    return out
 
 
 def feature_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +112,7 @@ def forward_backward(emit: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, n
     return gamma / gamma.sum(2, keepdims=True), pairs
 
 
-def fit(texts: list[str], labels: list, epochs: int = 40, rate: float = 0.5, penalty: float = 1e-4, chain: int = 192, run: int = 32,
+def fit(texts: list[str], labels: list, epochs: int = 25, rate: float = 0.5, penalty: float = 1e-4, chain: int = 192, run: int = 32,
         seed: int = 7) -> Model:
     """Fit by Adagrad on the conditional likelihood. Training chains are put together from runs of
     words of documents in random order, so that the transitions learn changes of language."""
@@ -120,9 +139,10 @@ def fit(texts: list[str], labels: list, epochs: int = 40, rate: float = 0.5, pen
     flat, starts = feature_rows(list(vocabulary))
     lengths = np.diff(np.append(starts, len(flat)))
     owner = np.repeat(np.arange(len(vocabulary)), lengths)
+    used, flat = np.unique(flat, return_inverse=True)
     in_lexicon = np.array([lexicon.get(w, -1) for w in vocabulary])
-    w, trans, lex = np.zeros((DIMENSIONS, k)), np.zeros((k, k)), 0.0
-    gw, gt, gl = np.full((DIMENSIONS, 1), 1e-6), np.full((k, k), 1e-6), 1e-6
+    w, trans, lex = np.zeros((len(used), k)), np.zeros((k, k)), 0.0
+    gw, gt, gl = np.full((len(used), 1), 1e-6), np.full((k, k), 1e-6), 1e-6
     tokens = x.size
     onehot = np.eye(k)[y]
     observed = np.zeros((k, k))
@@ -131,10 +151,9 @@ def fit(texts: list[str], labels: list, epochs: int = 40, rate: float = 0.5, pen
         emit = np.add.reduceat(w[flat], starts, axis=0)
         emit[in_lexicon >= 0, in_lexicon[in_lexicon >= 0]] += lex
         gamma, pairs = forward_backward(emit[x], trans)
-        miss = np.zeros((len(vocabulary), k))
-        np.add.at(miss, x.ravel(), (onehot - gamma).reshape(-1, k))
-        dw = np.zeros_like(w)
-        np.add.at(dw, flat, miss[owner])
+        wrong = (onehot - gamma).reshape(-1, k)
+        miss = np.stack([np.bincount(x.ravel(), wrong[:, j], len(vocabulary)) for j in range(k)], axis=1)
+        dw = np.stack([np.bincount(flat, miss[owner, j], len(used)) for j in range(k)], axis=1)
         dw = dw / tokens - penalty * w
         dt = (observed - pairs) / tokens - penalty * trans
         dl = miss[in_lexicon >= 0, in_lexicon[in_lexicon >= 0]].sum() / tokens - penalty * lex
@@ -144,7 +163,9 @@ def fit(texts: list[str], labels: list, epochs: int = 40, rate: float = 0.5, pen
         w += rate * dw / np.sqrt(gw)
         trans += rate * dt / np.sqrt(gt)
         lex += rate * dl / np.sqrt(gl)
-    return Model(languages, w.astype(np.float32), lexicon, float(lex), trans)
+    weights = np.zeros((DIMENSIONS, k), dtype=np.float32)
+    weights[used] = w
+    return Model(languages, weights, lexicon, float(lex), trans)
 
 
 def chain_marginals(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndarray:
@@ -210,17 +231,19 @@ class Labeller:
     """Labels the words of texts; remembers the scores of words that it has met."""
 
     def __init__(self, model: Model):
-        self.model, self.known, self.table = model, {}, np.zeros((0, len(model.languages)))
+        self.model, self.known, self.table = model, {}, np.zeros((1024, len(model.languages)))
 
     def emissions(self, words: list[str]) -> np.ndarray:
         if len(self.known) > REMEMBERED:
-            self.known, self.table = {}, self.table[:0]
-        fresh = [w for w in dict.fromkeys(words) if w not in self.known]
-        for i, w in enumerate(fresh, len(self.known)):
-            self.known[w] = i
-        if fresh:
-            self.table = np.concatenate([self.table, self.model.scores(fresh)])
+            self.known = {}
         known = self.known
+        fresh = [w for w in dict.fromkeys(words) if w not in known]
+        if fresh:
+            at = len(known)
+            while at + len(fresh) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[at:at + len(fresh)] = self.model.scores(fresh)
+            known.update(zip(fresh, range(at, at + len(fresh))))
         return self.table[[known[w] for w in words]]
 
     def label(self, texts: list[str | None]) -> list[tuple[list[str], np.ndarray]]:
