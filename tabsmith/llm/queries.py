@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tabsmith.llm import decontam, html_text, language_crf, line_dedup, minhash, packing, token_scan, warc
+from tabsmith.llm import decontam, html_text, language_crf, line_dedup, minhash, packing, token_scan, vector_graph, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_decontamination": decontam.op2_decontamination,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_embedding_near_dedup": vector_graph.op4_embedding_near_dedup,
     "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
     "op6_warc": warc.op6_warc,
     "op7_html_extraction": html_text.op7_html_extraction,
