@@ -30,11 +30,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/tabsmith/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it back: the plan starts anew from
-    files that survive the loss of any executor."""
+def stored(df: DataFrame, name: str, *parts: str) -> DataFrame:
+    """Write ``df`` as Parquet under the shared folder, in folders by ``parts``, and read it back: the
+    plan starts anew from files that survive the loss of any executor."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*parts).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

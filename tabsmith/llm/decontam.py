@@ -39,7 +39,7 @@ def benchmark_items(bench: DataFrame, id_col: str = "item_id", text_col: str = "
 
 def term_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, n): occurrences of each of ``terms`` in all documents."""
-    return (docs.select(F.explode(words_of(F.col(text_col))).alias("term")).join(_sized(terms), "term")
+    return (docs.select(F.explode_outer(words_of(F.col(text_col))).alias("term")).join(_sized(terms), "term")
             .groupBy("term").agg(F.count("*").alias("n")))
 
 
@@ -74,7 +74,7 @@ def build_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_
     with_end = _sized(terms.unionByName(docs.sparkSession.createDataFrame([(END,)], "term string")))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("doc"),
                        F.concat(words_of(F.col(text_col)), F.array(F.lit(END))).alias("own"))
-    tokens = rows.select("row", "doc_id", "doc", F.posexplode("own").alias("pos", "term")).join(with_end, "term")
+    tokens = rows.select("row", "doc_id", "doc", F.posexplode_outer("own").alias("pos", "term")).join(with_end, "term")
     last = F.col("term") == END
     return stored(tokens.select("term", "row", "pos", F.when(last, F.col("doc_id")).alias("doc_id"), F.when(last, F.col("doc")).alias("doc")), "postings")
 

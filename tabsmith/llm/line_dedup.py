@@ -34,9 +34,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     long_enough = F.filter(F.transform(F.split(text, "\n"), line_key), lambda x: F.char_length(x) >= min_chars)
     placed = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("pos"), line_key(x).alias("key")))
     row = [F.col(id_col).alias("__ld_id"), digest(F.col(text_col)).alias("__ld_text")]
-    common = (docs.select(F.explode(F.array_distinct(F.transform(long_enough, lambda x: F.md5(x)))).alias("k"))
+    common = (docs.select(F.explode_outer(F.array_distinct(F.transform(long_enough, lambda x: F.md5(x)))).alias("k")).where("k IS NOT NULL")
               .groupBy(F.unhex("k").alias("k")).count().where(F.col("count") >= min_docs).select("k"))
-    hits = (docs.select(*row, placed.alias("lines")).select("__ld_id", "__ld_text", F.explode("lines").alias("line")).where(F.char_length("line.key") >= min_chars)
+    hits = (docs.select(*row, placed.alias("lines")).select("__ld_id", "__ld_text", F.explode_outer("lines").alias("line")).where(F.char_length("line.key") >= min_chars)
             .select("__ld_id", "__ld_text", "line.pos", F.unhex(F.md5("line.key")).alias("k"))
             .join(common, "k").groupBy("__ld_id", "__ld_text").agg(F.collect_set("pos").alias("__ld_gone"))
             .select(F.col("__ld_id").alias("__ld_id2"), F.col("__ld_text").alias("__ld_text2"), "__ld_gone"))

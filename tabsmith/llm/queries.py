@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabsmith.llm import decontam, html_text, language_crf, line_dedup, minhash, packing, token_scan, vector_graph, warc
+from tabsmith.llm import decontam, html_text, katz, language_crf, line_dedup, minhash, packing, token_scan, vector_graph, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
     "op6_warc": warc.op6_warc,
     "op7_html_extraction": html_text.op7_html_extraction,
+    "op8_lm_scoring": katz.op8_lm_scoring,
     "op9_language_id": language_crf.op9_language_id,
     "op10_token_counts": token_scan.op10_token_counts,
 }

@@ -13,6 +13,8 @@ from tabsmith.llm.common import is_empty, scratch, stored
 
 #: Fixed values of the WARC 1.0 format.
 MAGIC, GAP = "WARC/1.0\r\n", "\r\n\r\n"
+#: Digests of repeated payloads are broadcast up to this many counted rows; beyond, pages are shuffled.
+SMALL_ROWS = 100_000
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
@@ -35,7 +37,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
                         body.alias("body"), F.sha2(body, 256).alias("digest"), F.octet_length(body).alias("size"))
     first = (rows.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("order").alias("first"), F.count("*").alias("n"))
              .where("n > 1 AND first IS NOT NULL").select("digest", F.col("first").cast("string").alias("first")))
-    rows = rows.join(first, "digest", "left").withColumn("again", F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")))
+    first = stored(first, "first")
+    few = first.count() <= SMALL_ROWS
+    rows = rows.join(F.broadcast(first) if few else first, "digest", "left").withColumn("again", F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")))
     own = F.coalesce("id", F.lit("null"))
     record = F.concat(
         F.lit(MAGIC), F.when(F.col("again"), F.lit("WARC-Type: revisit\r\n")).otherwise(F.lit("WARC-Type: response\r\n")),
