@@ -3,11 +3,12 @@
 import pytest
 
 import __spark_entry__ as E
+from tabsmith.plans.registry import all_oracle_sql, all_queries
 from tests.conftest import SF_SMALL
 from tests.oracle import compare, duck
 
-SQL = E.oracle_sql()
-QUERIES = E.queries()
+SQL = all_oracle_sql()
+QUERIES = all_queries()
 
 
 @pytest.fixture(scope="module")
