@@ -64,8 +64,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     without any id, component_id is null and every row is kept. An empty table stays empty.
 
     Scale: equal texts are one node. Within a bucket the nodes are compared with one node of the
-    bucket, another one each round; buckets whose nodes have all met in one component are done,
-    as links inside a component can't change the result. Pairs of a bucket are formed only
+    bucket, which then leaves it, another one each round; buckets whose nodes have all met in one
+    component are done, as links inside a component can't change the result. Pairs of a bucket are formed only
     between different components that are left after ``rounds`` rounds. Shingle sets are made
     only for nodes that share a bucket."""
     sig = stored(signatures(docs, id_col, text_col, k, bands, rows), "signatures")
@@ -94,11 +94,12 @@ def _components(docs: DataFrame, sig: DataFrame, id_col: str, text_col: str, k:
         now = stored(now.join(mixed, "bucket"), "mixed")
         if is_empty(now):
             break
-        members = now.select("bucket", "text", "n")
         if turn < rounds:
             star = now.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("text", F.lit(turn)).alias("h"), F.col("text").alias("text2"),
                                                             F.col("n").alias("n2"), F.col("root").alias("root2"))).alias("x")).select("bucket", "x.*")
-            pairs = now.join(star, "bucket").where("root != root2")
+            now = now.join(star, "bucket")
+            pairs = now.where("root != root2")
+            members = now.where("text != text2").select("bucket", "text", "n")  # the bucket's pairs with that node are done
         else:
             other = now.select("bucket", F.col("text").alias("text2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
             pairs = now.join(other, "bucket").where("root < root2")
