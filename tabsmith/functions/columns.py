@@ -57,8 +57,10 @@ def row_hash(cols: Sequence[str | Column], seed: int = 42) -> Column:
 
 
 def default_key(df: DataFrame) -> list[Column]:
-    """All atomic columns as the row key when a caller gives none."""
-    return [q(f.name) for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    """All atomic columns as the row key when a caller gives none; the helper column ``__o`` is left
+    out."""
+    return [q(f.name) for f in df.schema.fields
+            if f.name != "__o" and not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
 
 
 def long_numeric(df: DataFrame, cols: Sequence[str], id_cols: Sequence[str] = (), var: str = "column",
@@ -82,14 +84,3 @@ def quantile_expr(col: Column, probs: Sequence[float], exact: bool = True, accur
     return F.percentile_approx(col, [float(p) for p in probs], accuracy).cast("array<double>")
 
 
-def safe_div(a: Column, b: Column) -> Column:
-    """a / b with NULL for a zero or null divisor (ANSI mode raises on plain ``/``)."""
-    return F.try_divide(a, F.when(b != 0, b))
-
-
-def r4(c: Column, digits: int = 4) -> Column:
-    return F.round(c, digits)
-
-
-def sample_key(df: DataFrame, key: Sequence[str] | None, seed: int) -> Column:
-    return row_hash(key if key else default_key(df), seed)

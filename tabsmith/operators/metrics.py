@@ -96,16 +96,15 @@ def roc_auc(pred: DataFrame, y: str = "y", score: str = "score", positive=1, by:
                                  F.round(F.col("a") / (F.col("P") * F.col("N")), digits)).alias("auc"))
 
 
-def confusion_matrix(pred: DataFrame, y: str = "y", yhat: str = "yhat", max_labels: int = 1000) -> DataFrame:
+def confusion_matrix(pred: DataFrame, y: str = "y", yhat: str = "yhat", max_labels: int | None = None) -> DataFrame:
     """Every (actual, predicted) cell over the sorted union of labels, zeros included.
 
-    The label set is one bounded array (checked against ``max_labels``); the grid is built by
-    exploding it twice — a product of label sets, never of data rows."""
+    The label set is one array (``max_labels``, default none, makes more labels an error); the grid
+    is built by exploding it twice — a product of label sets, never of data rows."""
     cc = confusion_counts(pred, y, yhat)
     labels = cc.select(F.col("actual").alias("l")).union(cc.select(F.col("predicted").alias("l"))).distinct()
     arr = labels.agg(F.sort_array(F.collect_list("l")).alias("ls"), F.count(F.lit(1)).alias("k"))
-    k = arr.select("k").first()["k"]
-    if k > max_labels:
+    if max_labels is not None and (k := arr.select("k").first()["k"]) > max_labels:
         raise ValueError(f"confusion_matrix: {k} labels exceed max_labels={max_labels}")
     grid = arr.select(F.explode("ls").alias("actual"), "ls").select("actual", F.explode("ls").alias("predicted"))
     return (grid.join(cc, on=["actual", "predicted"], how="left")

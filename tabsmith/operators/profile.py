@@ -235,12 +235,14 @@ def health_summary(df: DataFrame) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, num_cols: Sequence[str], cat_cols: Sequence[str]) -> DataFrame:
-    """(column, n_distinct) excluding nulls. Numbers are compared as doubles (so -0.0 = 0.0),
-    everything else by its string form."""
-    parts = []
-    if num_cols:
-        parts.append(long_numeric(df, num_cols).where(F.col("value").isNotNull())
-                     .groupBy("column", "value").agg(F.lit(1).alias("one")).select("column"))
+    """(column, n_distinct) excluding nulls. Numbers are compared in their own type (a double can't
+    tell longs above 2^53 apart), everything else by its string form."""
+    parts, kinds = [], {}
+    for c in num_cols:
+        kinds.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
+    for cols in kinds.values():
+        long = df.select(*[q(c) for c in cols]).unpivot([], cols, "column", "value")
+        parts.append(long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.lit(1).alias("one")).select("column"))
     if cat_cols:
         parts.append(long_strings(df, cat_cols).where(F.col("value").isNotNull())
                      .groupBy("column", "value").agg(F.lit(1).alias("one")).select("column"))
@@ -339,9 +341,9 @@ def skew_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     )
 
 
-def box_stats(df: DataFrame, columns: Sequence[str] | None = None, max_cols: int = 20, exact: bool = True) -> DataFrame:
-    """Min, q1, median, mean, q3, max and 1.5 IQR fences for the first ``max_cols`` columns."""
-    cols = (list(columns) if columns else numeric_columns(df))[:max_cols]
+def box_stats(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
+    """Min, q1, median, mean, q3, max and 1.5 IQR fences of each column."""
+    cols = list(columns) if columns else numeric_columns(df)
     long = _stats_long(df, cols, exact=exact).where("n > 0")
     q1, med, q3 = F.col("qs")[0], F.col("qs")[1], F.col("qs")[2]
     return long.select(
@@ -350,10 +352,10 @@ def box_stats(df: DataFrame, columns: Sequence[str] | None = None, max_cols: int
         F.round(q1 - 1.5 * (q3 - q1), 4).alias("lower_fence"), F.round(q3 + 1.5 * (q3 - q1), 4).alias("upper_fence"))
 
 
-def box_outliers(df: DataFrame, columns: Sequence[str] | None = None, max_cols: int = 20, n: int = 60,
+def box_outliers(df: DataFrame, columns: Sequence[str] | None = None, n: int = 60,
                  seed: int = 42, key: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
     """Up to ``n`` out-of-fence values per column, chosen by the smallest row digests."""
-    cols = (list(columns) if columns else numeric_columns(df))[:max_cols]
+    cols = list(columns) if columns else numeric_columns(df)
     bounds = iqr_bounds(df, cols, exact)
     keyed = df.withColumn("__h", row_hash(key if key else default_key(df), seed))
     long = long_numeric(keyed, cols, id_cols=["__h"])
@@ -365,7 +367,7 @@ def box_outliers(df: DataFrame, columns: Sequence[str] | None = None, max_cols:
 
 
 def _pair_sample(df: DataFrame, columns, max_cols, n, seed, key):
-    cols = (list(columns) if columns else numeric_columns(df))[:max_cols]
+    cols = list(columns) if columns else numeric_columns(df)[:max_cols]
     k = row_hash(key if key else default_key(df), seed)
     samp = df.na.drop(subset=cols).withColumn("__h", k).orderBy("__h").limit(n)
     return cols, samp
@@ -415,16 +417,16 @@ def feature_target_numeric(df: DataFrame, target: str, columns: Sequence[str] |
     )
 
 
-def feature_target_classes(df: DataFrame, target: str, columns: Sequence[str] | None = None, max_classes: int = 10,
+def feature_target_classes(df: DataFrame, target: str, columns: Sequence[str] | None = None, max_classes: int | None = None,
                            exact: bool = True) -> DataFrame:
-    """Per numeric feature and class (first ``max_classes`` class names in order):
-    q1, median, mean, q3, min, max over rows where the feature is non-null."""
+    """Per numeric feature and class q1, median, mean, q3, min and max over rows where the
+    feature is non-null. ``max_classes`` keeps the first class names in order; default all."""
     cols = [c for c in (list(columns) if columns else numeric_columns(df)) if c != target]
     cls = q(target).cast("string")
-    # the first class names: a top-k over distinct classes, at most max_classes values
-    first = [r[0] for r in df.where(cls.isNotNull()).select(cls.alias("c")).distinct()
-             .orderBy("c").limit(max_classes).collect()]
-    base = df.where(cls.isin(first)).select(cls.alias("class"), *[q(c) for c in cols])
+    base = df.where(cls.isNotNull()).select(cls.alias("class"), *[q(c) for c in cols])
+    if max_classes is not None:
+        first = base.select("class").distinct().orderBy("class").limit(max_classes)
+        base = base.join(first, "class", "left_semi")
     long = long_numeric(base, cols, id_cols=["class"]).where(F.col("value").isNotNull())
     if exact and quantile_mode(df.sparkSession) == "distributed":
         # one class may hold most rows: exact quantiles without a per-group value set in one task

@@ -66,10 +66,12 @@ def largest_remainder(counts: dict, n_draws: int) -> dict:
 
 
 def holdout_split(df: DataFrame, target: str, test_size: float = 0.2, seed: int = 42, shuffle: bool = True,
-                  stratify: bool = True, key: Sequence[str] | None = None, order_by: str | None = None) -> DataFrame:
+                  stratify: bool = True, key: Sequence[str] | None = None, order_by: str | None = None,
+                  classes_below: int | None = 20) -> DataFrame:
     """Add ``__ml_split__`` = train / test for rows with a non-null target (others
     null). n_test = ceil(n * test_size) (test_size clamped to [.05, .95]); stratified
-    allocation by largest remainder when the target qualifies; unshuffled = the last n_test
+    allocation by largest remainder when the target has 2 classes or more and fewer than
+    ``classes_below`` (None: any number, as for training on a class target); unshuffled = the last n_test
     rows in ``order_by`` order are test."""
     if not target or target not in df.columns:
         raise ValueError("Hold-out split requires target_column to exist in the dataframe.")
@@ -86,9 +88,10 @@ def holdout_split(df: DataFrame, target: str, test_size: float = 0.2, seed: int
     n_train = n - n_test
     counts = None
     if stratify and not prof["frac"]:
-        # pass 2: at most 20 class counts decide eligibility (< 20 distinct) and give the allocation
-        vc = base.where(y.isNotNull()).groupBy(y.cast("string").alias("c")).count().limit(20).collect()
-        if 2 <= len(vc) < 20:
+        # pass 2: the class counts decide eligibility and give the allocation
+        vc = base.where(y.isNotNull()).groupBy(y.cast("string").alias("c")).count()
+        vc = (vc if classes_below is None else vc.limit(classes_below)).collect()
+        if len(vc) >= 2 and (classes_below is None or len(vc) < classes_below):
             counts = {r["c"]: r["count"] for r in vc}
     strat = counts is not None
     if strat and not shuffle:
@@ -149,8 +152,6 @@ def stratified_kfold(df: DataFrame, target: str, k: int = 5, seed: int = 42, key
     keyed = df.withColumn("__h", row_hash(key if key else default_key(df), seed))
     usable = keyed.where(y.isNotNull())
     counts = sorted(((r[0], r[1]) for r in usable.groupBy(y.alias("c")).count().collect()), key=lambda t: t[0])
-    if len(counts) > 10_000:
-        raise ValueError("stratified_kfold: too many classes")
     offs, acc = [], 0
     for c, n in counts:
         offs.append((str(c), acc))

@@ -13,6 +13,7 @@ vocabulary a top-k (at most 200 terms, broadcast).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -64,12 +65,44 @@ def tfidf_long(df: DataFrame, text: str, key: Sequence[str], max_features: int =
     return w.select(*key, "term", F.col("j").cast("int").alias("j"), (F.col("raw") / norm).alias("weight"))
 
 
-def tfidf_wide(df: DataFrame, text: str, key: Sequence[str], max_features: int = 50, ngram_max: int = 1) -> DataFrame:
-    """Wide TF-IDF appended to ``df``: ``tfidf_{text}_{j}`` for j over the vocabulary (0 when absent)."""
-    long = tfidf_long(df, text, key, max_features, ngram_max)
-    k = long.agg(F.max("j")).first()[0]
-    k = -1 if k is None else k
-    wide = long.groupBy(*key).pivot("j", list(range(k + 1))).agg(F.first("weight"))
-    wide = wide.select(*key, *[F.col(str(j)).alias(f"tfidf_{text}_{j}") for j in range(k + 1)])
-    out = df.join(wide, list(key), "left")
-    return out.na.fill(0.0, [f"tfidf_{text}_{j}" for j in range(k + 1)])
+def vocabulary(df: DataFrame, text: str, max_features: int = 50, ngram_max: int = 1) -> list[tuple[str, float]]:
+    """(term, smooth idf) of the ``max_features`` terms with the largest counts, in order of the term:
+    at most 200 rows reach the driver."""
+    grams = df.select(_grams(q(text), ngram_max).alias("g"))
+    counts = grams.select(F.explode_outer("g").alias("term")).where("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
+    top = [r["term"] for r in counts.orderBy(F.col("cf").desc(), F.col("term").asc()).limit(max(5, min(int(max_features), 200))).collect()]
+    if not top:
+        return []
+    one_each = grams.select(F.explode_outer(F.array_distinct("g")).alias("term")).where(F.col("term").isin(top))
+    found = {r["term"]: r["n"] for r in one_each.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = df.agg(F.count(F.lit(1))).first()[0]
+    return sorted((t, math.log((1 + n) / (1 + found[t])) + 1) for t in top)
+
+
+def _grams(text, ngram_max: int):
+    """All n-grams (n = 1..ngram_max) of one text, as an array."""
+    t = tokens(text)
+    out = [t]
+    for n in range(2, max(1, min(int(ngram_max), 3)) + 1):
+        at = F.when(F.size(t) >= n, F.sequence(F.lit(0), F.size(t) - n)).otherwise(F.array().cast("array<int>"))
+        out.append(F.transform(F.arrays_zip(at.alias("i"), *[F.slice(t, k + 1, F.greatest(F.size(t) - n + 1, F.lit(0))).alias(f"w{k}") for k in range(n)]),
+                               lambda x: F.concat_ws(" ", *[x[f"w{k}"] for k in range(n)])))
+    return F.concat(*out)
+
+
+def tfidf_wide(df: DataFrame, text: str, max_features: int = 50, ngram_max: int = 1, fit_df: DataFrame | None = None) -> DataFrame:
+    """Wide TF-IDF appended to ``df``: ``tfidf_{text}_{j}`` for j over the vocabulary of ``fit_df``
+    (default: ``df``). The counts of a row's terms are taken in one projection: no key, no shuffle,
+    and streams work with a static ``fit_df``. Rows without any vocabulary term get zeros."""
+    vocab = vocabulary(df if fit_df is None else fit_df, text, max_features, ngram_max)
+    if not vocab:
+        return df
+    terms_ = F.array(*[F.lit(t) for t, _ in vocab])
+    # the row's terms that are in the vocabulary, then one count for each of them
+    kept = df.withColumn("__g", F.filter(_grams(q(text), ngram_max), lambda x: F.array_contains(terms_, x)))
+    equals = lambda t: lambda x: x == F.lit(t)  # noqa: E731 - one argument, as a second one would be the index
+    raw = F.array(*[F.size(F.filter("__g", equals(t))) * F.lit(idf) for t, idf in vocab])
+    kept = kept.withColumn("__w", raw)
+    kept = kept.withColumn("__n", F.sqrt(F.aggregate("__w", F.lit(0.0), lambda a, x: a + x * x)))
+    cols = {f"tfidf_{text}_{j}": F.when(F.col("__n") > 0, F.get("__w", F.lit(j)) / F.col("__n")).otherwise(F.lit(0.0)) for j in range(len(vocab))}
+    return kept.withColumns(cols).drop("__g", "__w", "__n")

@@ -11,11 +11,13 @@ import json
 import uuid
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsmith import SPLIT_COL
+from tabsmith.functions.columns import nan_to_null
 
 # The strings pandas.read_csv treats as missing by default (pandas IO docs,
 # "na_values"), so a CSV loads with the same nulls.
@@ -23,6 +25,10 @@ NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-n
                "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
+#: Text that pandas reads as a number; a cast alone would also take Java's suffixes (12d, 7f).
+NUMBER = r"(?i)^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$|^[+-]?inf(inity)?$"
+
+
 def detect_separator(spark: SparkSession, path: str) -> str:
     """``sep="auto"``: the more frequent of ',' and ';' in the header line."""
     first = spark.read.text(path).limit(1).collect()
@@ -53,7 +59,7 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", null_tokens=NULL_TO
         s = F.trim(F.col(f"`{c}`"))
         probes += [F.count(s).alias(f"n_{c}"),
                    F.count(s.try_cast("long")).alias(f"l_{c}"),
-                   F.count(s.try_cast("double")).alias(f"d_{c}"),
+                   F.count(F.when(s.rlike(NUMBER), s.try_cast("double"))).alias(f"d_{c}"),
                    F.count_if(s.isin("True", "False", "true", "false")).alias(f"b_{c}")]
     stats = nulled.agg(F.count(F.lit(1)).alias("__rows"), *probes).first()
     if stats["__rows"] == 0:
@@ -76,13 +82,14 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", null_tokens=NULL_TO
 
 
 def read_table(spark: SparkSession, uri: str, fmt: str | None = None, **opts) -> DataFrame:
-    """Any Hadoop-FS URI (file:, hdfs:, s3a:, ...) in csv / parquet / json / orc."""
+    """Any Hadoop-FS URI (file:, hdfs:, s3a:, ...) in csv / parquet / json / orc; NaN is read as
+    missing."""
     if fmt is None:
         ext = uri.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)
         fmt = ext[1].lower() if len(ext) == 2 and ext[1].lower() in ("csv", "json", "parquet", "orc") else "parquet"
     if fmt == "csv":
         return read_csv(spark, uri, **opts)
-    return spark.read.format(fmt).options(**opts).load(uri)
+    return nan_to_null(spark.read.format(fmt).options(**opts).load(uri))
 
 
 def dataset_meta(df: DataFrame, dataset_id: str, filename: str, storage_path: str) -> dict:
@@ -157,7 +164,9 @@ def record_version(spark: SparkSession, root: str, dataset: str, path: str, step
 def latest_version(spark: SparkSession, root: str, dataset: str):
     try:
         v = spark.read.schema(VERSIONS_SCHEMA).parquet(f"{root}/versions")
-    except Exception:  # noqa: BLE001 - no version written yet
+    except AnalysisException as missing:  # no version written yet; any other failure is raised
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     w = Window.partitionBy("dataset").orderBy(F.col("applied_at").desc(), F.col("version").desc())
     rows = (v.where(F.col("dataset") == dataset).withColumn("__r", F.row_number().over(w)).where("__r = 1")
@@ -170,7 +179,7 @@ def load(spark: SparkSession, root: str, dataset: str, original_path: str, sourc
     if source != "original":
         v = latest_version(spark, root, dataset)
         if v:
-            return spark.read.parquet(v["path"])
+            return nan_to_null(spark.read.parquet(v["path"]))
     return read_table(spark, original_path)
 
 
