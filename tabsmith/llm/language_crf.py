@@ -11,7 +11,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -32,41 +31,43 @@ def words_in(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-class _Numbers(dict):
-    """Feature numbers by name; names of affixes and n-grams are remembered."""
-
-    def __missing__(self, name: str) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        self[name] = number = _number(name)
-        return number
-
-
-def _number(name: str) -> int:
-    return crc32(name.encode("utf-8", "surrogatepass")) % DIMENSIONS
-
-
-_NUMBERS = _Numbers()
-
-
-def features(word: str) -> list[int]:
-    """Hashed features: affixes of up to 4 letters, n-grams of 2 and 3 with borders, the word itself."""
-    known, marked, n = _NUMBERS, f"^{word}$", len(word)
-    out = [known[marked[i:i + 2]] for i in range(n + 1)]
-    out += [known[marked[i:i + 3]] for i in range(n)]
-    out += [known["<" + word[:i]] for i in range(1, min(4, n) + 1)]
-    out += [known[word[-i:] + ">"] for i in range(1, min(4, n) + 1)]
-    out.append(_number("=" + word))
-    return out
+def _mixed(values: np.ndarray, salt: int) -> np.ndarray:
+    return (((values + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % DIMENSIONS
 
 
 def feature_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers of all words in a row and the place where each word's begin."""
-    each = [features(w) for w in words]
-    starts = np.zeros(len(each), dtype=np.int64)
-    if each:
-        np.cumsum([len(x) for x in each[:-1]], out=starts[1:])
-    return np.array([i for x in each for i in x], dtype=np.int64), starts
+    """(feature number, word) of all features of all words: affixes of up to 4 letters, n-grams of 2
+    and 3 with borders, and the word itself, hashed in vectorised form."""
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    size = np.array([len(w) for w in words], dtype=np.int64)
+    letters = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    first = np.cumsum(size + 2) - size - 1  # place of each word's first letter between its borders
+    marked = np.zeros(size.sum() + 2 * n, dtype=np.uint64)
+    inside = np.ones(len(marked), dtype=bool)
+    inside[first - 1] = inside[first + size] = False
+    marked[inside], marked[first - 1], marked[first + size] = letters, 1, 2
+    owner, step = np.repeat(np.arange(n), size + 2), np.uint64(0x100000001B3)
+    ids, owners = [], []
+    gram = marked
+    for k in (1, 2):
+        gram = gram[:-1] * step + marked[k:]
+        whole = owner[:-k] == owner[k:]
+        ids.append(_mixed(gram[whole], k))
+        owners.append(owner[:-k][whole])
+    for salt, begin, way in ((10, first, 1), (20, first + size - 1, -1)):
+        affix = np.zeros(n, dtype=np.uint64)
+        for k in range(4):
+            own = np.flatnonzero(size > k)
+            affix[own] = affix[own] * step + marked[begin[own] + way * k]
+            ids.append(_mixed(affix[own], salt + k))
+            owners.append(own)
+    place = np.arange(len(letters)) - np.repeat(np.cumsum(size) - size, size)
+    powers = np.cumprod(np.full(size.max(), step, dtype=np.uint64), dtype=np.uint64)
+    ids.append(_mixed(np.add.reduceat(letters * powers[place], np.cumsum(size) - size), 30))
+    owners.append(np.arange(n))
+    return np.concatenate(ids), np.concatenate(owners)
 
 
 @dataclass
@@ -81,10 +82,8 @@ class Model:
     transitions: np.ndarray
 
     def scores(self, words: list[str]) -> np.ndarray:
-        ids, starts = feature_rows(words)
-        if not words:
-            return np.zeros((0, len(self.languages)))
-        out = np.add.reduceat(self.weights[ids], starts, axis=0).astype(np.float64)
+        ids, owner = feature_rows(words)
+        out = np.stack([np.bincount(owner, self.weights[ids, j], len(words)) for j in range(len(self.languages))], axis=1)
         for i, w in enumerate(words):
             if w in self.lexicon:
                 out[i, self.lexicon[w]] += self.lexicon_weight
@@ -136,9 +135,7 @@ def fit(texts: list[str], labels: list, epochs: int = 25, rate: float = 0.5, pen
     counts = Counter(zip(words, labelled))
     totals = Counter(words)
     lexicon = {w: label for (w, label), n in counts.items() if n >= 5 and n >= 0.95 * totals[w]}
-    flat, starts = feature_rows(list(vocabulary))
-    lengths = np.diff(np.append(starts, len(flat)))
-    owner = np.repeat(np.arange(len(vocabulary)), lengths)
+    flat, owner = feature_rows(list(vocabulary))
     used, flat = np.unique(flat, return_inverse=True)
     in_lexicon = np.array([lexicon.get(w, -1) for w in vocabulary])
     w, trans, lex = np.zeros((len(used), k)), np.zeros((k, k)), 0.0
@@ -148,7 +145,7 @@ def fit(texts: list[str], labels: list, epochs: int = 25, rate: float = 0.5, pen
     observed = np.zeros((k, k))
     np.add.at(observed, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
     for _ in range(epochs):
-        emit = np.add.reduceat(w[flat], starts, axis=0)
+        emit = np.stack([np.bincount(owner, w[flat, j], len(vocabulary)) for j in range(k)], axis=1)
         emit[in_lexicon >= 0, in_lexicon[in_lexicon >= 0]] += lex
         gamma, pairs = forward_backward(emit[x], trans)
         wrong = (onehot - gamma).reshape(-1, k)
