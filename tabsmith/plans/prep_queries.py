@@ -42,6 +42,9 @@ QUERIES = {
     "t17_pca_projection": _t17,
     "t18_tfidf": lambda s, sf: tfidf_long(table(s, sf, "documents"), "text", ["doc_id"], 50, 1)
     .select("doc_id", "term", "j", F.round("weight", 6).alias("weight")),
+    "t18_tfidf_wide": lambda s, sf: apply_steps(table(s, sf, "documents").select("doc_id", "lang", "text"), [
+        {"type": "tfidf_column", "column": "text", "max_features": 6}])
+    .select("doc_id", *[F.round(f"tfidf_text_{j}", 6).alias(f"tfidf_text_{j}") for j in range(6)]),
     "t18_tfidf_bigrams": lambda s, sf: tfidf_long(table(s, sf, "documents"), "text", ["doc_id"], 200, 2)
     .select("doc_id", "term", "j", F.round("weight", 6).alias("weight")),
 }
@@ -104,5 +107,7 @@ FROM customer c, feats f""",
 r AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY {md5_key(LINEITEM_KEY, 42)}) AS rn FROM lineitem)
 SELECT {', '.join(LINEITEM_KEY)}, l_returnflag FROM r WHERE rn <= (SELECT m FROM m)""",
     "t18_tfidf": _tfidf_sql(50, 1),
+    "t18_tfidf_wide": f"SELECT d.doc_id, {', '.join(f'coalesce(max(weight) FILTER (j = {j}), 0.0) AS tfidf_text_{j}' for j in range(6))} "
+    f"FROM documents d LEFT JOIN ({_tfidf_sql(6, 1)}) w ON w.doc_id = d.doc_id GROUP BY d.doc_id",
     "t18_tfidf_bigrams": _tfidf_sql(200, 2),
 }

@@ -114,6 +114,12 @@ QUERIES = {
         {"type": "math_transform", "columns": ["l_quantity"], "method": "square", "output_mode": "new_columns"},
         {"type": "math_transform", "columns": ["l_quantity"], "method": "abs", "output_mode": "new_columns"},
     ]), LINEITEM_KEY, ["l_extendedprice", "l_discount", "l_tax", "sq_l_quantity", "abs_l_quantity"]),
+    "t09c_fix_skewness_log1p": lambda s, sf: apply_steps(table(s, sf, "orders").select("o_orderkey", "o_totalprice"), [
+        {"type": "fix_skewness", "columns": ["o_totalprice"], "method": "log1p", "threshold": 0.0}])
+    .select("o_orderkey", F.round("o_totalprice", 6).alias("o_totalprice")),
+    "t09c_fix_skewness_sqrt": lambda s, sf: apply_steps(table(s, sf, "orders").select("o_orderkey", "o_totalprice"), [
+        {"type": "fix_skewness", "columns": ["o_totalprice"], "method": "sqrt", "threshold": 0.0}])
+    .select("o_orderkey", F.round("o_totalprice", 6).alias("o_totalprice")),
     "t09_fix_skewness_auto": lambda s, sf: _r(apply_steps(table(s, sf, "events"), [
         {"type": "fix_skewness", "columns": ["value", "user_id"], "method": "auto"}]), ["event_id"],
         ["value", "user_id"]),
@@ -282,6 +288,8 @@ FROM orders_nulls""",
   {R('sqrt(greatest(l_tax, 0.0))')} AS l_tax, {R('l_quantity * l_quantity')} AS sq_l_quantity,
   {R('abs(l_quantity)')} AS abs_l_quantity
 FROM lineitem""",
+    "t09c_fix_skewness_log1p": "SELECT o_orderkey, round(ln(1 + o_totalprice), 6) AS o_totalprice FROM orders",
+    "t09c_fix_skewness_sqrt": "SELECT o_orderkey, round(sqrt(o_totalprice), 6) AS o_totalprice FROM orders",
     "t09_fix_skewness_auto": f"""SELECT event_id,
   {R(f"CASE WHEN {_skew_gate('value')} AND (SELECT min(value) FROM events) >= 0 THEN ln(1 + greatest(value, 0.0)) ELSE value END")} AS value,
   {R(f"CASE WHEN {_skew_gate('user_id')} THEN NULL ELSE CAST(user_id AS DOUBLE) END")} AS user_id
