@@ -24,7 +24,6 @@ SHARD, SAMPLE, CENTRES, OVERLAP = 1500, 8192, 256, 3
 NEAR, DEGREE, ALPHA, EFFORT = 64, 24, 1.2, 24
 #: How far below the threshold a vector may be for the search to go on from it.
 SLACK = 0.04
-_CLASS = "nid long, v array<double>"
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -32,12 +31,8 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
-def _lists(rows: list, kind: pa.DataType) -> pa.Array:
-    return pa.array([list(r) for r in rows], pa.list_(kind))
-
-
 def classes_of(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal vectors (nid, first, copies, v: unit vector) and (id, key, nid) of all rows.
+    """Classes of equal vectors (nid, key, first, copies, v: unit vector) and (id, key) of all rows.
     Vectors that are null, empty, zero or hold null or non-finite components have no class."""
     v = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).alias("id"), v.alias("v"))
