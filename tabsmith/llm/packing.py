@@ -15,8 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabsmith.llm.common import stored
-from tabsmith.llm.minhash import word_list
+from tabsmith.llm.common import SPACE, stored
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 #: Tokens of a shard: what one task packs at a time.
@@ -117,7 +116,8 @@ def best_fit_packing(docs: DataFrame, length_col: str, id_col: str = "doc_id", c
 
 def with_word_tokens(docs: DataFrame, text_col: str = "text", name: str = "n_tokens") -> DataFrame:
     """``docs`` with the number of words between ASCII white space and one end-of-document token."""
-    return docs.withColumn(name, F.size(word_list(F.col(text_col))).cast("long") + 1)
+    trimmed = F.btrim(F.coalesce(F.col(text_col), F.lit("")), F.lit(SPACE))
+    return docs.withColumn(name, F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+"))).cast("long") + 1)
 
 
 def op1_best_fit_packing(spark, sf_dir):
