@@ -52,6 +52,7 @@ class Tokens(NamedTuple):
 
 def block_tokens(texts: pa.Array) -> Tokens:
     """A-Z lower-cased words between ASCII white space, and one end after each text (null: empty)."""
+    texts = texts.take(pa.array(np.arange(len(texts))))  # Arrow's string functions misread slices
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
     doc, flat = pc.list_parent_indices(lists), pc.list_flatten(lists)
     real = pc.not_equal(flat, "")

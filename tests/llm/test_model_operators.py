@@ -69,6 +69,19 @@ def test_katz_against_dictionaries(spark):
     assert len(unknown) == len(rows) and all(r["n_known"] == 0 and r["score"] == r["base_score"] for r in unknown)
 
 
+def test_blocks_of_a_batch_have_its_tokens():
+    import pyarrow as pa
+
+    texts = [f"É{i} the end\x0b x" * (i % 7) for i in range(50)] + [None, "", " \t"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    got = []
+    for block in katz.blocks([batch], "text", 100):
+        tokens = katz.block_tokens(block.column(0))
+        got += [tokens.hashes[tokens.word[tokens.doc == d]].tolist() for d in range(block.num_rows)]
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    assert got == [[katz.hash_of(w) for w in [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)), katz.END]] for t in texts]
+
+
 def test_katz_beats_its_base_on_held_out_texts(spark):
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10
     r = katz.katz_scores(spark.read.parquet(f"{SF_CHECK}/documents.parquet"), fold == 0).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
