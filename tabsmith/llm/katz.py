@@ -116,7 +116,11 @@ class Common(NamedTuple):
         return np.where(self.hashes[at] == hashes, at, -1)
 
     def history_counts(self) -> np.ndarray:
-        return np.append(self.counts, [self.documents, self.tokens - self.counts.sum()]).astype(np.float64)
+        """Tokens after each common word, the start and the rare words; none stands after an end."""
+        rare = self.tokens - self.counts.sum()
+        if self.numbers(np.array([hash_of(END)], dtype=np.uint64))[0] < 0:
+            rare -= self.documents
+        return np.append(self.counts, [self.documents, rare]).astype(np.float64)
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 0.1) / (self.tokens + 0.1 * (self.distinct + 1))
@@ -138,12 +142,12 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def common_words(train: DataFrame, rare: float = RARE, text_col: str = "text") -> Common:
     """Count the words of all training texts; the common ones, at most 1 / ``rare``, are gathered."""
     counts = stored(word_counts(train, text_col), "word-counts")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    end = int(np.uint64(hash_of(END)).view(np.int64))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("h") == end, F.col("n"))), F.lit(0)).alias("ends")).first()
     found = counts.where(F.col("n") >= max(1.0, rare * total["n"])).toArrow()
     h, n = found["h"].to_numpy().view(np.uint64), found["n"].to_numpy()
     order = np.argsort(h)
-    end = np.uint64(hash_of(END))
-    return Common(h[order], n[order], int(total["n"]), int(total["v"]), int(n[h == end].sum()))
+    return Common(h[order], n[order], int(total["n"]), int(total["v"]), int(total["ends"]))
 
 
 def _spread(values: np.ndarray, buckets: int) -> np.ndarray:

@@ -248,8 +248,8 @@ class Labeller:
         words = [words_in(t) for t in texts]
         lengths = np.array([len(w) for w in words])
         flat = [w for own in words for w in own]
-        if not flat:
-            return [(w, np.zeros((0, len(self.model.languages)))) for w in words]
+        if not flat or not self.model.languages:
+            return [(w, np.zeros((len(w), len(self.model.languages)))) for w in words]
         full = lengths > 0
         gamma = chain_marginals(self.emissions(flat), lengths[full], self.model.transitions)
         ends = np.cumsum(lengths)
