@@ -20,6 +20,8 @@ from tabsmith.llm.common import connected_components, stored
 #: Vectors of a shard; vectors that a shard's centres are fitted on; centres of a level at most; shards
 #: that a vector is in at each level.
 SHARD, SAMPLE, CENTRES, OVERLAP = 1500, 8192, 256, 3
+#: Vectors that a task deals to centres at a time.
+BLOCK = 8192
 #: Candidates and edges of a vector in a shard, detour that pruning allows, steps of a search at least.
 NEAR, DEGREE, ALPHA, EFFORT = 64, 24, 1.2, 24
 #: How far below the threshold a vector may be for the search to go on from it.
@@ -61,23 +63,15 @@ def _centres(table: pa.Table) -> pa.Table:
     return pa.table({"shard": pa.array([table["shard"][0].as_py()], pa.string()), "centres": pa.array([c.tolist()], pa.list_(pa.list_(pa.float64())))})
 
 
-def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each vector to its nearest centres; rank 0 is the nearest one all the way down."""
-    for batch in batches:
-        shard, nid, rank, centres = (batch.column(c).to_pylist() for c in ("shard", "nid", "rank", "centres"))
-        v = batch.column("v")
-        out: list[tuple] = []
-        by: dict[str, list[int]] = {}
-        for i, s in enumerate(shard):
-            by.setdefault(s, []).append(i)
-        for s, own in by.items():
-            if centres[own[0]] is None:
-                out += [(s, nid[i], rank[i], i) for i in own]
-                continue
-            near = np.argsort(-(_matrix(v.take(pa.array(own))) @ np.array(centres[own[0]]).T), axis=1, kind="stable")[:, :OVERLAP]
-            out += [(f"{s}.{c}", nid[i], max(rank[i], j), i) for i, both in zip(own, near) for j, c in enumerate(both)]
-        yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64()),
-                                          v.take(pa.array([o[3] for o in out], pa.int64())), pa.array([o[2] for o in out], pa.int32())], ["shard", "nid", "v", "rank"])
+def _dealt(vectors: pa.Table, centres: pa.Table) -> pa.Table:
+    """One block of a shard's vectors, each to its nearest centres; rank 0 is the nearest one all the
+    way down."""
+    shard, c = centres["shard"][0].as_py(), np.array(centres["centres"][0].as_py())
+    x, rank = _matrix(vectors["v"]), vectors["rank"].to_numpy()
+    near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :OVERLAP]
+    row, place = np.repeat(np.arange(len(x)), near.shape[1]), np.tile(np.arange(near.shape[1]), len(x))
+    return pa.table({"shard": pa.array([f"{shard}.{j}" for j in near.reshape(-1)], pa.string()), "nid": vectors["nid"].take(pa.array(row)),
+                     "v": vectors["v"].take(pa.array(row)), "rank": pa.array(np.maximum(rank[row], place).astype(np.int32))})
 
 
 def overlapping_shards(classes: DataFrame, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
@@ -87,14 +81,17 @@ def overlapping_shards(classes: DataFrame, shard: int = SHARD, sample: int = SAM
     now = classes.select(F.size("v").cast("string").alias("shard"), "nid", "v", F.lit(0).alias("rank"))
     for _ in range(6):
         large = now.groupBy("shard").count().where(F.col("count") > shard)
-        large = stored(large.select("shard", F.least(F.ceil(F.col("count") * OVERLAP / shard), F.lit(CENTRES)).cast("int").alias("k")), "large")
+        large = stored(large.select("shard", F.least(F.ceil(F.col("count") * OVERLAP / shard), F.lit(CENTRES)).cast("int").alias("k"),
+                                    F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "large")
         if not large.take(1):
             break
         order = Window.partitionBy("shard").orderBy(F.xxhash64("nid"), "nid")
         part = now.select("shard", "nid").withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).drop("r").join(large, "shard")
         fitted = part.join(classes.select("nid", "v"), "nid").select("shard", "k", "v").groupBy("shard").applyInArrow(_centres, "shard string, centres array<array<double>>")
-        fitted = stored(fitted, "centres")
-        now = stored(now.join(fitted, "shard", "left").mapInArrow(_dealt, "shard string, nid long, v array<double>, rank int"), "shards")
+        fitted = stored(fitted, "centres").join(large, "shard").select("shard", "centres", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        blocks = now.join(large, "shard").withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
+        split = blocks.groupBy("shard", "block").cogroup(fitted.groupBy("shard", "block")).applyInArrow(_dealt, "shard string, nid long, v array<double>, rank int")
+        now = stored(now.join(large, "shard", "left_anti").select("shard", "nid", "v", "rank").unionByName(split), "shards")
     return now
 
 
@@ -181,7 +178,7 @@ def vector_links(classes: DataFrame, shards: DataFrame, threshold: float = 0.95)
     graph = shards.groupBy("shard").applyInArrow(_graph, "nid long, next array<long>")
     united = stored(graph.groupBy("nid").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next")), "graph")
     members = shards.select("shard", "nid", "v", "rank").join(united, "nid")
-    beyond = (members.select("shard", F.explode("next").alias("nid")).distinct()
+    beyond = (members.where("rank = 0").select("shard", F.explode("next").alias("nid")).distinct()
               .join(shards.select("shard", "nid"), ["shard", "nid"], "left_anti").join(classes.select("nid", "v"), "nid")
               .select("shard", "nid", "v", F.lit(-1).alias("rank"), F.array().cast("array<long>").alias("next")))
     both = members.select("shard", "nid", "v", "rank", "next").unionByName(beyond)
