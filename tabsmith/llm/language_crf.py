@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +23,8 @@ SAMPLE = 100
 DIMENSIONS = 1 << 16
 SEGMENT = 64
 _WORD = re.compile(r"[^\W\d_]+")
-#: Characters handled at a time and words whose scores a worker remembers.
-SLICE_CHARS, REMEMBERED = 2_000_000, 800_000
+#: Bytes of text handled at a time and words whose scores a worker remembers.
+SLICE_CHARS, REMEMBERED = 500_000, 150_000
 
 
 def words_in(text: str | None) -> list[str]:
@@ -278,19 +279,22 @@ def identify_languages(docs: DataFrame, model: Model, text_col: str = "text", pa
     no letters gets ``und`` and 0; so does every text if the model has no languages. Ties go to the
     first language in order. Rows are mapped one to one, whole texts in bounded slices."""
     names = [*passed]
+    own = text_col in names and docs.schema[text_col].dataType.simpleString() == "string"
+    at_text = names.index(text_col) if own else len(names)  # a text that is passed on isn't sent twice
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = batch.column(at_text)
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
             found = []
             at = 0
             while at < len(texts):
                 to, chars = at, 0
                 while to < len(texts) and (to == at or chars < SLICE_CHARS):
-                    chars += len(texts[to] or "")
+                    chars += sizes[to]
                     to += 1
-                for words, gamma in labeller.label(texts[at:to]):
+                for words, gamma in labeller.label(texts.slice(at, to - at).to_pylist()):
                     if len(words) and model.languages:
                         share = gamma.mean(0)
                         best = int(share.argmax())
@@ -301,8 +305,8 @@ def identify_languages(docs: DataFrame, model: Model, text_col: str = "text", pa
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array([x for x, _ in found], pa.string()),
                                               pa.array([x for _, x in found], pa.float64())], [*names, "lang_pred", "score"])
 
-    columns = docs.select(*names, F.col(text_col).cast("string").alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema.fields[:-1])
+    columns = docs.select(*names, *([] if own else [F.col(text_col).cast("string").alias("__text")]))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema.fields[:len(names)])
     return columns.mapInArrow(predict, f"{fields}, lang_pred string, score double")
 
 
