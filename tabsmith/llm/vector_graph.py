@@ -142,31 +142,31 @@ def _graph(table: pa.Table) -> pa.Table:
 def range_search(x: np.ndarray, adjacent: np.ndarray, queries: np.ndarray, starts: np.ndarray, threshold: float,
                  effort: int = EFFORT, slack: float = SLACK, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(queries, found, cosine) of what a greedy search from ``starts`` finds with a cosine of at
-    least ``threshold``. A search always goes on from the best vector met that it hasn't gone on
-    from; it ends after ``effort`` steps, but not before all vectors in range have had their turn."""
+    least ``threshold``. For ``effort`` steps a search goes on from the best vector met that it
+    hasn't gone on from; besides, and until none is left, from all vectors in range at once."""
+    n, degree = len(x), adjacent.shape[1]
     for at in range(0, len(queries), block):
         own = queries[at:at + block]
         q, rows = x[own], np.arange(len(own))
-        sim = np.full((len(own), len(x)), -np.inf)
+        sim = np.full((len(own), n), -np.inf)
         sim[:, starts] = q @ x[starts].T
-        todo = np.isfinite(sim)
-        active, step = rows, 0
-        while len(active):
-            open_sim = np.where(todo[active], sim[active], -np.inf)
-            best = open_sim.argmax(1)
-            value = open_sim[np.arange(len(active)), best]
-            go = np.isfinite(value) & ((step < effort) | (value >= threshold - slack))
-            active, best = active[go], best[go]
-            if not len(active):
+        ahead = sim.copy()  # of the vectors met, those that the search hasn't gone on from
+        step = 0
+        while True:
+            who, node = np.nonzero(ahead >= threshold - slack)
+            if step < effort:
+                best = ahead.argmax(1)
+                more = np.isfinite(ahead[rows, best]) & (ahead[rows, best] < threshold - slack)
+                who, node = np.concatenate([who, rows[more]]), np.concatenate([node, best[more]])
+            if not len(who):
                 break
-            todo[active, best] = False
-            near = adjacent[best]
-            r, c = np.nonzero(near >= 0)
-            who, node = active[r], near[r, c]
-            fresh = ~np.isfinite(sim[who, node])
-            who, node = who[fresh], node[fresh]
-            sim[who, node] = np.einsum("nd,nd->n", q[who], x[node])
-            todo[who, node] = True
+            ahead[who, node] = -np.inf
+            for k in range(0, len(who), 50_000):
+                near = adjacent[node[k:k + 50_000]]
+                place = (np.repeat(who[k:k + 50_000], degree) * n + near.reshape(-1))[near.reshape(-1) >= 0]
+                place = np.unique(place[~np.isfinite(sim.reshape(-1)[place])])
+                r, c = np.divmod(place, n)
+                sim[r, c] = ahead[r, c] = np.einsum("nd,nd->n", q[r], x[c])
             step += 1
         r, c = np.nonzero(sim >= threshold)
         keep = own[r] != c
