@@ -69,6 +69,19 @@ def test_katz_against_dictionaries(spark):
     assert len(unknown) == len(rows) and all(r["n_known"] == 0 and r["score"] == r["base_score"] for r in unknown)
 
 
+def test_katz_counts_all_bigrams(spark):
+    """Words below the broadcast frequency keep their bigrams: as the model in which no word is rare."""
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").limit(80)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(9000, None), (9001, ""), (9003, "word " * 60_000), (9004, "new " * 9 + "words new")]
+    frame, held = spark.createDataFrame(rows, DOCS), [d % 4 == 0 for d, _ in rows]
+    want = sorted((d, *w[:3], *w[3:]) for (d, _), w in zip(rows, _katz([(h, t) for h, (_, t) in zip(held, rows)], 1e-9)))
+    for hot, bucket in ((2e-3, 5000), (2e-3, 10**9), (2.0, 5000)):
+        got = sorted(tuple(r) for r in katz.katz_scores(frame, F.col("doc_id") % 4 == 0, bucket_tokens=bucket, hot=hot).select(
+            "doc_id", "n_tokens", "n_known", "train_tokens", "score", "base_score").collect())
+        assert [g[:4] for g in got] == [w[:4] for w in want]
+        assert np.allclose([[g[5], g[4]] for g in got], [w[4:] for w in want], rtol=1e-10)
+
+
 def test_blocks_of_a_batch_have_its_tokens():
     import pyarrow as pa
 
