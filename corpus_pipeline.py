@@ -13,7 +13,7 @@ from tabsmith.llm.common import digest, stored
 from tabsmith.llm.decontam import SMALL_ROWS, decontaminate
 from tabsmith.llm.language_crf import fit_language_model, fold, identify_languages
 from tabsmith.llm.line_dedup import line_dedup
-from tabsmith.llm.minhash import near_duplicates
+from tabsmith.llm.minhash import one_of_each
 from tabsmith.llm.packing import best_fit_packing, with_word_tokens
 
 #: Share of a text's words that its language must have.
@@ -35,8 +35,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near-duplicates."""
-    return near_duplicates(docs).where("kept").select(*docs.columns)
+    """Keep one row of each group of near-duplicates (Jaccard 0.80 or more), with its smallest id."""
+    return one_of_each(docs, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

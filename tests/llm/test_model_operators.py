@@ -183,6 +183,21 @@ def test_robust_prune_keeps_edges_that_point_apart():
     assert first[0] == 1 and 2 not in first  # 2 lies behind 1
 
 
+def test_near_duplicate_stage_keeps_one_row_of_each_group(spark):
+    words = [f"w{i}" for i in range(104)]  # 100 shingles; a changed end takes some of both sets
+    near = lambda g, n: " ".join([f"{g}{w}" for w in words[:104 - n]] + [f"{g}z{i}" for i in range(n)])
+    rows = [(1, near("a", 0)), (2, near("a", 11)), (3, near("b", 0)), (4, near("b", 9)), (5, near("c", 0)), (6, near("c", 12)),  # 89/111, 91/109, 88/112
+            (7, "a repeated row"), (7, "a repeated row"), (None, "no id at all"), (None, "no id at all"), (None, "NO id at  all"),
+            (8, "other words"), (None, "other words"), (9, ""), (9, " "), (10, None), (None, ""), (None, ""), (11, "two texts"), (11, "of one id")]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({"root": F.lit("clash"), "first": F.lit(1)})
+    out = corpus_pipeline.near_duplicate_stage(spark, docs, SF_SMALL)
+    assert out.columns == docs.columns
+    got = Counter((r["doc_id"], bool((r["text"] or "").strip())) for r in out.collect())
+    assert got == {(1, True): 1, (3, True): 1, (5, True): 1, (6, True): 1, (7, True): 1, (None, True): 1, (8, True): 1, (9, False): 1, (10, False): 1,
+                   (None, False): 2, (11, True): 2}
+    assert corpus_pipeline.near_duplicate_stage(spark, docs.limit(0), SF_SMALL).count() == 0
+
+
 def test_pipeline_stages(spark):
     docs, kept = spark.read.parquet(f"{SF_SMALL}/documents.parquet"), {}
     names = docs.columns
