@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabsmith.llm import decontam, divergence, html_text, katz, language_crf, line_dedup, minhash, packing, token_scan, vector_graph, warc
+from tabsmith.llm import decontam, divergence, html_text, katz, language_crf, line_dedup, minhash, mixing, packing, repair, token_scan, vector_graph, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_lm_scoring": katz.op8_lm_scoring,
     "op9_language_id": language_crf.op9_language_id,
     "op10_token_counts": token_scan.op10_token_counts,
+    "op11_source_mixing": mixing.op11_source_mixing,
     "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_conversation_repair": repair.op13_conversation_repair,
 }
 
 ORACLE = {
