@@ -5,6 +5,8 @@ is applied after a circular shift by the coordinate's number."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,10 @@ from tabsmith.llm.common import SPACE, ascii_lower, connected_components, digest
 RING = (1 << 62) - 1
 #: Rows that are broadcast.
 SMALL_ROWS = 100_000
+#: Pairs that a bucket's rows may form on average; with more, the bucket is worked off node by node.
+PAIRS_A_ROW = 16
+#: Relative width of a size class.
+CLASS_WIDTH = 0.03
 
 
 def word_list(text: Column) -> Column:
@@ -67,9 +73,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Scale: equal texts are one node. Within a bucket the nodes are compared with one node of the
     bucket, which then leaves it, another one each round; buckets whose nodes have all met in one
-    component are done, as links inside a component can't change the result. Pairs of a bucket are formed only
-    between different components that are left after ``rounds`` rounds. Shingle sets are made
-    only for nodes that share a bucket."""
+    component are done, as links inside a component can't change the result. What is left after
+    ``rounds`` rounds is dealt anew by rare shingles (see :func:`_prefix_members`); pairs of such a bucket are
+    formed only where they are at most ``PAIRS_A_ROW`` a row, else it too is worked off node by node.
+    Shingle sets are made only for nodes that share a bucket."""
     nodes = _classes(docs, id_col, text_col, k, percent, bands, rows, rounds)
     low = nodes.groupBy("root").agg(F.min("first_id").alias("__nd_component"))
     nodes = nodes.join(low, "root").select(F.col("text").alias("__nd_text"), F.col("n").alias("__nd_n"), "__nd_component")
@@ -123,28 +130,86 @@ def _components(docs: DataFrame, sig: DataFrame, id_col: str, text_col: str, k:
     members = stored(spread.join(shared, "bucket"), "buckets")
     sets = _sets(docs, sig, members, id_col, text_col, k)
     root = members.select("text").distinct().select("text", F.col("text").alias("root"))
-    for turn in range(rounds + 1):
-        now = members.join(root, "text")
-        mixed = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket")
-        now = stored(now.join(mixed, "bucket"), "mixed")
+    for turn in range(rounds):
+        now = _mixed(members, root)
         if is_empty(now):
-            break
-        if turn < rounds:
-            star = now.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("text", F.lit(turn)).alias("h"), F.col("text").alias("text2"),
-                                                            F.col("n").alias("n2"), F.col("root").alias("root2"))).alias("x")).select("bucket", "x.*")
-            now = now.join(star, "bucket")
-            pairs = now.where("root != root2")
-            members = now.where("text != text2").select("bucket", "text", "n")  # the bucket's pairs with that node are done
-        else:
-            other = now.select("bucket", F.col("text").alias("text2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-            pairs = now.join(other, "bucket").where("root < root2")
-        pairs = (pairs.where(100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
-                 .select("text", "root", "text2", "root2").distinct())
-        links = _confirmed(pairs, sets, percent)
-        merged = connected_components(links.select(F.col("root").alias("a"), F.col("root2").alias("b")), "classes")
-        root = stored(root.join(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
-                      .select("text", F.coalesce("to", "root").alias("root")), "roots")
-    return root.select("text", "root")
+            return root
+        root, members = _star_turn(now, root, sets, percent, turn)
+    now = _mixed(members, root)
+    if is_empty(now):
+        return root
+    members = stored(_prefix_members(now.select("text", "n").distinct(), sets, percent), "prefixes")
+    turn = rounds
+    while True:
+        now = _mixed(members, root)
+        rows, pairs = now.groupBy("bucket").count().agg(F.sum("count"), F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()
+        if not rows:
+            return root
+        if pairs <= PAIRS_A_ROW * rows:
+            return _merged(root, _confirmed(_bucket_pairs(now, percent), sets, percent))
+        root, members = _star_turn(now, root, sets, percent, turn)
+        turn += 1
+
+
+def _mixed(members: DataFrame, root: DataFrame) -> DataFrame:
+    """(bucket, text, n, root) of the buckets whose nodes lie in several components."""
+    now = members.join(root, "text")
+    mixed = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket")
+    return stored(now.join(mixed, "bucket"), "mixed")
+
+
+def _star_turn(now: DataFrame, root: DataFrame, sets: DataFrame, percent: int, turn: int) -> tuple[DataFrame, DataFrame]:
+    """The new roots once every node has been compared with one node of each of its buckets, and the members
+    without that node: all pairs that hold it are done."""
+    star = now.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("text", F.lit(turn)).alias("h"), F.col("text").alias("text2"),
+                                                    F.col("n").alias("n2"), F.col("root").alias("root2"))).alias("x")).select("bucket", "x.*")
+    met = now.join(star, "bucket")
+    root = _merged(root, _confirmed(_near_in_size(met.where("root != root2"), percent), sets, percent))
+    return root, met.where("text != text2").select("bucket", "text", "n")
+
+
+def _bucket_pairs(now: DataFrame, percent: int) -> DataFrame:
+    """The pairs of a bucket that lie in different components. Only called where they are few."""
+    other = now.select("bucket", F.col("text").alias("text2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
+    return _near_in_size(now.join(other, "bucket").where("root < root2"), percent)
+
+
+def _near_in_size(pairs: DataFrame, percent: int) -> DataFrame:
+    return pairs.where(100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")).select("text", "root", "text2", "root2").distinct()
+
+
+def _merged(root: DataFrame, links: DataFrame) -> DataFrame:
+    """(text, root) once the components that ``links`` join are one."""
+    merged = connected_components(links.select(F.col("root").alias("a"), F.col("root2").alias("b")), "classes")
+    return stored(root.join(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
+                  .select("text", F.coalesce("to", "root").alias("root")), "roots")
+
+
+def _size_class(n: Column) -> Column:
+    """Sizes of a class differ by less than ``CLASS_WIDTH``."""
+    return F.floor(F.log(n.cast("double")) / F.lit(math.log1p(CLASS_WIDTH)) + F.lit(1e-9)).cast("int")
+
+
+def _prefix_members(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(bucket, text, n): ``nodes`` in buckets such that every pair that may be linked shares one, and few others do.
+
+    Two sets of sizes n and m are linked only if they share o = ``percent`` * (n + m) / (100 + ``percent``)
+    shingles, so the n - o + 1 rarest of the one and the m - o + 1 rarest of the other have one in common.
+    A bucket is such a shingle with the size classes of the two. Shingles that only one node has can't
+    meet another and are left out, but take their places among the rarest: texts that share a frequent
+    passage and differ otherwise have no bucket at all."""
+    each = nodes.join(sets, "text").select("text", "n", F.explode_outer("s").alias("s"))
+    often = each.groupBy("s").agg(F.count("*").alias("often")).where("often > 1")
+    ranked = each.join(often, "s").groupBy("text", "n").agg(F.sort_array(F.collect_list(F.struct("often", "s"))).alias("shared"))
+    n, low = F.col("n"), F.ceil(F.col("n") * percent / 100)
+    high = F.floor(n * 100 / percent)
+    ranked = ranked.select("text", "n", F.transform("shared", lambda x: x["s"]).alias("shared"), (n - F.size("shared")).alias("alone"),
+                           _size_class(n).alias("own"), F.explode(F.sequence(_size_class(F.greatest(low, F.lit(1))), _size_class(high))).alias("other"))
+    least = F.greatest(F.floor(F.exp(F.col("other") * F.lit(math.log1p(CLASS_WIDTH))) - F.lit(1e-6)), F.ceil(n * percent / 100), F.lit(1))
+    overlap = F.ceil(percent * (n + least) / F.lit(100 + percent) - F.lit(1e-9))
+    prefix = ranked.withColumn("take", F.least(F.size("shared"), (n - overlap + 1 - F.col("alone")).cast("int"))).where("take > 0")
+    prefix = prefix.select("text", "n", "own", "other", F.explode(F.expr("slice(shared, 1, take)")).alias("s"))
+    return prefix.select(F.xxhash64("s", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "text", "n").distinct()
 
 
 def _sets(docs: DataFrame, sig: DataFrame, members: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:

@@ -135,6 +135,58 @@ def test_near_duplicates_of_a_large_group(spark):
     assert {(r[0], r[1]) for r in got} == {(0, 300), (1000, 300)}
 
 
+def test_bad_bucket_forms_few_candidates(spark):
+    """Texts that share most of their words and differ in the rest fall into the same buckets without being
+    links: what is compared grows with the texts, not with their pairs, and no link is lost."""
+    rng = random.Random(11)
+    shared = [f"c{i}" for i in range(90)]
+    rows = [(i, " ".join(shared + [f"u{i}x{j}" for j in range(24)])) for i in range(400)]  # similarity 0.63
+    rows += [(1000 + i, " ".join(shared[:80] + [f"v{i // 4}x{j}" for j in range(30)] + ([] if i % 4 else ["end"]))) for i in range(200)]  # groups of four
+    docs = spark.createDataFrame(rows, DOCS)
+    sig = common.stored(minhash.signatures(docs, "doc_id", "text", 5, 16, 4), "signatures")
+    sets = minhash._sets(docs, sig, sig, "doc_id", "text", 5)
+    found = common.stored(minhash._prefix_members(sig.select("text", "n"), sets, 85), "prefixes")
+    pairs = found.groupBy("bucket").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0]
+    assert pairs < 20_000  # those of the groups of four, once for each rare shingle; all pairs are 179,700
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, rounds=0).collect()}
+    assert got == {i: i for i in range(400)} | {1000 + i: 1000 + i // 4 * 4 for i in range(200)}
+    few = minhash.PAIRS_A_ROW
+    minhash.PAIRS_A_ROW = 0  # every bucket node by node
+    try:
+        assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, rounds=0).collect()} == got
+    finally:
+        minhash.PAIRS_A_ROW = few
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_rare_shingles_meet_every_link(spark, percent):
+    rng = random.Random(percent)
+    rows = []
+    for group in range(15):
+        base = [f"g{group}w{rng.randint(0, 30)}" if rng.random() < 0.5 else f"w{rng.randint(0, 50)}" for _ in range(rng.choice([5, 12, 40, 120, 300]))]
+        for _ in range(7):
+            for _ in range(rng.choice([0, 1, 2])):
+                base[rng.randrange(len(base))] = f"w{rng.randint(0, 50)}"
+            rows.append((len(rows), " ".join(base[: len(base) - rng.choice([0, 0, 3])])))
+    docs = spark.createDataFrame(rows, DOCS)
+    sig = common.stored(minhash.signatures(docs, "doc_id", "text", 5, 2, 2), "signatures")
+    found = minhash._prefix_members(sig.select("text", "n"), minhash._sets(docs, sig, sig, "doc_id", "text", 5), percent).join(sig.select("text", "first_id"), "text")
+    buckets = {}
+    for r in found.collect():
+        buckets.setdefault(r["first_id"], set()).add(r["bucket"])
+    sets, first = [_shingles(t) for _, t in rows], {}
+    for i, (_, t) in enumerate(rows):
+        first.setdefault(t, i)
+    links = 0
+    for i in first.values():
+        for j in first.values():
+            both = len(sets[i] & sets[j])
+            if i < j and 100 * both >= percent * len(sets[i] | sets[j]):
+                links += 1
+                assert buckets.get(i, set()) & buckets.get(j, set()), (i, j)
+    assert links > 40
+
+
 def test_connected_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)]
