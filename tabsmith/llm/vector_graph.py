@@ -4,7 +4,8 @@ Vectors are dealt to overlapping shards, each to its nearest cluster centres; ev
 graph whose edges are pruned so that they point in different directions; a vector's adjacency
 lists from its shards are united. Each vector is then searched for in its nearest shard and what
 the united lists lead to: greedily from the shard's medoids, and further as long as vectors
-inside the range turn up. Links are confirmed in double precision."""
+inside the range turn up; where these are at home in other shards, it is searched for there too.
+Links are confirmed in double precision."""
 
 from __future__ import annotations
 
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsmith.llm.common import connected_components, stored
+from tabsmith.llm.common import connected_components, is_empty, stored
 
 #: Vectors of a shard; vectors that a shard's centres are fitted on; centres of a level at most; shards
 #: that a vector is in at each level.
@@ -26,6 +27,8 @@ BLOCK = 8192
 NEAR, DEGREE, ALPHA, EFFORT = 64, 24, 1.2, 24
 #: How far below the threshold a vector may be for the search to go on from it.
 SLACK = 0.04
+#: Visits that a task searches for in a shard at a time, and vectors in range that a visit starts from.
+VISITS, STARTS = 4096, 8
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -65,12 +68,13 @@ def _centres(table: pa.Table) -> pa.Table:
 
 def _dealt(vectors: pa.Table, centres: pa.Table) -> pa.Table:
     """One block of a shard's vectors, each to its nearest centres; rank 0 is the nearest one all the
-    way down."""
+    way down. Only a vector at rank 0 goes to several, so that a vector is in 1 + (OVERLAP - 1) * levels
+    shards at most, however often a dense group must be split."""
     shard, c = centres["shard"][0].as_py(), np.array(centres["centres"][0].as_py())
     x, rank = _matrix(vectors["v"]), vectors["rank"].to_numpy()
     near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :OVERLAP]
-    row, place = np.repeat(np.arange(len(x)), near.shape[1]), np.tile(np.arange(near.shape[1]), len(x))
-    return pa.table({"shard": pa.array([f"{shard}.{j}" for j in near.reshape(-1)], pa.string()), "nid": vectors["nid"].take(pa.array(row)),
+    row, place = np.nonzero((rank == 0)[:, None] | (np.arange(near.shape[1]) == 0)[None, :])
+    return pa.table({"shard": pa.array([f"{shard}.{j}" for j in near[row, place]], pa.string()), "nid": vectors["nid"].take(pa.array(row)),
                      "v": vectors["v"].take(pa.array(row)), "rank": pa.array(np.maximum(rank[row], place).astype(np.int32))})
 
 
@@ -80,8 +84,9 @@ def overlapping_shards(classes: DataFrame, shard: int = SHARD, sample: int = SAM
     Vectors of different length never share a shard."""
     now = classes.select(F.size("v").cast("string").alias("shard"), "nid", "v", F.lit(0).alias("rank"))
     for _ in range(6):
-        large = now.groupBy("shard").count().where(F.col("count") > shard)
-        large = stored(large.select("shard", F.least(F.ceil(F.col("count") * OVERLAP / shard), F.lit(CENTRES)).cast("int").alias("k"),
+        large = now.groupBy("shard").agg(F.count("*").alias("count"), F.count_if(F.col("rank") == 0).alias("home")).where(F.col("count") > shard)
+        dealt = F.col("count") + F.col("home") * (OVERLAP - 1)
+        large = stored(large.select("shard", F.greatest(F.least(F.ceil(dealt / shard), F.lit(CENTRES)), F.lit(2)).cast("int").alias("k"),
                                     F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "large")
         if not large.take(1):
             break
@@ -139,17 +144,21 @@ def _graph(table: pa.Table) -> pa.Table:
     return pa.table({"nid": pa.array(nid, pa.int64()), "next": pa.array([sorted(nid[list(s)].tolist()) for s in lists], pa.list_(pa.int64()))})
 
 
-def range_search(x: np.ndarray, adjacent: np.ndarray, queries: np.ndarray, starts: np.ndarray, threshold: float,
-                 effort: int = EFFORT, slack: float = SLACK, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(queries, found, cosine) of what a greedy search from ``starts`` finds with a cosine of at
-    least ``threshold``. For ``effort`` steps a search goes on from the best vector met that it
-    hasn't gone on from; besides, and until none is left, from all vectors in range at once."""
+def range_search(x: np.ndarray, adjacent: np.ndarray, q: np.ndarray, medoids: np.ndarray, starts: tuple[np.ndarray, np.ndarray], threshold: float,
+                 effort: int = EFFORT, slack: float = SLACK, block: int = 256) -> Iterator[tuple[int, np.ndarray]]:
+    """(first query of the block, its rows of cosines to all of ``x``, -inf where not met) of a greedy search for
+    ``q`` from the ``medoids`` and from ``starts`` (query, vector). For ``effort`` steps a search goes on from
+    the best vector met that it hasn't gone on from; besides, and until none is left, from all
+    vectors in range at once."""
     n, degree = len(x), adjacent.shape[1]
-    for at in range(0, len(queries), block):
-        own = queries[at:at + block]
-        q, rows = x[own], np.arange(len(own))
+    for at in range(0, len(q), block):
+        own = q[at:at + block]
+        rows = np.arange(len(own))
         sim = np.full((len(own), n), -np.inf)
-        sim[:, starts] = q @ x[starts].T
+        sim[:, medoids] = own @ x[medoids].T
+        here = (starts[0] >= at) & (starts[0] < at + block)
+        r, c = starts[0][here] - at, starts[1][here]
+        sim[r, c] = np.einsum("nd,nd->n", own[r], x[c])
         ahead = sim.copy()  # of the vectors met, those that the search hasn't gone on from
         step = 0
         while True:
@@ -166,45 +175,133 @@ def range_search(x: np.ndarray, adjacent: np.ndarray, queries: np.ndarray, start
                 place = (np.repeat(who[k:k + 50_000], degree) * n + near.reshape(-1))[near.reshape(-1) >= 0]
                 place = np.unique(place[~np.isfinite(sim.reshape(-1)[place])])
                 r, c = np.divmod(place, n)
-                sim[r, c] = ahead[r, c] = np.einsum("nd,nd->n", q[r], x[c])
+                sim[r, c] = ahead[r, c] = np.einsum("nd,nd->n", own[r], x[c])
             step += 1
-        r, c = np.nonzero(sim >= threshold)
-        keep = own[r] != c
-        yield own[r[keep]], c[keep], sim[r[keep], c[keep]]
-
-
-def vector_links(classes: DataFrame, shards: DataFrame, threshold: float = 0.95) -> DataFrame:
-    """(a, b) with a < b: the classes found within range of each other."""
+        yield at, sim
+
+
+def spanning(linked: np.ndarray, query: np.ndarray, nid: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """(numbers, smallest number) of the components of the graph whose edges are the true entries of
+    ``linked`` (query, vector); a query may be one of the vectors."""
+    place = {n: i for i, n in enumerate(nid.tolist())}
+    as_vector = np.array([place.get(n, -1) for n in query.tolist()], dtype=np.int64)
+    as_query = np.full(len(nid), -1, dtype=np.int64)
+    as_query[as_vector[as_vector >= 0]] = np.flatnonzero(as_vector >= 0)
+    open_ = linked.any(1)
+    for first in np.flatnonzero(open_):
+        if not open_[first]:
+            continue
+        queries, vectors = np.zeros(len(query), dtype=bool), np.zeros(len(nid), dtype=bool)
+        new = np.array([first])
+        while len(new):
+            queries[new] = True
+            reached = linked[new].any(0)
+            reached[as_vector[new][as_vector[new] >= 0]] = True
+            reached &= ~vectors
+            vectors |= reached
+            also = as_query[reached]
+            hit = linked[:, reached].any(1)
+            hit[also[also >= 0]] = True
+            new = np.flatnonzero(hit & ~queries)
+        open_ &= ~queries
+        numbers = np.unique(np.concatenate([query[queries], nid[vectors]]))
+        yield numbers, int(numbers[0])
+
+
+FOUND = "q long, n long, home string, start long, node long, root long"
+
+
+def _search(nodes: pa.Table, visits: pa.Table, threshold: float) -> pa.Table:
+    """What a block of visits finds in a shard, as rows of three kinds: (q, n) counts the vectors in range whose
+    home is this shard; (q, home, start) names another shard in which some in range are at home, that
+    the visit doesn't know yet, and the nearest of them; (node, root) are components of what is linked."""
+    kinds = pa.schema([("q", pa.int64()), ("n", pa.int64()), ("home", pa.string()), ("start", pa.int64()), ("node", pa.int64()), ("root", pa.int64())])
+    if not nodes.num_rows or not visits.num_rows:
+        return kinds.empty_table()
+    parts = []
+
+    def add(**columns):
+        n = len(next(iter(columns.values())))
+        parts.append(pa.table([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in kinds], schema=kinds))
+
+    nid, x, rank = nodes["nid"].to_numpy(), _matrix(nodes["v"]), nodes["rank"].to_numpy()
+    homes = nodes["home"].combine_chunks().dictionary_encode()
+    names, home, copies = homes.dictionary, homes.indices.to_numpy(), nodes["copies"].to_numpy()
+    number = {n: i for i, n in enumerate(names.to_pylist())}
+    here = number[nodes["shard"][0].as_py()]
+    place = {n: i for i, n in enumerate(nid.tolist())}
+    lists = [[place[n] for n in own if n in place] for own in nodes["next"].to_pylist()]
+    adjacent = np.full((len(nid), max(1, max(map(len, lists)))), -1, dtype=np.int64)
+    for i, own in enumerate(lists):
+        adjacent[i, :len(own)] = own
+    inside = np.flatnonzero(rank >= 0)
+    medoids = [inside[(x[inside] @ x[inside].mean(0)).argmax()]]
+    far = x[inside] @ x[medoids[0]]
+    for _ in range(min(7, len(inside) - 1)):  # the medoid and, one after another, the members farthest from those before
+        medoids.append(inside[far.argmin()])
+        far = np.maximum(far, x[inside] @ x[medoids[-1]])
+    query, q = visits["nid"].to_numpy(), _matrix(visits["v"])
+    given = [(i, place[n]) for i, own in enumerate(visits["starts"].to_pylist()) for n in own if n in place]
+    starts = (np.array([g[0] for g in given], dtype=np.int64), np.array([g[1] for g in given], dtype=np.int64))
+    new = np.ones((len(query), len(names)), dtype=bool)
+    new[:, here] = False
+    for i, own in enumerate(visits["known"].to_pylist()):
+        new[i, [number[h] for h in own if h in number]] = False
+    by_home = np.argsort(home, kind="stable")
+    bounds = np.searchsorted(home[by_home], np.arange(len(names)))
+    linked = np.zeros((len(query), len(nid)), dtype=bool)
+    for at, sim in range_search(x, adjacent, q, np.unique(medoids), starts, threshold):
+        close = sim >= threshold
+        close &= query[at:at + len(sim), None] != nid[None, :]
+        linked[at:at + len(sim)] = close
+        counts = close @ np.where(home == here, copies, 0)
+        some = np.flatnonzero(counts)
+        add(q=query[at + some], n=counts[some])
+        sim[~close] = -np.inf
+        who, to = np.nonzero(np.isfinite(np.maximum.reduceat(sim[:, by_home], bounds, axis=1)) & new[at:at + len(sim)])
+        if len(who):
+            nearest = np.array([bounds[h] + sim[i, by_home[bounds[h]:bounds[h + 1] if h + 1 < len(bounds) else None]].argmax() for i, h in zip(who, to, strict=True)])
+            add(q=query[at + who], home=names.take(pa.array(to)), start=nid[by_home[nearest]])
+    for numbers, root in spanning(linked, query, nid):
+        add(node=numbers, root=np.full(len(numbers), root))
+    return pa.concat_tables(parts).combine_chunks() if parts else kinds.empty_table()
+
+
+def vector_links(classes: DataFrame, shards: DataFrame, threshold: float = 0.95) -> tuple[DataFrame, DataFrame]:
+    """(nid, linked) and (a, b): how many vectors (copies counted) each class was found in range of, and links
+    that span the components.
+
+    A class is at home in one shard. It visits its home first, then every shard in which it has met
+    vectors in range at home, until no visit finds a new one: a group that lies in many shards is
+    followed through all of them. A visit counts the shard's own vectors only, so none counts twice,
+    and no list of pairs is made."""
     graph = shards.groupBy("shard").applyInArrow(_graph, "nid long, next array<long>")
-    united = stored(graph.groupBy("nid").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next")), "graph")
-    members = shards.select("shard", "nid", "v", "rank").join(united, "nid")
-    beyond = (members.where("rank = 0").select("shard", F.explode("next").alias("nid")).distinct()
-              .join(shards.select("shard", "nid"), ["shard", "nid"], "left_anti").join(classes.select("nid", "v"), "nid")
-              .select("shard", "nid", "v", F.lit(-1).alias("rank"), F.array().cast("array<long>").alias("next")))
-    both = members.select("shard", "nid", "v", "rank", "next").unionByName(beyond)
-
-    def search(table: pa.Table) -> pa.Table:
-        nid, x, rank = table["nid"].to_numpy(), _matrix(table["v"]), table["rank"].to_numpy()
-        place = {n: i for i, n in enumerate(nid.tolist())}
-        lists = [[place[n] for n in own if n in place] for own in table["next"].to_pylist()]
-        adjacent = np.full((len(nid), max(1, max(map(len, lists)))), -1, dtype=np.int64)
-        for i, own in enumerate(lists):
-            adjacent[i, :len(own)] = own
-        inside = np.flatnonzero(rank >= 0)
-        centre = x[inside].mean(0)
-        medoid = inside[(x[inside] @ centre).argmax()]
-        starts = [medoid]  # the medoid and, one after another, the members farthest from those before
-        far = x[inside] @ x[medoid]
-        for _ in range(min(7, len(inside) - 1)):
-            nxt = inside[far.argmin()]
-            starts.append(nxt)
-            far = np.maximum(far, x[inside] @ x[nxt])
-        found = list(range_search(x, adjacent, np.flatnonzero(rank == 0), np.unique(starts), threshold))
-        a = np.concatenate([nid[f[0]] for f in found]) if found else np.zeros(0, np.int64)
-        b = np.concatenate([nid[f[1]] for f in found]) if found else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
-
-    return both.groupBy("shard").applyInArrow(search, "a long, b long").distinct()
+    united = graph.groupBy("nid").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))
+    known = stored(united.join(shards.where("rank = 0").select("nid", F.col("shard").alias("home")), "nid").join(classes.select("nid", "copies"), "nid"), "graph")
+    members = shards.select("shard", "nid", "v", "rank").join(known, "nid")
+    border = (members.where("rank = 0").select("shard", F.explode("next").alias("nid")).distinct()
+              .join(shards.select("shard", "nid"), ["shard", "nid"], "left_anti").join(classes.select("nid", "v"), "nid").join(known.drop("next"), "nid")
+              .select("nid", "shard", "v", F.lit(-1).alias("rank"), F.array().cast("array<long>").alias("next"), "home", "copies"))
+    nodes = stored(members.select("shard", "nid", "v", "rank", "next", "home", "copies").unionByName(border), "nodes")
+    visits = known.select("nid", F.col("home").alias("shard"), F.array().cast("array<long>").alias("starts"), F.array("home").alias("known"))
+    done, counted, joined = None, None, None
+    while True:
+        sizes = visits.groupBy("shard").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("blocks"))
+        asked = (visits.join(sizes, "shard").join(classes.select("nid", "v"), "nid")
+                 .select("shard", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int").alias("block"), "nid", "v", "starts", "known"))
+        dealt = nodes.join(sizes, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        found = dealt.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(lambda left, right: _search(left, right, threshold), FOUND)
+        found = stored(found, "found")
+        counts, edges = found.where("n IS NOT NULL").select("q", "n"), found.where("root IS NOT NULL AND node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        counted, joined = (counts, edges) if counted is None else (counted.unionByName(counts), joined.unionByName(edges))
+        seen = visits.select("nid", "shard")
+        done = seen if done is None else done.unionByName(seen)
+        new = found.where("home IS NOT NULL").groupBy(F.col("q").alias("nid"), F.col("home").alias("shard")).agg(F.slice(F.collect_set("start"), 1, STARTS).alias("starts"))
+        new = new.join(done, ["nid", "shard"], "left_anti")
+        places = new.select("nid", "shard").unionByName(done).groupBy("nid").agg(F.collect_set("shard").alias("known"))
+        visits = stored(new.join(places, "nid"), "visits")
+        if is_empty(visits):
+            return counted.groupBy(F.col("q").alias("nid")).agg(F.sum("n").alias("linked")), joined
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95,
@@ -220,11 +317,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     is never the smallest: a class without any id has a null component_id, and its rows are kept.
     An empty table gives no rows. Other columns are ignored.
 
-    Scale: no task holds more than a shard, its neighbours and one block of searches."""
+    Scale: no task holds more than a shard, its neighbours and one block of searches. A large group
+    costs a visit for each of its vectors and shards; numbers of links are summed, pairs never listed."""
     classes, rows = classes_of(vectors, id_col, vector_col)
-    links = stored(vector_links(classes, overlapping_shards(classes, shard), threshold), "links")
-    ends = links.select(F.col("a").alias("nid"), F.col("b").alias("to")).unionByName(links.select(F.col("b").alias("nid"), F.col("a").alias("to")))
-    degree = ends.join(classes.select(F.col("nid").alias("to"), "copies"), "to").groupBy("nid").agg(F.sum("copies").alias("linked"))
+    degree, links = vector_links(classes, overlapping_shards(classes, shard), threshold)
     root = connected_components(links, "vector-classes").withColumnRenamed("node", "nid")
     nodes = (classes.select("key", "nid", "first", "copies").join(degree, "nid", "left").join(root, "nid", "left")
              .withColumn("root", F.coalesce("root", "nid")))

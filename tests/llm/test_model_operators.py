@@ -176,6 +176,35 @@ def test_vector_links_against_brute_force(spark):
     assert vector_graph.near_vectors(vectors.limit(0)).count() == 0
 
 
+def test_group_of_near_copies_over_many_shards(spark):
+    """A group of twenty times a shard's size: links are found in all shards that hold some of it."""
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=24)
+    centre /= np.linalg.norm(centre)
+    noise = rng.normal(size=(1000, 24))
+    x = np.concatenate([centre + 0.14 * noise[:700] / np.linalg.norm(noise[:700], axis=1, keepdims=True), centre + 0.24 * noise[700:] / np.linalg.norm(noise[700:], axis=1, keepdims=True),
+                        rng.normal(size=(300, 24))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.95
+    np.fill_diagonal(linked, False)
+    out = {r["vec_id"]: r for r in vector_graph.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), shard=50).collect()}
+    got = np.array([out[i]["n_links"] for i in range(len(x))])
+    assert (got <= linked.sum(1)).all() and got.sum() >= 0.99 * linked.sum() and linked.sum() > 500_000
+    assert {out[i]["component_id"] for i in np.flatnonzero(linked.any(1))} == {0}
+
+
+def test_spanning_components():
+    rng = np.random.default_rng(3)
+    nid, query = np.arange(100, 160), np.concatenate([np.arange(100, 130), np.arange(200, 210)])
+    linked = rng.random((40, 60)) < 0.02
+    low = {n: n for n in [*nid.tolist(), *query.tolist()]}
+    for _ in range(60):
+        for i, j in zip(*np.nonzero(linked)):
+            low[query[i]] = low[nid[j]] = min(low[query[i]], low[nid[j]])
+    got = {int(n): root for numbers, root in vector_graph.spanning(linked, query, nid) for n in numbers}
+    assert got == {n: low[n] for n in got} and {n for n in low if low[n] != n} <= set(got)
+
+
 def test_robust_prune_keeps_edges_that_point_apart():
     x = np.array([[1.0, 0], [0.999, 0.04], [0.998, 0.06], [0, 1.0]])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
