@@ -62,7 +62,7 @@ def _segments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _field(head: str, name: str) -> Column:
-    found = F.regexp_extract(head, rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1)
+    found = F.regexp_extract(head, rf"(?idm)^{name}:[ \t]*([^\r\n]*)", 1)  # d: only \n ends a line, not U+0085, U+2028, U+2029
     return F.when(found != "", found)
 
 

@@ -30,7 +30,8 @@ def test_warc_round_trip_with_magic_inside_payloads(spark):
     rows = [(1, "http://a/1", "x" * 200), (2, "http://a/2", "x" * 200), (3, None, None), (4, "", ""), (5, "u", "é" * 60), (6, "u", "é" * 60),
             (7, "u\r\nContent-Length: 3", fake), (8, "é", "before " + fake + fake + " after WARC/1.0\r\n"), (9, "u", "WARC/1.0\r\n"), (10, "u", "\r\n\r\n" * 50),
             (10, "u", "\r\n\r\n" * 50), (None, "u", "x" * 200), (11, "u", "y" * 99), (12, "u", "y" * 99), (13, "u", "WARC/1.0\r\nContent-Length: 99999\r\n\r\n" + "z" * 300),
-            (14, "u", "q" * 400_000 + fake + "r" * 300_000)]
+            (14, "u", "q" * 400_000 + fake + "r" * 300_000),
+            *((20 + i, f"http://a/{c}Content-Length: 3{c}WARC-Type: revisit", "w" * 200 + str(i)) for i, c in enumerate("\u0085\u2028\u2029\x0b\x0c"))]
     pages = spark.createDataFrame(rows, PAGES).withColumns({"first": F.lit("clash"), "digest": F.lit(1), "value": F.lit(2)}).repartition(3)
     for block in ("1m", "100k"):  # a file is one split, or several that cut records
         spark.conf.set("spark.sql.files.maxPartitionBytes", block)
