@@ -28,8 +28,11 @@ SLICE_CHARS, REMEMBERED = 500_000, 150_000
 
 
 def words_in(text: str | None) -> list[str]:
-    """Runs of letters in lower case."""
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters in lower case; numerals like those of fractions, which ``_WORD`` lets in, part them."""
+    found = _WORD.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for own in found for w in "".join(c if c.isalpha() else " " for c in own).split()]
 
 
 def _mixed(values: np.ndarray, salt: int) -> np.ndarray:
@@ -272,8 +275,9 @@ def fit_language_model(docs: DataFrame, label_col: str = "lang", text_col: str =
     return fit([t for _, t in rows], [label for label, _ in rows])
 
 
-def identify_languages(docs: DataFrame, model: Model, text_col: str = "text", passed: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``passed`` columns, then lang_pred and score.
+def identify_languages(docs: DataFrame, model: Model, text_col: str = "text", passed: tuple[str, ...] = ("doc_id",),
+                       found_cols: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The ``passed`` columns, then lang_pred and score, named ``found_cols``.
 
     ``score`` is the share of the words' probability that lang_pred has. A text that is null or has
     no letters gets ``und`` and 0; so does every text if the model has no languages. Ties go to the
@@ -303,11 +307,11 @@ def identify_languages(docs: DataFrame, model: Model, text_col: str = "text", pa
                         found.append(("und", 0.0))
                 at = to
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array([x for x, _ in found], pa.string()),
-                                              pa.array([x for _, x in found], pa.float64())], [*names, "lang_pred", "score"])
+                                              pa.array([x for _, x in found], pa.float64())], [*names, *found_cols])
 
     columns = docs.select(*names, *([] if own else [F.col(text_col).cast("string").alias("__text")]))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema.fields[:len(names)])
-    return columns.mapInArrow(predict, f"{fields}, lang_pred string, score double")
+    return columns.mapInArrow(predict, f"{fields}, `{found_cols[0]}` string, `{found_cols[1]}` double")
 
 
 def fold(c: Column, of: int) -> Column:

@@ -14,12 +14,12 @@ def line_key(line: Column) -> Column:
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10,
-               min_chars: int = 1) -> DataFrame:
+               min_chars: int = 1, count_cols: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
     """Drop every line whose key (:func:`line_key`) has at least ``min_chars`` code points and occurs
     in at least ``min_docs`` documents; the other lines keep their order, joined by a line feed.
 
     Returns all columns of ``docs`` with ``text_col`` replaced, then ``n_lines`` (before) and
-    ``n_dropped``; columns of these names in the input are replaced.
+    ``n_dropped``, named ``count_cols``; columns of these names in the input are replaced.
 
     Each row counts as a document, so repeated rows count several times and get the same result.
     A null or empty text is one empty line, which is never dropped; null ids are kept. An empty
@@ -45,7 +45,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = found.withColumn("__ld_lines", F.split(text, "\n"))  # a column, as an expression would be evaluated for each line
     n = F.size("__ld_lines")
     kept = F.array_except(F.sequence(F.lit(0), n - 1), F.col("__ld_gone"))
-    out = {"n_lines": n.cast("long"), "n_dropped": F.coalesce(F.size("__ld_gone"), F.lit(0)).cast("long"),
+    out = {count_cols[0]: n.cast("long"), count_cols[1]: F.coalesce(F.size("__ld_gone"), F.lit(0)).cast("long"),
            text_col: F.when(F.col("__ld_gone").isNull(), text).otherwise(
                F.array_join(F.transform(kept, lambda p: F.get(F.col("__ld_lines"), p)), "\n"))}
     return found.withColumns(out).drop("__ld_id", "__ld_text", "__ld_id2", "__ld_text2", "__ld_gone", "__ld_lines")

@@ -227,6 +227,32 @@ def test_near_duplicate_stage_keeps_one_row_of_each_group(spark):
     assert corpus_pipeline.near_duplicate_stage(spark, docs.limit(0), SF_SMALL).count() == 0
 
 
+def test_numerals_are_no_letters(spark):
+    assert language_crf.words_in("½ ² ½ x² Ⅷ ٣ a½b É") == ["x", "a", "b", "é"]
+    model = language_crf.fit(["the of and", "der die das"], ["en", "de"])
+    docs = spark.createDataFrame([(1, "½ ² ½"), (2, "the ½ of"), (3, None)], DOCS)
+    assert {r["doc_id"]: r["lang_pred"] for r in language_crf.identify_languages(docs, model).collect()} == {1: "und", 2: "en", 3: "und"}
+
+
+def test_stages_keep_clashing_columns_and_odd_rows(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (10**6, "", "en", "x", 0), (10**6, "", "en", "x", 0), (10**6 + 1, "½ ½", "en", None, 3),
+                                 (10**6 + 2, "the and of to is " * 40_000, "en", "x", 1), (10**6 + 2, "the and of to is " * 40_000, "en", "x", 1)], docs.schema)
+    names = ("score", "lang_pred", "n_lines", "n_dropped", "kept", "component_id", "n_shingles", "root", "row", "doc", "hit_id", "contaminated", "copies")
+    wide = docs.unionByName(odd).withColumns({c: F.lit(c) for c in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, SF_SMALL)
+        assert out.columns == wide.columns
+        found = out.select("doc_id", *names).where(F.col("doc_id").isNull() | (F.col("doc_id") >= 10**6)).collect()
+        assert all(r[c] == c for r in found for c in names)
+        ids = Counter(r["doc_id"] for r in found)
+        assert ids == {"language_id": {10**6 + 2: 2}, "line_dedup": {None: 1, 10**6: 2, 10**6 + 1: 1, 10**6 + 2: 2},
+                       "near_duplicates": {None: 1, 10**6: 1, 10**6 + 1: 1, 10**6 + 2: 1}, "decontamination": {None: 1, 10**6: 2, 10**6 + 1: 1, 10**6 + 2: 2}}[name]
+        assert stage(spark, wide.limit(0), SF_SMALL).count() == 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, wide, SF_SMALL)
+    assert Counter(i for r in packed.collect() for i in set(r["doc_ids"]))[10**6] >= 1
+
+
 def test_pipeline_stages(spark):
     docs, kept = spark.read.parquet(f"{SF_SMALL}/documents.parquet"), {}
     names = docs.columns
