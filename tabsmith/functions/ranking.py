@@ -50,6 +50,18 @@ def hash_rank(df: DataFrame, digest: str, groups: Sequence[str] = (), out: str =
     return joined.withColumn(out, (F.row_number().over(wr) + F.col("__off")).cast("long")).drop(b, "__off")
 
 
+def hash_positions(nodes: DataFrame, digest: str, weight: str, groups: Sequence[str], out: str = "start") -> DataFrame:
+    """Add ``out`` = the sum of ``weight`` over the group's rows with a smaller digest. Digests are unique in
+    their group. Sums of leading-digit buckets (at most 16^4 a group) are accumulated first, rows only
+    inside their bucket."""
+    g, b = list(groups), "__bucket"
+    dealt = nodes.withColumn(b, F.substring(F.col(digest), 1, BUCKET_HEX_DIGITS))
+    sums = dealt.groupBy(*g, b).agg(F.sum(weight).alias("__sum"))
+    before = F.sum("__sum").over(Window.partitionBy(*g).orderBy(b)) - F.col("__sum")
+    inside = F.sum(weight).over(Window.partitionBy(*g, b).orderBy(digest)) - F.col(weight)
+    return dealt.join(sums.select(*g, b, before.alias("__off")), [*g, b]).withColumn(out, F.col("__off") + inside).drop(b, "__off")
+
+
 def ordered_cumsum(df: DataFrame, order_col: str, sums: dict[str, Column], groups: Sequence[str] = (),
                    n_buckets: int | None = None) -> DataFrame:
     """Add inclusive running sums of each ``sums`` expression in ascending ``order_col`` (a numeric

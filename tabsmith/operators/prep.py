@@ -1,4 +1,4 @@
-"""Training-time preprocessing beyond scaling.
+"""Training-time preprocessing beyond scaling.
 
 Every statistic is fitted on training rows only. Category tables are bounded by the
 cardinality cap that selects the categorical columns in the first place; per-category
@@ -7,12 +7,14 @@ statistics are joined back (adaptive execution decides broadcast vs shuffle).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabsmith import SPLIT_COL
 from tabsmith.functions.columns import q, row_hash
-from tabsmith.functions.ranking import hash_rank
+from tabsmith.functions.ranking import hash_positions, hash_rank
+from tabsmith.operators.neighbours import nearest_in_group
+from tabsmith.session import cut_lineage
 
 
 def one_hot_in_pipeline(frame: DataFrame, train: DataFrame, cat_cols: list[str], max_categories: int = 50):
@@ -120,3 +122,54 @@ def random_undersample(df: DataFrame, label: str, seed: int = 42, key: list | No
     keyed = df.withColumn("__h", row_hash(key or df.columns, seed)).withColumn("__cls", q(label).cast("string"))
     ranked = hash_rank(keyed, "__h", groups=["__cls"], out="__rn")
     return ranked.where(F.col("__rn") <= m).drop("__h", "__cls", "__rn")
+
+
+def _number(*parts: Column) -> Column:
+    """The first 32 bits of the md5 of the parts, the same in SQL."""
+    return F.conv(F.substring(F.md5(F.concat_ws("~", *(p.cast("string") for p in parts))), 1, 8), 16, 10).cast("long")
+
+
+def synthetic_minority(df: DataFrame, label: str, features: list[str], seed: int = 42, k: int = 5) -> DataFrame:
+    """The synthetic rows (label, features as doubles, base digest ``__base`` and copy ``__copy``) that bring every
+    class to the size of the largest.
+
+    A class of n rows that lacks m gets m div n rows from each of its rows and one more from each of the first
+    m mod n in digest order. A row's copy i lies on the segment to one of its ``k`` nearest rows of the
+    class (exact, Euclidean; ties by digest; fewer in smaller classes): the neighbour and the place on
+    the segment are digests of (row, i). Equal rows are each other's neighbours at distance 0; they are
+    searched for as one. Rows with a null label or a null or NaN feature are neither counted nor used.
+    The only row of a class is repeated as it is. The largest classes get no rows."""
+    x = [q(c).cast("double") for c in features]
+    fine = q(label).isNotNull()
+    for c in x:
+        fine = fine & c.isNotNull() & ~F.isnan(c)
+    rows = df.where(fine).select(q(label).alias("label"), q(label).cast("string").alias("grp"), F.array(*x).alias("x"))
+    base = F.md5(F.concat_ws("~", *(F.get("x", F.lit(i)).cast("string") for i in range(len(features)))))
+    nodes = cut_lineage(rows.groupBy("label", "grp", "x").agg(F.count("*").alias("copies")).withColumn("base", base))
+    sizes = nodes.groupBy("grp").agg(F.sum("copies").alias("n"))
+    largest = sizes.agg(F.max("n")).scalar()
+    short = sizes.withColumn("lacks", largest - F.col("n")).where("lacks > 0")
+    own = hash_positions(nodes.join(short, "grp"), "base", "copies", ["grp"])
+    own = own.withColumnRenamed("start", "node")  # rows before it: a number of its own in the class
+    extra = F.greatest(F.lit(0), F.least(F.col("copies"), F.col("lacks") % F.col("n") - F.col("node")))
+    own = cut_lineage(own.withColumn("quota", F.col("copies") * F.floor(F.col("lacks") / F.col("n")) + extra))
+    near = nearest_in_group(own.select("grp", "node", "x"), k)
+    twin = own.select("grp", F.col("node").alias("to"), F.col("copies").alias("many"), F.col("x").alias("y"))
+    listed = (near.select("grp", "node", F.posexplode("near").alias("at", "n")).select("grp", "node", "at", F.col("n.node").alias("to")).join(twin, ["grp", "to"])
+              .groupBy("grp", "node").agg(F.array_sort(F.collect_list(F.struct("at", "many", "y"))).alias("others")))
+    repeat = F.flatten(F.transform("others", lambda o: F.array_repeat(o["y"], F.least(o["many"], F.lit(k)).cast("int"))))
+    twins = F.array_repeat(F.col("x"), F.least(F.col("copies") - 1, F.lit(k)).cast("int"))
+    picked = own.where("quota > 0").join(listed, ["grp", "node"], "left")
+    picked = picked.withColumn("choices", F.slice(F.concat(twins, F.coalesce(repeat, F.array().cast("array<array<double>>"))), 1, k))
+    picked = picked.withColumn("choices", F.when(F.size("choices") > 0, F.col("choices")).otherwise(F.array("x")))
+    picked = picked.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("quota") - 1)))
+    to = F.get("choices", F.pmod(_number(F.col("base"), F.col("copy"), F.lit(seed), F.lit("to")), F.size("choices")).cast("int"))
+    picked = picked.select("label", "base", "copy", "x", to.alias("y"), (_number(F.col("base"), F.col("copy"), F.lit(seed), F.lit("at")) / F.lit(2.0 ** 32)).alias("u"))
+    made = [(F.get("x", F.lit(i)) + F.col("u") * (F.get("y", F.lit(i)) - F.get("x", F.lit(i)))).alias(c) for i, c in enumerate(features)]
+    return picked.select(F.col("label").alias(label), *made, F.col("base").alias("__base"), F.col("copy").alias("__copy"))
+
+
+def smote(df: DataFrame, label: str, features: list[str], seed: int = 42, k: int = 5) -> DataFrame:
+    """``label`` and ``features`` of ``df``, followed by the rows of :func:`synthetic_minority`."""
+    rows = df.select(q(label).alias(label), *(q(c).cast("double").alias(c) for c in features))
+    return rows.unionByName(synthetic_minority(df, label, features, seed, k).drop("__base", "__copy"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabsmith import SPLIT_COL
-from tabsmith.operators.prep import one_hot_in_pipeline, random_undersample, target_encode_crossfit
+from tabsmith.operators.prep import one_hot_in_pipeline, random_undersample, synthetic_minority, target_encode_crossfit
 from tabsmith.operators.split import holdout_split
 from tabsmith.operators.steps import apply_steps
 from tabsmith.operators.text import tfidf_long
@@ -27,6 +27,14 @@ def _p05(s, sf):
     return out.select("c_custkey", SPLIT_COL, F.round(added[0], 4).alias("c_mktsegment_te"))
 
 
+SMOTE_FEATURES = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _p07(s, sf):
+    made = synthetic_minority(table(s, sf, "lineitem"), "l_returnflag", SMOTE_FEATURES, 42)
+    return made.select("l_returnflag", F.col("__base").alias("base"), F.col("__copy").cast("long").alias("copy"), *(F.round(c, 6).alias(c) for c in SMOTE_FEATURES))
+
+
 def _t17(s, sf):
     li = table(s, sf, "lineitem")
     out = apply_steps(li, [{"type": "pca_projection", "columns": ["l_quantity", "l_extendedprice", "l_discount",
@@ -37,6 +45,7 @@ def _t17(s, sf):
 QUERIES = {
     "p04_one_hot_infrequent": _p04,
     "p05_target_encode_crossfit": _p05,
+    "p07_smote": _p07,
     "p08_random_undersample": lambda s, sf: random_undersample(table(s, sf, "lineitem"), "l_returnflag", 42,
                                                                LINEITEM_KEY).select(*LINEITEM_KEY, "l_returnflag"),
     "t17_pca_projection": _t17,
@@ -94,7 +103,33 @@ st AS (SELECT k, f, gm, CASE WHEN isnan(gv * n / (gv * n + wv)) OR (gv * n + wv)
 SELECT r.c_custkey, r.{SPLIT_COL}, {R('coalesce(st.e, g.gm)')} AS c_mktsegment_te
 FROM rows_ r LEFT JOIN st ON st.k = r.k AND st.f = r.f JOIN g ON g.f = r.f"""
 
+_X = [f"CAST({c} AS DOUBLE)" for c in SMOTE_FEATURES]
+_NUMBER = "('0x' || substr(md5(concat_ws('~', base, CAST(copy AS VARCHAR), '42', '{}')), 1, 8))::BIGINT"
+_SMOTE_SQL = f"""WITH nodes AS (
+  SELECT l_returnflag AS grp, {', '.join(f'{x} AS x{i}' for i, x in enumerate(_X))}, count(*) AS copies, md5(concat_ws('~', {', '.join(f'CAST({x} AS VARCHAR)' for x in _X)})) AS base
+  FROM lineitem GROUP BY ALL
+), sizes AS (SELECT grp, sum(copies) AS n FROM nodes GROUP BY grp),
+short AS (SELECT grp, n, (SELECT max(n) FROM sizes) - n AS lacks FROM sizes WHERE n < (SELECT max(n) FROM sizes)),
+own AS (SELECT *, sum(copies) OVER (PARTITION BY grp ORDER BY base) - copies AS node FROM nodes JOIN short USING (grp)),
+quotas AS (SELECT *, copies * (lacks // n) + greatest(0, least(copies, lacks % n - node)) AS quota FROM own),
+near AS (
+  SELECT * FROM (
+    SELECT a.grp, a.base, b.copies AS many, b.x0 AS y0, b.x1 AS y1, b.x2 AS y2, row_number() OVER (PARTITION BY a.grp, a.base
+      ORDER BY sqrt((a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1) + (a.x2 - b.x2) * (a.x2 - b.x2)), b.node) AS place
+    FROM own a JOIN own b ON a.grp = b.grp AND a.node <> b.node) WHERE place <= 5
+), listed AS (
+  SELECT grp, base, 0 AS place, unnest(range(least(copies - 1, 5)::BIGINT)) AS again, x0 AS y0, x1 AS y1, x2 AS y2 FROM own
+  UNION ALL SELECT grp, base, place, unnest(range(least(many, 5)::BIGINT)), y0, y1, y2 FROM near
+), choices AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp, base ORDER BY place, again) - 1 AS choice FROM listed) WHERE choice < 5
+), lens AS (SELECT grp, base, count(*) AS len FROM choices GROUP BY grp, base),
+made AS (SELECT quotas.*, unnest(range(quota::BIGINT)) AS copy FROM quotas WHERE quota > 0),
+picked AS (SELECT made.*, {_NUMBER.format('to')} % len AS choice, {_NUMBER.format('at')} / 4294967296.0::DOUBLE AS u FROM made JOIN lens USING (grp, base))
+SELECT p.grp AS l_returnflag, p.base, p.copy, {', '.join(f'{R(f"p.x{i} + p.u * (c.y{i} - p.x{i})", 6)} AS {c}' for i, c in enumerate(SMOTE_FEATURES))}
+FROM picked p JOIN choices c ON c.grp = p.grp AND c.base = p.base AND c.choice = p.choice"""
+
 ORACLE = {
+    "p07_smote": _SMOTE_SQL,
     "p04_one_hot_infrequent": """WITH vc AS (SELECT c_mktsegment AS v, count(*) AS n FROM customer GROUP BY 1),
 kept AS (SELECT v FROM vc ORDER BY n DESC, v DESC LIMIT 2),
 feats AS (SELECT 'c_mktsegment_' || v AS feature, v FROM kept UNION ALL SELECT 'c_mktsegment_infrequent', NULL)
