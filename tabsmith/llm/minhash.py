@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsmith.llm.common import SPACE, ascii_lower, connected_components, digest, is_empty, stored
@@ -15,10 +15,10 @@ from tabsmith.llm.common import SPACE, ascii_lower, connected_components, digest
 RING = (1 << 62) - 1
 #: Rows that are broadcast.
 SMALL_ROWS = 100_000
-#: Pairs that a bucket's rows may form on average; with more, the bucket is worked off node by node.
-PAIRS_A_ROW = 16
-#: Relative width of a size class.
-CLASS_WIDTH = 0.03
+#: Nodes of a bucket of rare differences that all others are compared with in one turn.
+HUBS = 16
+#: Relative width of a class of sizes.
+CLASS_WIDTH = 0.2
 
 
 def word_list(text: Column) -> Column:
@@ -58,7 +58,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int,
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 85,
-                    bands: int = 16, rows: int = 4, rounds: int = 3) -> DataFrame:
+                    bands: int = 16, rows: int = 4) -> DataFrame:
     """All columns of ``docs``, then n_shingles, component_id and kept (columns of these names in the
     input are replaced).
 
@@ -71,13 +71,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id are the same document: they share its class. A null id is never the smallest; in a class
     without any id, component_id is null and every row is kept. An empty table stays empty.
 
-    Scale: equal texts are one node. Within a bucket the nodes are compared with one node of the
-    bucket, which then leaves it, another one each round; buckets whose nodes have all met in one
-    component are done, as links inside a component can't change the result. What is left after
-    ``rounds`` rounds is dealt anew by rare shingles (see :func:`_prefix_members`); pairs of such a bucket are
-    formed only where they are at most ``PAIRS_A_ROW`` a row, else it too is worked off node by node.
-    Shingle sets are made only for nodes that share a bucket."""
-    nodes = _classes(docs, id_col, text_col, k, percent, bands, rows, rounds)
+    Scale: equal texts are one node. All nodes of a bucket are compared with one node, its hub; buckets
+    whose nodes have all met in one component are done, as links inside a component can't change the result.
+    What is left is dealt anew by rare differences from the hub (see :func:`_difference_members`) and compared
+    with ``HUBS`` nodes of such a bucket at a time; the pairs of a bucket are never formed. Shingle sets are
+    made only for nodes that share a bucket."""
+    nodes = _classes(docs, id_col, text_col, k, percent, bands, rows)
     low = nodes.groupBy("root").agg(F.min("first_id").alias("__nd_component"))
     nodes = nodes.join(low, "root").select(F.col("text").alias("__nd_text"), F.col("n").alias("__nd_n"), "__nd_component")
     own = docs.withColumn("__nd_own", digest(F.col(text_col)))
@@ -89,7 +88,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80,
-                bands: int = 22, rows: int = 4, rounds: int = 3) -> DataFrame:
+                bands: int = 22, rows: int = 4) -> DataFrame:
     """One row of each class of near-duplicates, linked as in ``near_duplicates``: one with its smallest
     id, also if rows repeat or the class has no id. With 22 bands of 4 coordinates a pair at
     similarity 0.80 is missed with a probability under 1e-5.
@@ -97,7 +96,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts without shingles are linked with nothing: one row of each id stays, and every row without
     an id. Rows are told apart by id and text; the texts are shuffled only where the rows to drop
     are too many to broadcast."""
-    nodes = _classes(docs, id_col, text_col, k, percent, bands, rows, rounds).select("text", "root")
+    nodes = _classes(docs, id_col, text_col, k, percent, bands, rows).select("text", "root")
     own = docs.select(F.col(id_col).alias("id"), digest(F.col(text_col)).alias("text")).groupBy("id", "text").agg(F.count("*").alias("copies"))
     own = stored(own.join(nodes, "text", "left").where("root IS NOT NULL OR id IS NOT NULL").withColumn("alone", F.when(F.col("root").isNull(), F.col("id"))), "own")
     best = own.groupBy("root", "alone").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text")).alias("best"))
@@ -116,62 +115,67 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return met(gone, "left_anti").unionByName(one)
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, bands: int, rows: int, rounds: int) -> DataFrame:
+def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, bands: int, rows: int) -> DataFrame:
     """(text, n, first_id, root) of each distinct text with words; root names its class."""
     sig = stored(signatures(docs, id_col, text_col, k, bands, rows), "signatures")
-    root = _components(docs, sig, id_col, text_col, k, percent, rounds)
+    root = _components(docs, sig, id_col, text_col, k, percent)
     return sig.select("text", "n", "first_id").join(root, "text", "left").withColumn("root", F.coalesce("root", "text"))
 
 
-def _components(docs: DataFrame, sig: DataFrame, id_col: str, text_col: str, k: int, percent: int, rounds: int) -> DataFrame:
+def _components(docs: DataFrame, sig: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """(text, root) for the nodes that are linked with another."""
     spread = sig.select("text", "n", F.explode_outer("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
+    shared = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = stored(spread.join(shared, "bucket"), "buckets")
     sets = _sets(docs, sig, members, id_col, text_col, k)
-    root = members.select("text").distinct().select("text", F.col("text").alias("root"))
-    for turn in range(rounds):
-        now = _mixed(members, root)
-        if is_empty(now):
-            return root
-        root, members = _star_turn(now, root, sets, percent, turn)
+    near = stored(members.groupBy("text").agg(F.sum("size").alias("near")), "nodes")
+    members = members.select("bucket", "text", "n", F.lit(0).alias("side"))
+    root = near.select("text", F.col("text").alias("root"))
     now = _mixed(members, root)
     if is_empty(now):
         return root
-    members = stored(_prefix_members(now.select("text", "n").distinct(), sets, percent), "prefixes")
-    turn = rounds
+    hubs = _hubs(now, near, 1)
+    root, _ = _star_turn(now, hubs, root, sets, percent)
+    left = _mixed(members, root).join(hubs.select("bucket", F.col("text2").alias("hub")), "bucket").where("text != hub")
+    members = stored(_difference_members(left.select("hub", "text", "n").distinct(), sets, percent), "differences")
     while True:
         now = _mixed(members, root)
-        rows, pairs = now.groupBy("bucket").count().agg(F.sum("count"), F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()
-        if not rows:
+        if is_empty(now):
             return root
-        if pairs <= PAIRS_A_ROW * rows:
-            return _merged(root, _confirmed(_bucket_pairs(now, percent), sets, percent))
-        root, members = _star_turn(now, root, sets, percent, turn)
-        turn += 1
+        root, members = _star_turn(now, _hubs(now, near, HUBS), root, sets, percent)
 
 
 def _mixed(members: DataFrame, root: DataFrame) -> DataFrame:
-    """(bucket, text, n, root) of the buckets whose nodes lie in several components."""
+    """(bucket, text, n, side, root, major) of the buckets whose nodes lie in several components and, where a
+    bucket has two sides, on both; ``major`` is the component that most of them lie in."""
     now = members.join(root, "text")
-    mixed = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket")
-    return stored(now.join(mixed, "bucket"), "mixed")
-
-
-def _star_turn(now: DataFrame, root: DataFrame, sets: DataFrame, percent: int, turn: int) -> tuple[DataFrame, DataFrame]:
-    """The new roots once every node has been compared with one node of each of its buckets, and the members
-    without that node: all pairs that hold it are done."""
-    star = now.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("text", F.lit(turn)).alias("h"), F.col("text").alias("text2"),
-                                                    F.col("n").alias("n2"), F.col("root").alias("root2"))).alias("x")).select("bucket", "x.*")
-    met = now.join(star, "bucket")
-    root = _merged(root, _confirmed(_near_in_size(met.where("root != root2"), percent), sets, percent))
-    return root, met.where("text != text2").select("bucket", "text", "n")
-
-
-def _bucket_pairs(now: DataFrame, percent: int) -> DataFrame:
-    """The pairs of a bucket that lie in different components. Only called where they are few."""
-    other = now.select("bucket", F.col("text").alias("text2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-    return _near_in_size(now.join(other, "bucket").where("root < root2"), percent)
+    size = now.groupBy("bucket", "root").agg(F.count("*").alias("size"), F.min("side").alias("low"), F.max("side").alias("high"))
+    mixed = size.groupBy("bucket").agg(F.max(F.struct("size", "root")).alias("most"), F.count("*").alias("roots"), F.min("low").alias("low"), F.max("high").alias("high"))
+    mixed = mixed.where("roots > 1 AND (low = 0 OR low != high)")
+    return stored(now.join(mixed.select("bucket", F.col("most.root").alias("major")), "bucket"), "mixed")
+
+
+def _hubs(now: DataFrame, near: DataFrame, hubs: int) -> DataFrame:
+    """(bucket, text2, n2, side2, root2): ``hubs`` nodes of each bucket. A single one is the node with most neighbours in
+    all its buckets, the likeliest to be linked with the others; several are first of all those outside
+    the bucket's major component, as a bucket is done when no others are left."""
+    ranked = now.join(near, "text")
+    order = F.struct((-F.col("near")).alias("far"), F.xxhash64("text").alias("h"), F.col("text").alias("text2"), F.col("n").alias("n2"), F.col("side").alias("side2"), F.col("root").alias("root2"))
+    if hubs == 1:
+        star = ranked.groupBy("bucket").agg(F.min(order).alias("x"))
+    else:
+        first = Window.partitionBy("bucket").orderBy(F.col("root") == F.col("major"), "x")
+        star = ranked.select("bucket", "root", "major", order.alias("x")).withColumn("r", F.row_number().over(first)).where(F.col("r") <= hubs)
+    return stored(star.select("bucket", "x.text2", "x.n2", "x.side2", "x.root2"), "hubs")
+
+
+def _star_turn(now: DataFrame, hubs: DataFrame, root: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The new roots once every node has been compared with the hubs of its buckets, and the members without
+    those: all pairs that hold one are done, so the work grows with the members."""
+    met = now.join(hubs, "bucket").where("root != root2 AND side + side2 = 0")
+    root = _merged(root, _confirmed(_near_in_size(met, percent), sets, percent))
+    rest = now.join(hubs.select("bucket", F.col("text2").alias("text")), ["bucket", "text"], "left_anti")
+    return root, rest.select("bucket", "text", "n", "side")
 
 
 def _near_in_size(pairs: DataFrame, percent: int) -> DataFrame:
@@ -185,31 +189,38 @@ def _merged(root: DataFrame, links: DataFrame) -> DataFrame:
                   .select("text", F.coalesce("to", "root").alias("root")), "roots")
 
 
-def _size_class(n: Column) -> Column:
-    """Sizes of a class differ by less than ``CLASS_WIDTH``."""
-    return F.floor(F.log(n.cast("double")) / F.lit(math.log1p(CLASS_WIDTH)) + F.lit(1e-9)).cast("int")
-
-
-def _prefix_members(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(bucket, text, n): ``nodes`` in buckets such that every pair that may be linked shares one, and few others do.
-
-    Two sets of sizes n and m are linked only if they share o = ``percent`` * (n + m) / (100 + ``percent``)
-    shingles, so the n - o + 1 rarest of the one and the m - o + 1 rarest of the other have one in common.
-    A bucket is such a shingle with the size classes of the two. Shingles that only one node has can't
-    meet another and are left out, but take their places among the rarest: texts that share a frequent
-    passage and differ otherwise have no bucket at all."""
-    each = nodes.join(sets, "text").select("text", "n", F.explode_outer("s").alias("s"))
-    often = each.groupBy("s").agg(F.count("*").alias("often")).where("often > 1")
-    ranked = each.join(often, "s").groupBy("text", "n").agg(F.sort_array(F.collect_list(F.struct("often", "s"))).alias("shared"))
-    n, low = F.col("n"), F.ceil(F.col("n") * percent / 100)
-    high = F.floor(n * 100 / percent)
-    ranked = ranked.select("text", "n", F.transform("shared", lambda x: x["s"]).alias("shared"), (n - F.size("shared")).alias("alone"),
-                           _size_class(n).alias("own"), F.explode(F.sequence(_size_class(F.greatest(low, F.lit(1))), _size_class(high))).alias("other"))
-    least = F.greatest(F.floor(F.exp(F.col("other") * F.lit(math.log1p(CLASS_WIDTH))) - F.lit(1e-6)), F.ceil(n * percent / 100), F.lit(1))
-    overlap = F.ceil(percent * (n + least) / F.lit(100 + percent) - F.lit(1e-9))
-    prefix = ranked.withColumn("take", F.least(F.size("shared"), (n - overlap + 1 - F.col("alone")).cast("int"))).where("take > 0")
-    prefix = prefix.select("text", "n", "own", "other", F.explode(F.expr("slice(shared, 1, take)")).alias("s"))
-    return prefix.select(F.xxhash64("s", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "text", "n").distinct()
+def _size_class(d: Column) -> Column:
+    """Sizes of a class differ by a factor of less than 1 + ``CLASS_WIDTH``."""
+    return F.floor(F.log1p(d.cast("double")) / F.lit(math.log1p(CLASS_WIDTH)) + F.lit(1e-9)).cast("int")
+
+
+def _difference_members(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(bucket, text, n, side): the (hub, text, n) of ``nodes`` in buckets such that every pair of a hub's nodes that may be
+    linked, and isn't in one component through the hub, shares one; few others do.
+
+    Let D be what a node's set and its hub's don't share. Two sets x, y are linked only if they differ in up
+    to H = (100 - percent) / (100 + percent) * (n_x + n_y) shingles, and they differ in |Dx| + |Dy| - 2 |Dx and
+    Dy|. If |Dx| + |Dy| <= H, both are linked with the hub, which has been compared with all its nodes. Else
+    Dx and Dy share at least c = (|Dx| + |Dy| - H) / 2 shingles, so the |Dx| - c + 1 rarest of the one and
+    the |Dy| - c + 1 rarest of the other have one in common. A bucket is a hub, such a shingle and the classes of
+    the two sizes |D|; ``side`` tells the smaller (-1) from the larger (1), or is 0 where the classes are one.
+    Shingles that only one node of a hub has in D are left out, but take their places among the
+    rarest: nodes that differ from the hub each in its own way have no bucket at all."""
+    own, other = sets.withColumnRenamed("s", "s1"), sets.select(F.col("text").alias("hub"), F.col("s").alias("s2"))
+    each = nodes.join(own, "text").join(other, "hub").select("hub", "text", "n", F.concat(F.array_except("s1", "s2"), F.array_except("s2", "s1")).alias("d"))
+    each = each.select("hub", "text", "n", F.size("d").alias("size"), F.explode_outer("d").alias("s"))
+    often = each.groupBy("hub", "s").agg(F.count("*").alias("often")).where("often > 1")
+    ranked = each.join(often, ["hub", "s"]).groupBy("hub", "text", "n", "size").agg(F.sort_array(F.collect_list(F.struct("often", "s"))).alias("shared"))
+    widest = F.col("n") * (1 + 100 / percent) * ((100 - percent) / (100 + percent)) + 1e-6  # H for the largest partner
+    low, high = F.greatest(F.lit(0.0), F.ceil(F.col("size") - widest)), F.floor(F.col("size") + widest)
+    ranked = ranked.select("hub", "text", "n", "size", F.transform("shared", lambda x: x["s"]).alias("shared"), (F.col("size") - F.size("shared")).alias("alone"),
+                           _size_class(F.col("size")).alias("own"), low.alias("low"), widest.alias("widest"), F.explode(F.sequence(_size_class(low), _size_class(high))).alias("other"))
+    least = F.greatest(F.col("low"), F.ceil(F.exp(F.col("other") * F.lit(math.log1p(CLASS_WIDTH))) - F.lit(1 + 1e-6)))
+    common = F.greatest(F.lit(1), F.ceil((F.col("size") + least - F.col("widest")) / 2))
+    prefix = ranked.withColumn("take", F.least(F.size("shared"), (F.col("size") - common + 1 - F.col("alone")).cast("int"))).where("take > 0")
+    prefix = prefix.select("hub", "text", "n", "own", "other", F.explode(F.expr("slice(shared, 1, take)")).alias("s"))
+    return prefix.select(F.xxhash64("hub", "s", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "text", "n",
+                         F.signum(F.col("own") - F.col("other")).cast("int").alias("side")).distinct()
 
 
 def _sets(docs: DataFrame, sig: DataFrame, members: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:

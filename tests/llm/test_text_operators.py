@@ -145,21 +145,23 @@ def test_bad_bucket_forms_few_candidates(spark):
     docs = spark.createDataFrame(rows, DOCS)
     sig = common.stored(minhash.signatures(docs, "doc_id", "text", 5, 16, 4), "signatures")
     sets = minhash._sets(docs, sig, sig, "doc_id", "text", 5)
-    found = common.stored(minhash._prefix_members(sig.select("text", "n"), sets, 85), "prefixes")
+    hub = sig.where("first_id = 0").first()["text"]
+    found = common.stored(minhash._difference_members(sig.select(F.lit(hub).alias("hub"), "text", "n").where("text != hub"), sets, 85), "differences")
     pairs = found.groupBy("bucket").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0]
     assert pairs < 20_000  # those of the groups of four, once for each rare shingle; all pairs are 179,700
-    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, rounds=0).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()}
     assert got == {i: i for i in range(400)} | {1000 + i: 1000 + i // 4 * 4 for i in range(200)}
-    few = minhash.PAIRS_A_ROW
-    minhash.PAIRS_A_ROW = 0  # every bucket node by node
+    few = minhash.HUBS
+    minhash.HUBS = 2  # many turns
     try:
-        assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, rounds=0).collect()} == got
+        assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()} == got
     finally:
-        minhash.PAIRS_A_ROW = few
+        minhash.HUBS = few
 
 
 @pytest.mark.parametrize("percent", [80, 85])
-def test_rare_shingles_meet_every_link(spark, percent):
+def test_rare_differences_meet_every_link(spark, percent):
+    """Whatever the hub: two linked texts are both linked with it, or meet in a bucket."""
     rng = random.Random(percent)
     rows = []
     for group in range(15):
@@ -170,21 +172,24 @@ def test_rare_shingles_meet_every_link(spark, percent):
             rows.append((len(rows), " ".join(base[: len(base) - rng.choice([0, 0, 3])])))
     docs = spark.createDataFrame(rows, DOCS)
     sig = common.stored(minhash.signatures(docs, "doc_id", "text", 5, 2, 2), "signatures")
-    found = minhash._prefix_members(sig.select("text", "n"), minhash._sets(docs, sig, sig, "doc_id", "text", 5), percent).join(sig.select("text", "first_id"), "text")
-    buckets = {}
-    for r in found.collect():
-        buckets.setdefault(r["first_id"], set()).add(r["bucket"])
+    shingles = minhash._sets(docs, sig, sig, "doc_id", "text", 5)
     sets, first = [_shingles(t) for _, t in rows], {}
     for i, (_, t) in enumerate(rows):
         first.setdefault(t, i)
-    links = 0
-    for i in first.values():
-        for j in first.values():
-            both = len(sets[i] & sets[j])
-            if i < j and 100 * both >= percent * len(sets[i] | sets[j]):
-                links += 1
-                assert buckets.get(i, set()) & buckets.get(j, set()), (i, j)
-    assert links > 40
+    near = lambda i, j: 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])
+    met = 0
+    for hub in (0, 20, 37, 60):
+        text = sig.where(F.col("first_id") == first[rows[hub][1]]).first()["text"]
+        found = minhash._difference_members(sig.select(F.lit(text).alias("hub"), "text", "n").where("text != hub"), shingles, percent).join(sig.select("text", "first_id"), "text")
+        buckets = {}
+        for r in found.collect():
+            buckets.setdefault(r["first_id"], set()).add(r["bucket"])
+        for i in first.values():
+            for j in first.values():
+                if i < j and hub not in (i, j) and near(i, j) and not (near(i, hub) and near(j, hub)):
+                    met += 1
+                    assert buckets.get(i, set()) & buckets.get(j, set()), (i, j, hub)
+    assert met > 100
 
 
 def test_connected_components(spark):
