@@ -114,6 +114,28 @@ def target_encode_crossfit(frame: DataFrame, target: str, cat_cols: list[str], t
     return allrows.drop("__tef"), added
 
 
+def full_train_codes(train: DataFrame, target: str, cat_cols: list[str], task: str) -> dict[str, list]:
+    """P05 for rows that are scored: {new column: [column, {category: code}, mean]} with the shrinkage of
+    :func:`target_encode_crossfit` over all training rows. One aggregate a column; as many numbers reach
+    the driver as the columns have categories, which the cardinality limit bounds."""
+    classes = sorted(r[0] for r in train.select(q(target).cast("string")).distinct().collect()) if task != "regression" else []
+    indicators = _indicators(train, target, task, classes)
+    whole = train.agg(*(f(y).alias(f"{name}{s}") for s, y in indicators.items() for name, f in (("m", F.avg), ("v", F.var_pop)))).first()
+    out = {}
+    for c in cat_cols:
+        own = train.where(q(c).isNotNull()).groupBy(q(c).cast("string").alias("k")).agg(
+            F.count("*").alias("n"), *(f(y).alias(f"{name}{s}") for s, y in indicators.items() for name, f in (("m", F.avg), ("v", F.var_pop)))).collect()
+        for s in indicators:
+            mean, var = whole[f"m{s}"], whole[f"v{s}"]
+            codes = {}
+            for r in own:
+                spread = var * r["n"] + r[f"v{s}"]
+                share = var * r["n"] / spread if spread > 0 else 0.0
+                codes[r["k"]] = share * r[f"m{s}"] + (1 - share) * mean
+            out[f"{c}_te{s}"] = [c, codes, mean]
+    return out
+
+
 def random_undersample(df: DataFrame, label: str, seed: int = 42, key: list | None = None) -> DataFrame:
     """Every class reduced to the minority count, keeping the rows with the smallest
     digests per class (a two-phase per-class rank, no single-task window)."""

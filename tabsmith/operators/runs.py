@@ -150,13 +150,14 @@ def feature_importance(model, names: Sequence[str], scales: Sequence[float] | No
 
 
 def score(model, df: DataFrame, digits: int = 4) -> DataFrame:
-    """Batch scoring: prediction, and confidence = max class probability when present."""
+    """Batch scoring by a model or a saved pipeline (which takes raw rows): prediction, the class name where
+    the pipeline knows it, and confidence = max class probability when present."""
     from pyspark.ml.functions import vector_to_array
 
     p = model.transform(df)
     if "probability" in p.columns:
         p = p.withColumn("confidence", F.round(F.array_max(vector_to_array("probability")), digits))
-    return p.drop(*[c for c in ("features", "rawPrediction", "probability") if c in p.columns])
+    return p.drop(*[c for c in ("features", "rawPrediction", "probability") if c in p.columns and c not in df.columns])
 
 
 def score_all(models: dict, df: DataFrame, key: Sequence[str]) -> DataFrame:

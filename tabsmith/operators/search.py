@@ -17,18 +17,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsmith import SPLIT_COL
+from tabsmith.operators.models import options
 from tabsmith.operators.training import SplitConfig, assemble, cross_validate, fit_and_score, prepare
 
-# The reference's search space per model (low, high, step / log / choices).
+# The search space per model (low, high, step / log / choices), without the options that Spark's
+# trees don't have (min_samples_split, ccp_alpha).
 SEARCH_SPACES = {
     "random_forest": {"n_estimators": ("int", 50, 400, 10), "max_depth": ("int", 2, 20, 1),
-                      "min_samples_split": ("int", 2, 20, 1), "min_samples_leaf": ("int", 1, 10, 1),
+                      "min_samples_leaf": ("int", 1, 10, 1),
                       "max_features": ("cat", ["sqrt", "log2", "none"])},
     "gradient_boosting": {"n_estimators": ("int", 50, 300, 10), "learning_rate": ("log", 0.01, 0.3),
                           "max_depth": ("int", 2, 8, 1), "subsample": ("float", 0.5, 1.0),
                           "min_samples_leaf": ("int", 1, 10, 1)},
-    "decision_tree": {"max_depth": ("int", 2, 20, 1), "min_samples_split": ("int", 2, 20, 1),
-                      "min_samples_leaf": ("int", 1, 10, 1), "ccp_alpha": ("float", 0.0, 0.02)},
+    "decision_tree": {"max_depth": ("int", 2, 20, 1), "min_samples_leaf": ("int", 1, 10, 1)},
     "ridge": {"alpha": ("log", 0.001, 100.0)},
     "logistic_regression": {"C": ("log", 0.001, 100.0), "max_iter": ("int", 200, 2000, 100)},
     "ridge_classifier": {"alpha": ("log", 0.001, 100.0)},
@@ -70,6 +71,9 @@ def tune(df: DataFrame, target: str, model: str, n_trials: int = 30, task: str |
     data = assemble(prep, cfg)
     train = data.where(F.col(SPLIT_COL) == "train")
 
+    for t in range(n_trials):
+        options(prep.task, model, draw(model, t, seed))  # an option that the model lacks is an error, not a failed trial
+
     def run(t):
         params = draw(model, t, seed)
         hyper = {model: params}
@@ -109,11 +113,12 @@ def refit_best(df: DataFrame, target: str, model: str, trials: DataFrame, task:
     data = assemble(prep, cfg)
     res = fit_and_score(model, prep, data, {model: params}, cfg)
     fitted = res.pop("fitted")
-    res.pop("importances", None)
+    importances = res.pop("importances", None)
     if runs_dir:
-        from tabsmith.sources.runs import log_run
-        log_run(df.sparkSession, runs_dir, dataset, model, prep.task, cfg, {model: params}, res, fitted, prep,
+        from tabsmith.sources.runs import log_importances, log_run
+        run_id = log_run(df.sparkSession, runs_dir, dataset, model, prep.task, cfg, {model: params}, res, fitted, prep,
                 tags={"source": "tuning", "best_trial": str(best["number"])})
+        log_importances(df.sparkSession, runs_dir, run_id, importances or [])
     data.unpersist()
     res["params"] = params
     res["best_trial"] = best["number"]

@@ -18,8 +18,10 @@ from tabsmith.operators.split import holdout_split
 from tabsmith.operators.steps import preview_steps
 from tabsmith.plans.fixtures import LINEITEM_KEY, ORDERS_NULLS_SQL, orders_nulls, table
 from tabsmith.plans.sqlgen import R
+from tabsmith.operators.training import train_all
 from tabsmith.session import ensure_checkpoint_dir
 from tabsmith.sources import io as IO
+from tabsmith.sources.runs import load_model
 
 FEATS = ["l_quantity", "l_discount", "l_tax"]
 
@@ -51,11 +53,24 @@ def _d18(s, sf):
                                   key=LINEITEM_KEY)
 
 
-def _clf_frame(s, sf):
-    lab = table(s, sf, "labels")
-    docs = table(s, sf, "documents").select("doc_id", "n_chars")
-    df = lab.join(docs, "doc_id").withColumn("label", F.col("quality").cast("double"))
-    return VectorAssembler(inputCols=["n_chars", "toxic"], outputCol="features").transform(df)
+def _one_feature(s, sf, feature):
+    """A pipeline of scaler and least squares on one feature, fitted on the training rows, saved as a run and
+    loaded again."""
+    li = holdout_split(table(s, sf, "lineitem"), "l_extendedprice", 0.2, 42, stratify=False, key=LINEITEM_KEY)
+    runs = _scratch(s, "runs")
+    train_all(li.select(feature, "l_extendedprice", SPLIT_COL), "l_extendedprice", "regression", models=["linear_regression"],
+              split_config={"val_strategy": "none"}, runs_dir=runs, dataset="lineitem")
+    return load_model(s, runs, "lineitem", "linear_regression")
+
+
+def _x10_saved(s, sf):
+    return X.score(_one_feature(s, sf, "l_quantity"), table(s, sf, "lineitem")).select(*LINEITEM_KEY, F.round("prediction", 3).alias("prediction"))
+
+
+def _x11_saved(s, sf):
+    models = {c: _one_feature(s, sf, c) for c in ("l_quantity", "l_tax")}
+    out = X.score_all(models, table(s, sf, "lineitem"), LINEITEM_KEY)
+    return out.select(*LINEITEM_KEY, *(F.round(c, 3).alias(c) for c in ("min_pred", "max_pred", "spread")))
 
 
 def _x07(s, sf):
@@ -65,9 +80,11 @@ def _x07(s, sf):
 
 
 def _x10(s, sf):
-    d = _clf_frame(s, sf)
-    m = build_estimator("logistic_regression", "classification", n=d.count()).fit(d)
-    return X.score(m, d).select("doc_id", "prediction", "confidence")
+    """Fitted on the labelled documents, scoring all."""
+    docs = VectorAssembler(inputCols=["n_chars"], outputCol="features").transform(table(s, sf, "documents").select("doc_id", "n_chars"))
+    known = docs.join(table(s, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
+    m = build_estimator("logistic_regression", "classification", n=known.count()).fit(known)
+    return X.score(m, docs).select("doc_id", "prediction", "confidence")
 
 
 def _x11(s, sf):
@@ -132,6 +149,8 @@ QUERIES = {
     "h03_refit_best": _h03,
     "x07_feature_importance": _x07,
     "x10_score": _x10,
+    "x10_score_saved": _x10_saved,
+    "x11_score_all_saved": _x11_saved,
     "x11_score_all": _x11,
     "t23_preview_after": lambda s, sf: preview_steps(orders_nulls(s, sf), [
         {"type": "impute", "columns": ["o_totalprice"], "strategy": "zero"}], 5, ["o_orderkey"])[1],
@@ -151,7 +170,19 @@ def _f06(s, sf):
     return tr.groupBy(SPLIT_COL).count().unionByName(te.groupBy(SPLIT_COL).count()) \
         .select(SPLIT_COL, F.col("count").cast("long").alias("n"))
 
+def _fit_sql(*features):
+    split = ", ".join(f"CAST({c} AS VARCHAR)" for c in LINEITEM_KEY)
+    fits = ", ".join(f"regr_slope(l_extendedprice, {c}) AS b_{c}, regr_intercept(l_extendedprice, {c}) AS a_{c}" for c in features)
+    return f"""WITH r AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('~', {split}, '42'))) AS rn FROM lineitem),
+f AS (SELECT {fits} FROM r WHERE rn > (SELECT ceil(count(*) * 0.2) FROM lineitem)),
+p AS (SELECT {', '.join(LINEITEM_KEY)}, {', '.join(f'a_{c} + b_{c} * {c} AS p_{c}' for c in features)} FROM lineitem, f)"""
+
+
 ORACLE = {
+    "x10_score_saved": _fit_sql("l_quantity") + f"SELECT {', '.join(LINEITEM_KEY)}, {R('p_l_quantity', 3)} AS prediction FROM p",
+    "x11_score_all_saved": _fit_sql("l_quantity", "l_tax") + f"""SELECT {', '.join(LINEITEM_KEY)}, {R('min(least(p_l_quantity, p_l_tax))', 3)} AS min_pred,
+  {R('max(greatest(p_l_quantity, p_l_tax))', 3)} AS max_pred, {R('max(greatest(p_l_quantity, p_l_tax)) - min(least(p_l_quantity, p_l_tax))', 3)} AS spread
+FROM p GROUP BY {', '.join(LINEITEM_KEY)}""",
     "c12_loo_press": f"""WITH s AS (SELECT count(*) AS n, avg(CAST(l_quantity AS DOUBLE)) AS mx, regr_sxx(l_extendedprice, l_quantity) AS sxx,
     regr_slope(l_extendedprice, l_quantity) AS b1, regr_intercept(l_extendedprice, l_quantity) AS b0 FROM lineitem),
 e AS (SELECT (l_extendedprice - (b0 + b1 * l_quantity)) / (1 - (1.0 / n + (l_quantity - mx) * (l_quantity - mx) / sxx)) AS e

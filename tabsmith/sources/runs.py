@@ -1,5 +1,5 @@
-"""Run store (S12) and model store (S13): an append-only Parquet ``runs`` table plus one saved
-``PipelineModel`` folder per run, both under a shared folder (a Hadoop-FS URI on a cluster)."""
+"""Run store (S12) and model store (S13): append-only Parquet tables ``runs`` and ``importances`` plus one
+saved ``PipelineModel`` folder per run, both under a shared folder (a Hadoop-FS URI on a cluster)."""
 
 from __future__ import annotations
 
@@ -37,15 +37,26 @@ def log_run(spark: SparkSession, runs_dir: str, dataset: str, model: str, task:
         params[k] = str(v)
     mets = {k: float(v) for k, v in metrics.items() if isinstance(v, (int, float)) and not isinstance(v, bool)}
     path = None
-    if fitted is not None and hasattr(fitted, "write"):
+    whole = prep.pipeline(fitted) if fitted is not None and prep is not None else fitted  # takes raw rows where the preparation is known
+    if whole is not None and hasattr(whole, "write"):
         path = f"{runs_dir}/models/{run_id}"
-        fitted.write().overwrite().save(path)
+        whole.write().overwrite().save(path)
     row = [(run_id, dataset, model, task, params, mets, dict(tags or {}), datetime.now(timezone.utc).replace(tzinfo=None),
             path)]
     spark.createDataFrame(row, RUNS_SCHEMA).write.mode("append").parquet(f"{runs_dir}/runs")
     return run_id
 
 
+def log_importances(spark: SparkSession, runs_dir: str, run_id: str, importances: list[tuple[str, float]]) -> None:
+    """One row per feature of a run."""
+    rows = [(run_id, name, float(v)) for name, v in importances]
+    spark.createDataFrame(rows, "run_id string, feature string, importance double").write.mode("append").parquet(f"{runs_dir}/importances")
+
+
+def read_importances(spark: SparkSession, runs_dir: str) -> DataFrame:
+    return spark.read.schema("run_id string, feature string, importance double").parquet(f"{runs_dir}/importances")
+
+
 def read_runs(spark: SparkSession, runs_dir: str) -> DataFrame:
     return spark.read.schema(RUNS_SCHEMA).parquet(f"{runs_dir}/runs")
 
@@ -60,7 +71,8 @@ def latest_run(runs: DataFrame, dataset: str, model: str, run_id: str | None = N
 
 
 def load_model(spark: SparkSession, runs_dir: str, dataset: str, model: str, run_id: str | None = None):
-    """Load the saved model of a run (Spark ML models record their own class)."""
+    """Load what a run saved, for a logged training the whole pipeline from raw rows to predictions (each
+    saved stage records its own class)."""
     from pyspark.ml.util import DefaultParamsReader
 
     rows = latest_run(read_runs(spark, runs_dir), dataset, model, run_id).select("model_path").collect()

@@ -88,7 +88,7 @@ def test_train_all_tune_and_run_store(spark):
     assert all(r["cv_folds_run"] == 3 for r in rows)
     assert read_runs(spark, runs).count() == 3
     m = load_model(spark, runs, "li", "ridge")
-    assert hasattr(m, "coefficients")
+    assert hasattr(m.stages[-1], "coefficients") and "prediction" in m.transform(li).columns
     assert draw("ridge", 3) == draw("ridge", 3) and 0.001 <= draw("ridge", 3)["alpha"] <= 100
     trials = tune(li, "l_extendedprice", "ridge", n_trials=3, task="regression",
                   split_config={"cv_folds": 2}, parallelism=2)
