@@ -137,15 +137,76 @@ def skew_kurt(mom: dict):
     return G1, G2
 
 
-QUANTILE_CONF = "tabsmith.quantiles"  # exact (default) | distributed | approx
+QUANTILE_CONF = "tabsmith.quantiles"  # selection (default) | distributed | exact | approx
+
+#: Bins that a pass of the selection gathers at most, over all groups; bins of one interval, at least and most.
+PASS_BINS, LEAST_BINS, MOST_BINS = 200_000, 16, 2048
+#: Rows of a pass's intervals that are broadcast.
+SMALL_ROWS = 100_000
 
 
 def quantile_mode(spark) -> str:
-    """How quantiles are computed, read from the session: ``exact`` (Spark ``percentile``,
-    memory grows with a column's distinct values in one task), ``distributed`` (exact, from
-    pre-aggregated value counts and two-phase cumulative counts, no per-task value set) or
-    ``approx`` (bounded ``percentile_approx`` sketch)."""
-    return (spark.conf.get(QUANTILE_CONF, "exact") or "exact").lower()
+    """How quantiles are computed, read from the session. ``selection``: exact, by histograms that close in on
+    the wanted ranks (no value set anywhere, no shuffle of values). ``distributed``: exact, from pre-aggregated
+    value counts and two-phase cumulative counts. ``exact``: Spark's ``percentile``, whose memory grows with a
+    column's distinct values in one task. ``approx``: the bounded ``percentile_approx`` sketch."""
+    return (spark.conf.get(QUANTILE_CONF, "selection") or "selection").lower()
+
+
+def _ranks(n: int, probs) -> list[int]:
+    """The 0-based ranks between which the quantiles of ``n`` values lie."""
+    return sorted({int(r) for p in probs for r in (p * (n - 1) // 1, -(-p * (n - 1) // 1))})
+
+
+def _between(n: int, probs, at) -> list[float]:
+    """Linear interpolation between the values ``at`` two ranks."""
+    out = []
+    for p in probs:
+        x = p * (n - 1)
+        a, b = at(int(x // 1)), at(int(-(-x // 1)))
+        out.append(a + (b - a) * (x - int(x // 1)))
+    return out
+
+
+def selected_quantiles(long, group: str, value: str, probs) -> dict:
+    """Exact linear-interpolated quantiles of ``value`` for every ``group`` of a long frame, as
+    :func:`grouped_quantiles`, by selection.
+
+    A pass counts, for all groups and ranks together, the values in equal bins of the intervals that hold the
+    wanted ranks, with the least and greatest value of each bin; the bin that holds a rank is its next
+    interval, until that is a single value. Counts are combined map-side, so a pass moves bins and never
+    values. Each pass divides an interval by up to ``MOST_BINS``: two or three do for most columns; only
+    values spread over many orders of magnitude take more. Nulls and NaN aren't values."""
+    v = long.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    n, open_, found = {}, {}, {}
+    for r in v.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect():
+        n[r["g"]] = r["n"]
+        open_[r["g"]] = [(r["lo"], r["hi"], 0, _ranks(r["n"], probs))]
+    while True:
+        for g, own in list(open_.items()):
+            for lo, hi, _, ranks in own:
+                if lo == hi:
+                    found.update({(g, rank): lo for rank in ranks})
+            open_[g] = [x for x in own if x[0] != x[1]]
+        rows = [(g, k, float(x[0]), float(x[1])) for g, own in open_.items() for k, x in enumerate(own)]
+        if not rows:
+            return {g: _between(count, probs, lambda rank, g=g: found[g, rank]) for g, count in n.items()}
+        bins = max(LEAST_BINS, min(MOST_BINS, PASS_BINS // len(rows)))
+        asked = long.sparkSession.createDataFrame(rows, f"g {v.schema['g'].dataType.simpleString()}, k int, lo double, hi double")
+        asked = F.broadcast(asked) if len(rows) <= SMALL_ROWS else asked
+        met = v.join(asked, "g").where("v >= lo AND v <= hi")
+        share = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        place = F.when(F.col("v") == F.col("hi"), bins - 1).when(F.col("v") == F.col("lo"), 0).otherwise(F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int"))
+        counted = met.groupBy("g", "k", F.coalesce(place, F.lit(0)).alias("bin")).agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+        before: dict = {}
+        after: dict = {g: [] for g in open_}
+        for r in sorted(counted, key=lambda r: r["lo"]):
+            _, _, base, ranks = open_[r["g"]][r["k"]]
+            start = before.get((r["g"], r["k"]), base)
+            before[r["g"], r["k"]] = start + r["c"]
+            if inside := [x for x in ranks if start <= x < start + r["c"]]:
+                after[r["g"]].append((r["lo"], r["hi"], start, inside))
+        open_ = after
 
 
 def grouped_quantiles(long, group: str, value: str, probs) -> dict:
@@ -161,15 +222,13 @@ def grouped_quantiles(long, group: str, value: str, probs) -> dict:
     Returns {group: [q(p) for p in probs]} for groups with at least one value."""
     from tabsmith.functions.ranking import ordered_cumsum
 
+    if quantile_mode(long.sparkSession) == "selection":
+        return selected_quantiles(long, group, value, probs)
     v = long.select(F.col(group).alias("__g"), F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
     n = {r["__g"]: r["n"] for r in v.groupBy("__g").agg(F.count(F.lit(1)).alias("n")).collect()}
     want = {}
     for g, cnt in n.items():
-        pos = set()
-        for p in probs:
-            x = p * (cnt - 1)
-            pos.update({int(x // 1), int(-(-x // 1))})
-        want[g] = sorted(pos)
+        want[g] = _ranks(cnt, probs)
     if not want:
         return {}
     vc = v.groupBy("__g", "__v").agg(F.count(F.lit(1)).alias("c"))
@@ -182,13 +241,7 @@ def grouped_quantiles(long, group: str, value: str, probs) -> dict:
         got[(r["__g"], r["p"])] = r["__v"]
     out = {}
     for g, cnt in n.items():
-        vals = []
-        for p in probs:
-            x = p * (cnt - 1)
-            lo, hi = int(x // 1), int(-(-x // 1))
-            a, b = got[(g, lo)], got[(g, hi)]
-            vals.append(a + (b - a) * (x - lo))
-        out[g] = vals
+        out[g] = _between(cnt, probs, lambda rank, g=g: got[g, rank])
     return out
 
 
@@ -208,7 +261,7 @@ def column_quantiles(df, cols, probs, exact: bool = True) -> dict:
     if not cols:
         return {}
     mode = quantile_mode(df.sparkSession) if exact else "approx"
-    if mode == "distributed":
+    if mode in ("selection", "distributed"):
         return distributed_quantiles(df, cols, probs)
     r = df.agg(*[quantile_expr(q(c).cast("double"), probs, mode != "approx").alias(c) for c in cols]).first()
     return {c: (list(r[c]) if r[c] is not None else [None] * len(probs)) for c in cols}

@@ -14,7 +14,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabsmith.functions.columns import q, quantile_expr, row_hash
+from tabsmith.functions.columns import q, row_hash
+from tabsmith.functions.stats import column_quantiles
 from tabsmith.functions.ranking import hash_rank
 from tabsmith.operators import metrics as M
 from tabsmith.operators.models import build_estimator
@@ -55,7 +56,7 @@ def scaler_baseline(train: DataFrame, test: DataFrame, features: Sequence[str],
     the test rows; the best scaler by RMSE. ``max_rows`` optionally caps the training rows (the
     reference's 8,000) by digest order; the default uses all of them."""
     spark = train.sparkSession
-    med = train.agg(*[quantile_expr(q(c).cast("double"), (0.5,))[0].alias(c) for c in features]).first()
+    med = {c: v[0] for c, v in column_quantiles(train, features, (0.5,)).items()}
     fill = {c: F.coalesce(q(c).cast("double"), F.lit(med[c])) for c in features}
     tr = train.drop("features").withColumns(fill)
     te = test.drop("features").withColumns(fill)

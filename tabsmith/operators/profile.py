@@ -26,6 +26,7 @@ from tabsmith.functions.columns import (
     default_key,
 )
 from tabsmith.functions.stats import (
+    column_quantiles,
     grouped_quantiles,
     moments,
     quantile_frame,
@@ -53,10 +54,9 @@ def _wide_to_long(df: DataFrame, structs: list[Column]) -> DataFrame:
 
 
 def _stats_long(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75), exact: bool = True) -> DataFrame:
-    """Per-column moments and quantiles. In the session's ``distributed`` quantile mode the
-    quantiles come from ``distributed_quantiles`` (no column value set in one task) and are
-    joined on as a one-row-per-column table."""
-    if exact and quantile_mode(df.sparkSession) == "distributed":
+    """Per-column moments and quantiles. In the session's ``selection`` (default) and ``distributed`` quantile
+    modes no task holds a column's values; the quantiles are joined on as a one-row-per-column table."""
+    if exact and quantile_mode(df.sparkSession) in ("selection", "distributed"):
         long = _wide_to_long(df, [_stats_struct(c, probs, exact, with_q=False) for c in cols])
         return long.join(F.broadcast(quantile_frame(df, cols, probs)), "column")
     return _wide_to_long(df, [_stats_struct(c, probs, exact) for c in cols])
@@ -169,7 +169,7 @@ def missing_values(df: DataFrame) -> DataFrame:
 
 def iqr_bounds(df: DataFrame, cols: Sequence[str], exact: bool = True, k: float = 1.5) -> DataFrame:
     """One row per column: q1, q3, lower = q1 - k*IQR, upper = q3 + k*IQR (unrounded)."""
-    if exact and quantile_mode(df.sparkSession) == "distributed":
+    if exact and quantile_mode(df.sparkSession) in ("selection", "distributed"):
         b = quantile_frame(df, cols, (0.25, 0.75))
     else:
         structs = [F.struct(F.lit(c).alias("column"), quantile_expr(q(c).cast("double"), (0.25, 0.75), exact).alias("qs"))
@@ -296,8 +296,7 @@ def target_numeric(df: DataFrame, target: str, exact: bool = True) -> DataFrame:
         sample_skewness(y).alias("skewness"),
         sample_kurtosis(y).alias("kurtosis"),
         F.avg(y).alias("mean"), F.stddev_samp(y).alias("std"), F.min(y).alias("min"), F.max(y).alias("max"),
-        quantile_expr(y, (0.5,), exact)[0].alias("median"),
-    )
+    ).withColumn("median", F.lit(column_quantiles(df.select(y.alias("y")), ["y"], (0.5,), exact)["y"][0]).cast("double"))
     return s.select(
         F.lit(target).alias("target_col"), "n",
         *[F.round(c, 4).alias(c) for c in ("skewness", "kurtosis", "mean", "std", "min", "max", "median")],
@@ -428,7 +427,7 @@ def feature_target_classes(df: DataFrame, target: str, columns: Sequence[str] |
         first = base.select("class").distinct().orderBy("class").limit(max_classes)
         base = base.join(first, "class", "left_semi")
     long = long_numeric(base, cols, id_cols=["class"]).where(F.col("value").isNotNull())
-    if exact and quantile_mode(df.sparkSession) == "distributed":
+    if exact and quantile_mode(df.sparkSession) in ("selection", "distributed"):
         # one class may hold most rows: exact quantiles without a per-group value set in one task
         key = F.concat_ws("\u0001", F.col("column"), F.col("class"))
         qs = grouped_quantiles(long.withColumn("__k", key), "__k", "value", (0.25, 0.5, 0.75))
