@@ -254,9 +254,23 @@ def distinct_counts(df: DataFrame, num_cols: Sequence[str], cat_cols: Sequence[s
     return u.groupBy("column").agg(F.count(F.lit(1)).cast("long").alias("n_distinct"))
 
 
-def health_columns(df: DataFrame) -> DataFrame:
+def dtype_summary(df: DataFrame) -> DataFrame:
+    """E08e: per data type its kind (numeric, categorical or other), number of columns, their names in order
+    and the number of their non-null values; one aggregate."""
+    num, cat = numeric_columns(df), categorical_columns(df)
+    by: dict[str, list[str]] = {}
+    for f in df.schema.fields:
+        kind = "numeric" if f.name in num else "categorical" if f.name in cat else "other"
+        by.setdefault((f.dataType.simpleString(), kind), []).append(f.name)
+    structs = [F.struct(F.lit(t).alias("dtype"), F.lit(kind).alias("kind"), F.lit(len(own)).cast("long").alias("n_columns"), F.lit(",".join(own)).alias("columns"),
+                        sum((F.count(q(c)) for c in own[1:]), F.count(q(own[0]))).cast("long").alias("n_values")) for (t, kind), own in by.items()]
+    return _wide_to_long(df, structs)
+
+
+def health_columns(df: DataFrame, digits: int | None = 6) -> DataFrame:
     """E08b–E08d: per column kind, distinct count, constant / near-constant / high-cardinality
-    flags, completeness % (1 dp) and variance (ddof 1, 6 dp; 0 below two values)."""
+    flags, completeness % (1 dp) and variance (ddof 1, ``digits`` decimals, None for all; 0 below two
+    values)."""
     num = numeric_columns(df)
     cat = [c for c in df.columns if c not in num and c in categorical_columns(df)]
     structs = [F.struct(F.lit(c).alias("column"), F.count(q(c)).alias("nn"),
@@ -276,7 +290,7 @@ def health_columns(df: DataFrame) -> DataFrame:
         (is_num & (F.col("n_distinct") > 1) & (F.col("n_distinct") <= near_cap)).alias("is_near_constant"),
         ((~is_num) & (rows > 0) & (F.col("n_distinct") / rows > 0.5)).alias("is_high_card"),
         F.when(rows > 0, F.round((1 - (rows - F.col("nn")) / rows) * 100, 1)).otherwise(F.lit(100.0)).alias("completeness"),
-        F.when(is_num, F.when(F.col("nn") > 1, F.round("var", 6)).otherwise(F.lit(0.0))).alias("variance"),
+        F.when(is_num, F.when(F.col("nn") > 1, F.col("var") if digits is None else F.round("var", digits)).otherwise(F.lit(0.0))).alias("variance"),
     )
 
 
@@ -303,6 +317,11 @@ def target_numeric(df: DataFrame, target: str, exact: bool = True) -> DataFrame:
         _skew_hint(F.col("skewness")).alias("transform_hint"))
 
 
+def target_histogram(df: DataFrame, target: str, bins: int = 20) -> DataFrame:
+    """The histogram of a numeric target, as E02's."""
+    return histogram(df.select(q(target)), bins)
+
+
 def target_classes(df: DataFrame, target: str) -> DataFrame:
     """Class counts and shares, number of classes, imbalance = max/min count, flag > 3."""
     vc = value_counts(df, [target]).select(F.col("value").alias("class"), "count")
@@ -416,6 +435,17 @@ def feature_target_numeric(df: DataFrame, target: str, columns: Sequence[str] |
     )
 
 
+def feature_target_points(df: DataFrame, target: str, columns: Sequence[str] | None = None, n: int = 400, seed: int = 42,
+                          key: Sequence[str] | None = None) -> DataFrame:
+    """Per feature up to ``n`` points (column, x, y) with feature and target non-null, those with the smallest
+    row digests. The limit is applied before the shuffle too (a partial top-n of each task)."""
+    cols = [c for c in (list(columns) if columns else numeric_columns(df)) if c != target]
+    keyed = df.withColumn("__h", row_hash(key if key else default_key(df), seed)).withColumn("__y", q(target).cast("double"))
+    long = long_numeric(keyed.where(F.col("__y").isNotNull()), cols, id_cols=["__h", "__y"]).where(F.col("value").isNotNull())
+    ranked = long.withColumn("__r", F.row_number().over(Window.partitionBy("column").orderBy("__h"))).where(F.col("__r") <= n)
+    return ranked.select("column", F.round("value", 4).alias("x"), F.round("__y", 4).alias("y"))
+
+
 def feature_target_classes(df: DataFrame, target: str, columns: Sequence[str] | None = None, max_classes: int | None = None,
                            exact: bool = True) -> DataFrame:
     """Per numeric feature and class q1, median, mean, q3, min and max over rows where the

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tabsmith.operators import profile as P
 from tabsmith.plans.fixtures import (
     LINEITEM_KEY,
@@ -17,7 +19,6 @@ from tabsmith.plans.sqlgen import D, R, corr_sql, hist_sql, kurt_sql, long_sql,
 ON_NUM = ["o_orderkey", "o_custkey", "o_totalprice"]
 ON_ALL = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 LI_CAT = ["l_returnflag", "l_linestatus", "l_shipdate"]
-HEALTH_COLS = ["l_returnflag", "l_linestatus", "l_quantity", "l_discount"]
 PAIR_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
@@ -37,8 +38,13 @@ QUERIES = {
                                                  500, 42, LINEITEM_KEY),
     "e07_categorical_stats": lambda s, sf: P.categorical_stats(table(s, sf, "customer")),
     "e07_categorical_stats_nulls": lambda s, sf: P.categorical_stats(orders_nulls(s, sf)),
-    "e08a_health_summary": lambda s, sf: P.health_summary(_li(s, sf).select(*HEALTH_COLS)),
-    "e08_health_columns": lambda s, sf: P.health_columns(lineitem_nulls(s, sf)),
+    "e08a_health_summary": lambda s, sf: P.health_summary(_li(s, sf)),
+    # nine significant digits: variances of keys and of shares don't fit one number of decimals
+    "e08_health_columns": lambda s, sf: P.health_columns(lineitem_nulls(s, sf), None).withColumn(
+        "variance", F.when(F.col("variance").isNotNull(), F.format_string("%.8e", "variance"))),
+    "e08e_dtype_summary": lambda s, sf: P.dtype_summary(lineitem_nulls(s, sf)),
+    "e09a_target_histogram": lambda s, sf: P.target_histogram(_li(s, sf), "l_extendedprice"),
+    "e13a_feature_target_points": lambda s, sf: P.feature_target_points(_li(s, sf), "l_extendedprice", key=LINEITEM_KEY),
     "e09a_target_numeric": lambda s, sf: P.target_numeric(_li(s, sf), "l_extendedprice"),
     "e09b_target_classes": lambda s, sf: P.target_classes(_li(s, sf), "l_returnflag"),
     "e10_skew_report": lambda s, sf: P.skew_report(_li(s, sf)),
@@ -87,8 +93,8 @@ SELECT rk."column", CAST(nu.n_unique AS BIGINT) AS n_unique, rk.value, CAST(rk.c
 FROM rk JOIN nu ON rk."column" = nu."column" WHERE rk.rank <= 10"""
 
 
-LN_NUM = ["l_linenumber", "l_quantity", "l_discount"]
-LN_ALL = ["l_linenumber", "l_quantity", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate"]
+LN_NUM = LINEITEM_NUM
+LN_ALL = [*LINEITEM_NUM, *LI_CAT]
 
 
 def _health_cols_sql() -> str:
@@ -97,7 +103,7 @@ def _health_cols_sql() -> str:
     for c in num + cat:
         isnum = c in num
         nd = f"count(DISTINCT {D(c)})" if isnum else f'count(DISTINCT CAST("{c}" AS VARCHAR))'
-        var = f"CASE WHEN count(\"{c}\") > 1 THEN {R(f'var_samp({D(c)})', 6)} ELSE 0.0 END" if isnum else "CAST(NULL AS DOUBLE)"
+        var = f"printf('%.8e', CASE WHEN count(\"{c}\") > 1 THEN var_samp({D(c)}) ELSE 0.0 END)" if isnum else "CAST(NULL AS VARCHAR)"
         parts.append(f"""SELECT '{c}' AS "column", '{'numeric' if isnum else 'categorical'}' AS kind,
   CAST({nd} AS BIGINT) AS n_distinct,
   {'TRUE' if isnum else 'FALSE'} AND {nd} <= 1 AS is_constant,
@@ -202,6 +208,21 @@ SELECT "column", r, CAST(row_number() OVER (ORDER BY abs(coalesce(r, 0.0)) DESC,
 FROM c ORDER BY abs(coalesce(r, 0.0)) DESC, "column" ASC LIMIT 5"""
 
 
+def _dtype_sql() -> str:
+    each = union_all([f"""SELECT '{c}' AS name, count("{c}") AS n FROM lineitem_nulls""" for c in LN_ALL])
+    return f"""WITH {LINEITEM_NULLS_SQL}, v AS ({each}),
+t AS (SELECT column_name AS name, row_number() OVER () AS place,
+  CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' ELSE 'timestamp_ntz' END AS dtype
+  FROM (DESCRIBE lineitem))
+SELECT dtype, CASE WHEN dtype IN ('bigint', 'int', 'double') THEN 'numeric' ELSE 'categorical' END AS kind, CAST(count(*) AS BIGINT) AS n_columns,
+  string_agg(name, ',' ORDER BY place) AS columns, CAST(sum(n) AS BIGINT) AS n_values FROM t JOIN v USING (name) GROUP BY dtype"""
+
+
+def _ft_points_sql() -> str:
+    return union_all([f"""(SELECT '{c}' AS "column", {R(D(c))} AS x, {R(D('l_extendedprice'))} AS y FROM lineitem
+  ORDER BY {md5_key(LINEITEM_KEY, 42)} LIMIT 400)""" for c in LINEITEM_NUM if c != "l_extendedprice"])
+
+
 def _target_num_sql() -> str:
     y = D("l_extendedprice")
     sk = skew_sql(y)
@@ -256,10 +277,13 @@ ORDER BY {md5_key(LINEITEM_KEY)} LIMIT 500""",
     "e07_categorical_stats": _catstats_sql("customer", ["c_name", "c_mktsegment"]),
     "e07_categorical_stats_nulls": _catstats_sql("orders_nulls", ["o_orderstatus", "o_orderdate", "o_orderpriority"],
                                                  "WITH " + ORDERS_NULLS_SQL),
-    "e08a_health_summary": f"""SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST({len(HEALTH_COLS)} AS BIGINT) AS n_cols,
-  CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT {', '.join(HEALTH_COLS)} FROM lineitem)) AS BIGINT) AS n_duplicates
+    "e08a_health_summary": f"""SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST((SELECT count(*) FROM (DESCRIBE lineitem)) AS BIGINT) AS n_cols,
+  CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS BIGINT) AS n_duplicates
 FROM lineitem""",
     "e08_health_columns": _health_cols_sql(),
+    "e08e_dtype_summary": _dtype_sql(),
+    "e09a_target_histogram": hist_sql(long_sql("lineitem", ["l_extendedprice"]), 20),
+    "e13a_feature_target_points": _ft_points_sql(),
     "e09a_target_numeric": _target_num_sql(),
     "e09b_target_classes": _target_cls_sql(),
     "e10_skew_report": _skew_sql("lineitem", LINEITEM_NUM),
