@@ -50,6 +50,78 @@ def hash_rank(df: DataFrame, digest: str, groups: Sequence[str] = (), out: str =
     return joined.withColumn(out, (F.row_number().over(wr) + F.col("__off")).cast("long")).drop(b, "__off")
 
 
+#: Counts of digest prefixes that a pass of the selection gathers at most, and boundaries that are broadcast.
+PASS_PREFIXES, SMALL_ROWS = 200_000, 100_000
+DIGEST_LENGTH = 32
+
+
+def digest_boundaries(df: DataFrame, digest: str, wanted: dict, group: str | None = None) -> dict:
+    """{group: (prefix, ties)}: where the first ``wanted[group]`` rows of each group in ``digest`` order (md5, hex) end.
+    They are the rows whose leading digits are smaller than ``prefix``, and of those that have it the
+    ``ties`` first, or all for None. The key is None without groups; groups not wanted are left out.
+
+    A selection: each pass counts leading digits of the rows that still share the boundary's, map-side combined,
+    and goes on in the one bucket in which the boundary lies, until it ends with a bucket. Rows are not moved
+    or sorted. Only repeated digests are ever a tie."""
+    key = F.col(group) if group else F.lit(None).cast("string")
+    now = df.select(key.alias("g"), F.col(digest).alias("d"))
+    found = {g: ("", 0) for g, n in wanted.items() if n <= 0}
+    open_ = {g: ("", 0) for g, n in wanted.items() if n > 0}  # digits known, rows before them
+    while open_:
+        digits = max(d for d in (1, 2, 3, 4) if d == 1 or len(open_) * 16 ** d <= PASS_PREFIXES)
+        known = len(next(iter(open_.values()))[0])
+        if known:
+            rows = [(g, prefix) for g, (prefix, _) in open_.items()]
+            edge = df.sparkSession.createDataFrame(rows, f"g2 {now.schema['g'].dataType.simpleString()}, prefix string")
+            edge = F.broadcast(edge) if len(rows) <= SMALL_ROWS else edge
+            met = now.join(edge, F.col("g").eqNullSafe(F.col("g2")) & (F.substring("d", 1, known) == F.col("prefix")), "left_semi")
+        else:
+            met = now
+        size = min(DIGEST_LENGTH, known + digits)
+        counts = met.groupBy("g", F.substring("d", 1, size).alias("prefix")).agg(F.count("*").alias("n")).collect()
+        before, after = {g: base for g, (_, base) in open_.items()}, {}
+        for r in sorted(counts, key=lambda r: r["prefix"]):
+            g = r["g"]
+            if g not in before:
+                continue
+            start = before[g]
+            before[g] = start + r["n"]
+            if start < wanted[g] <= before[g]:
+                if before[g] == wanted[g]:
+                    found[g] = (r["prefix"], None)
+                elif size == DIGEST_LENGTH:
+                    found[g] = (r["prefix"], wanted[g] - start)
+                else:
+                    after[g] = (r["prefix"], start)
+        for g in set(open_) - set(found) - set(after):
+            found[g] = ("g" * DIGEST_LENGTH, None)  # fewer rows than wanted: all of them
+        open_ = after
+    return found
+
+
+def first_by_digest(df: DataFrame, digest: str, wanted: dict, group: str | None = None, out: str = "first") -> DataFrame:
+    """Add ``out``: whether a row is among the first ``wanted[group]`` of its group in ``digest`` order. A comparison
+    with the boundary of :func:`digest_boundaries`; only rows that tie with it are numbered."""
+    ends = digest_boundaries(df, digest, wanted, group)
+    if group:
+        rows = [(g, prefix, len(prefix), n) for g, (prefix, n) in ends.items()]
+        edge = df.sparkSession.createDataFrame(rows, f"__g {df.schema[group].dataType.simpleString()}, __prefix string, __size int, __ties long")
+        df = df.join(F.broadcast(edge) if len(rows) <= SMALL_ROWS else edge, F.col(group).eqNullSafe(F.col("__g")), "left")
+    else:
+        prefix, n = ends[None]
+        df = df.withColumns({"__prefix": F.lit(prefix), "__size": F.lit(len(prefix)), "__ties": F.lit(n).cast("long")})
+    lead = F.expr(f"substring(`{digest}`, 1, __size)")
+    inside = (lead < F.col("__prefix")) | ((lead == F.col("__prefix")) & F.col("__ties").isNull())
+    names = [c for c in df.columns if c not in ("__g", "__prefix", "__size", "__ties")]
+    if all(n is None or n == 0 for _, n in ends.values()):
+        return df.withColumn(out, F.coalesce(inside, F.lit(False))).select(*[f"`{c}`" for c in names], out)
+    tied = (lead == F.col("__prefix")) & (F.col("__ties") > 0)
+    rank = F.row_number().over(Window.partitionBy(*([group] if group else []), "__prefix").orderBy(F.col(digest)))
+    rest = df.where(~F.coalesce(tied, F.lit(False))).withColumn(out, F.coalesce(inside, F.lit(False)))
+    numbered = df.where(tied).withColumn(out, rank <= F.col("__ties"))
+    return rest.unionByName(numbered).select(*[f"`{c}`" for c in names], out)
+
+
 def hash_positions(nodes: DataFrame, digest: str, weight: str, groups: Sequence[str], out: str = "start") -> DataFrame:
     """Add ``out`` = the sum of ``weight`` over the group's rows with a smaller digest. Digests are unique in
     their group. Sums of leading-digit buckets (at most 16^4 a group) are accumulated first, rows only

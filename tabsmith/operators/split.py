@@ -1,7 +1,7 @@
 """Hold-out labels and fold assignment.
 
 Row order is the md5 digest of the row key and a seed, so assignments are reproducible at
-any partitioning and after any task retry. Ranks are computed with ``hash_rank`` (two phases,
+any partitioning and after any task retry. Hold-out labels come from digest thresholds, fold ranks from ``hash_rank`` (two phases,
 no global window). Per-class allocations are tiny tables computed on the driver from class
 counts (stratification needs fewer than 20 classes) and broadcast.
 """
@@ -11,14 +11,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabsmith import SPLIT_COL
 from tabsmith.functions.columns import NUMERIC_TYPES, default_key, q, row_hash
-from tabsmith.functions.ranking import hash_rank, ordered_rank
+from tabsmith.functions.ranking import first_by_digest, hash_rank, ordered_rank
 
 
 def _is_float(df: DataFrame, c: str) -> bool:
@@ -74,7 +73,7 @@ def holdout_split(df: DataFrame, target: str, test_size: float = 0.2, seed: int
     ``classes_below`` (None: any number, as for training on a class target); unshuffled = the last n_test
     rows in ``order_by`` order are test."""
     if not target or target not in df.columns:
-        raise ValueError("Hold-out split requires target_column to exist in the dataframe.")
+        raise ValueError(f"a hold-out needs its target; there is no column {target!r}")
     test_size = min(0.95, max(0.05, float(test_size)))
     base = df.drop(SPLIT_COL) if SPLIT_COL in df.columns else df
     y = q(target)
@@ -83,7 +82,7 @@ def holdout_split(df: DataFrame, target: str, test_size: float = 0.2, seed: int
     prof = base.agg(F.count(y).alias("n"), frac.alias("frac")).first()
     n = prof["n"]
     if n < 2:
-        raise ValueError("Need at least 2 rows with a non-null target to assign train/test split.")
+        raise ValueError(f"a hold-out needs two rows with a target, {target!r} has {n}")
     n_test = math.ceil(n * test_size)
     n_train = n - n_test
     counts = None
@@ -95,32 +94,24 @@ def holdout_split(df: DataFrame, target: str, test_size: float = 0.2, seed: int
             counts = {r["c"]: r["count"] for r in vc}
     strat = counts is not None
     if strat and not shuffle:
-        raise ValueError("Stratified train/test split is not implemented for shuffle=False")
+        raise ValueError("rows in order can't be stratified: set stratify=False or shuffle=True")
     cols = base.columns
     keyed = base.withColumn("__h", row_hash(key if key else default_key(base), seed))
     usable = keyed.where(y.isNotNull())
     rest = keyed.where(y.isNull()).withColumn(SPLIT_COL, F.lit(None).cast("string"))
-    if not shuffle:
-        if order_by:
-            ranked = ordered_rank(usable, order_by, "__rn")
-        else:
-            ranked = hash_rank(usable, "__h", out="__rn", n_rows=n)
+    if not shuffle and order_by:
+        ranked = ordered_rank(usable, order_by, "__rn")
         labeled = ranked.withColumn(SPLIT_COL, F.when(F.col("__rn") > n_train, "test").otherwise("train"))
-    elif strat:
-        cls = y.cast("string")
-        train_alloc = largest_remainder(counts, n_train)
-        alloc = df.sparkSession.createDataFrame([(k, counts[k] - train_alloc[k]) for k in counts],
-                                                "__cls string, __nt long")
-        ranked = hash_rank(usable.withColumn("__cls", cls), "__h", groups=["__cls"], out="__rn", n_rows=n)
-        labeled = (ranked.join(F.broadcast(alloc), on="__cls")
-                   .withColumn(SPLIT_COL, F.when(F.col("__rn") <= F.col("__nt"), "test").otherwise("train")))
+    elif not shuffle:
+        labeled = first_by_digest(usable, "__h", {None: n_train}, out="__first").withColumn(SPLIT_COL, F.when(F.col("__first"), "train").otherwise("test"))
     else:
-        ranked = hash_rank(usable, "__h", out="__rn", n_rows=n)
-        labeled = ranked.withColumn(SPLIT_COL, F.when(F.col("__rn") <= n_test, "test").otherwise("train"))
-    out = labeled.select(*[q(c) for c in cols], SPLIT_COL).unionByName(rest.select(*[q(c) for c in cols], SPLIT_COL))
-    # a labelled frame is read by several fits and counts: keep it rather than re-rank per action
-    # (MEMORY_AND_DISK; blocks lost with an executor are recomputed from the deterministic lineage)
-    return out.persist(StorageLevel.MEMORY_AND_DISK)
+        if strat:
+            train_alloc = largest_remainder(counts, n_train)
+            drawn = first_by_digest(usable.withColumn("__cls", y.cast("string")), "__h", {c: counts[c] - train_alloc[c] for c in counts}, "__cls", "__first")
+        else:
+            drawn = first_by_digest(usable, "__h", {None: n_test}, out="__first")
+        labeled = drawn.withColumn(SPLIT_COL, F.when(F.col("__first"), "test").otherwise("train"))
+    return labeled.select(*[q(c) for c in cols], SPLIT_COL).unionByName(rest.select(*[q(c) for c in cols], SPLIT_COL))
 
 
 def split_rows(df: DataFrame, label: str = SPLIT_COL) -> tuple[DataFrame, DataFrame]:
