@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,50 +97,38 @@ def recommendations_to_steps(recs: DataFrame, phase: str | None = None) -> list[
     return out
 
 
-def _sanitize(name: str) -> str:
-    return re.sub(r"[^a-zA-Z0-9_]+", "_", name)
+class Template(NamedTuple):
+    """Derived columns (left role, right role, operation, name) of a template. A name may hold ``{left}`` and
+    ``{right}``, the chosen columns. ``whole``: all roles must be chosen, else those steps are made whose are."""
+
+    steps: tuple[tuple[str, str, str, str], ...]
+    whole: bool = True
+
+
+#: The names of templates, roles and derived columns.
+TEMPLATES = {
+    "ratio": Template((("numerator", "denominator", "divide", "{left}_per_{right}"),)),
+    "product": Template((("a", "b", "multiply", "{left}_x_{right}"),)),
+    "sum_diff": Template((("a", "b", "add", "{left}_plus_{right}"), ("a", "b", "subtract", "{left}_minus_{right}"))),
+    "housing_rates": Template((("total_rooms", "households", "divide", "rooms_per_household"), ("bedrooms", "total_rooms", "divide", "bedrooms_per_room")), whole=False),
+    "lat_lon_interaction": Template((("lat", "lon", "multiply", "lat_times_lon"),)),
+}
 
 
 def derive_template(template: str, values: dict, columns: set | list | None = None) -> list[dict]:
-    """derive_numeric steps for a template (ratio, product, sum_diff, housing_rates,
-    lat_lon_interaction), validating that the chosen columns exist."""
-    v = {k: (x or "").strip() for k, x in values.items()}
-    cols = set(columns or [])
-
-    def need(*keys):
-        for k in keys:
-            if not v.get(k):
-                raise ValueError(f"Choose {k}.")
-            if cols and v[k] not in cols:
-                raise ValueError(f"Column not found: {v[k]}")
-
-    def d(a, b, op, out):
-        return {"type": "derive_numeric", "column_a": a, "column_b": b, "op": op, "output_column": out}
-
-    if template == "ratio":
-        need("numerator", "denominator")
-        return [d(v["numerator"], v["denominator"], "divide",
-                  v.get("output") or _sanitize(f"{v['numerator']}_per_{v['denominator']}"))]
-    if template == "product":
-        need("a", "b")
-        return [d(v["a"], v["b"], "multiply", v.get("output") or _sanitize(f"{v['a']}_x_{v['b']}"))]
-    if template == "sum_diff":
-        need("a", "b")
-        return [d(v["a"], v["b"], "add", _sanitize(f"{v['a']}_plus_{v['b']}")),
-                d(v["a"], v["b"], "subtract", _sanitize(f"{v['a']}_minus_{v['b']}"))]
-    if template == "housing_rates":
-        for k in ("total_rooms", "households", "bedrooms"):
-            if v.get(k) and cols and v[k] not in cols:
-                raise ValueError(f"Column not found: {v[k]}")
-        steps = []
-        if v.get("total_rooms") and v.get("households"):
-            steps.append(d(v["total_rooms"], v["households"], "divide", "rooms_per_household"))
-        if v.get("bedrooms") and v.get("total_rooms"):
-            steps.append(d(v["bedrooms"], v["total_rooms"], "divide", "bedrooms_per_room"))
-        if not steps:
-            raise ValueError("Provide total rooms + households and/or bedrooms + total rooms.")
-        return steps
-    if template == "lat_lon_interaction":
-        need("lat", "lon")
-        return [d(v["lat"], v["lon"], "multiply", "lat_times_lon")]
-    raise ValueError(f"unknown template {template}")
+    """The derive_numeric steps of a template for the ``values`` chosen for its roles; ``output`` names the
+    column of a template with a single step and a free name. Chosen columns must be among ``columns``, if given."""
+    if template not in TEMPLATES:
+        raise ValueError(f"no template is called {template!r}; there are {', '.join(TEMPLATES)}")
+    own = TEMPLATES[template]
+    chosen = {role: str(values.get(role) or "").strip() for step in own.steps for role in step[:2]}
+    missing = [role for role, c in chosen.items() if not c]
+    absent = [c for c in chosen.values() if c and columns and c not in columns]
+    steps = [s for s in own.steps if chosen[s[0]] and chosen[s[1]]]
+    if absent:
+        raise ValueError(f"{template}: no column {', '.join(absent)}")
+    if not steps or (own.whole and missing):
+        raise ValueError(f"{template} needs a column for {', '.join(missing)}")
+    given = str(values.get("output") or "").strip() if len(own.steps) == 1 and "{" in own.steps[0][3] else ""
+    return [{"type": "derive_numeric", "column_a": chosen[left], "column_b": chosen[right], "op": op,
+             "output_column": given or re.sub(r"\W+", "_", name.format(left=chosen[left], right=chosen[right]), flags=re.ASCII)} for left, right, op, name in steps]
