@@ -17,9 +17,12 @@ SPACE = " \t\n\x0b\x0c\r"
 def shared_root(spark: SparkSession) -> str:
     """The folder that all executors and the driver share, from ``spark.checkpoint.dir``.
 
-    Only where that setting is unset (tests on one machine) a scratch folder is made and set."""
+    Only where that setting is unset in a local session (tests) a scratch folder is made and set; on a
+    cluster it would be another folder on each machine, so there it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tabsmith-llm-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

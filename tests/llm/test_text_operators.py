@@ -236,6 +236,35 @@ def test_pack_is_best_fit_with_joint_sizes():
     assert packing.pack([4, 4, 4, 4], (4, 16), lambda n: n + 100) == [(16, [0, 1, 2, 3])]
 
 
+def _plain_best_fit(lengths, capacities, cost):
+    """For each ceiling, look at every open sequence for every piece; of equal rooms the one filled last."""
+    found = []
+    for ceiling in sorted(capacities):
+        bins = []  # [room, time, pieces]
+        for time, (i, n) in enumerate(enumerate(lengths)):
+            fits = [b for b in bins if b[0] >= n]
+            if fits:
+                b = min(fits, key=lambda b: (b[0], -b[1]))
+            else:
+                allowed = [c for c in capacities if n <= c <= ceiling] or [min(c for c in capacities if c >= n)]
+                b = [min(allowed, key=lambda c: (cost(c) / c, -c)), time, []]
+                bins.append(b)
+            b[0], b[1] = b[0] - n, time
+            b[2].append(i)
+        sized = [(min((c for c in capacities if c >= sum(lengths[i] for i in b[2])), key=lambda c: (cost(c), c)), b[2]) for b in bins]
+        found.append((sum(cost(c) for c, _ in sized), sized))
+    return min(found, key=lambda f: f[0])[1]
+
+
+@pytest.mark.parametrize("cost", [lambda n: n, lambda n: n + 8 + n * n / 100, lambda n: n + 40, lambda n: n * n])
+def test_pack_against_plain_best_fit(cost):
+    rng = random.Random(8)
+    for n in (0, 1, 5, 40, 150):
+        for kind in (range(1, 65), (1, 2, 3), (16,), (15, 17, 33, 64)):  # many equal lengths too
+            lengths = sorted((rng.choice(kind) for _ in range(n)), reverse=True)
+            assert packing.pack(lengths, (16, 32, 64), cost) == _plain_best_fit(lengths, (16, 32, 64), cost)
+
+
 def test_packing_fills_the_documents_table(spark):
     out = queries.QUERIES["op1_best_fit_packing"](spark, SF_SMALL)
     r = out.agg(F.sum("n_tokens"), F.sum("capacity")).first()
