@@ -35,10 +35,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names a shared (HDFS / object store) folder and is used as is.
-    Only when it is unset (local tests) a fresh scratch folder is created and registered.
+    Only when it is unset in a local session (tests) a fresh scratch folder is created and registered;
+    on a cluster that folder would be another one on each machine, so it is an error there.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="tabsmith-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     spark.sparkContext.setCheckpointDir(configured)
