@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tabsmith import SPLIT_COL
 from tabsmith.operators.models import options
-from tabsmith.operators.training import SplitConfig, assemble, cross_validate, fit_and_score, prepare
+from tabsmith.operators.training import SplitConfig, assemble, cross_validate, deal_folds, fit_and_score, prepare
 
 # The search space per model (low, high, step / log / choices), without the options that Spark's
 # trees don't have (min_samples_split, ccp_alpha).
@@ -74,12 +74,19 @@ def tune(df: DataFrame, target: str, model: str, n_trials: int = 30, task: str |
     for t in range(n_trials):
         options(prep.task, model, draw(model, t, seed))  # an option that the model lacks is an error, not a failed trial
 
+    folds = None
+    if objective_on == "cv":
+        try:
+            folds = deal_folds(prep, train, cfg)
+        except Exception:  # noqa: BLE001 - a strategy that can't be dealt fails the trials, which then deal it themselves
+            folds = None
+
     def run(t):
         params = draw(model, t, seed)
         hyper = {model: params}
         try:
             if objective_on == "cv":
-                r = cross_validate(model, prep, train, hyper, cfg)
+                r = cross_validate(model, prep, train, hyper, cfg, folds)
                 value = r["cv_rmse"] if prep.task == "regression" else -r["cv_accuracy"]
             else:
                 r = fit_and_score(model, prep, data, hyper, cfg)
@@ -90,7 +97,9 @@ def tune(df: DataFrame, target: str, model: str, n_trials: int = 30, task: str |
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         rows = list(pool.map(run, range(n_trials)))
-    data.unpersist()
+    if folds:
+        folds.unpersist()
+    prep.frame.unpersist()
     return df.sparkSession.createDataFrame(rows, "number int, value double, state string, params map<string,string>")
 
 
@@ -119,7 +128,7 @@ def refit_best(df: DataFrame, target: str, model: str, trials: DataFrame, task:
         run_id = log_run(df.sparkSession, runs_dir, dataset, model, prep.task, cfg, {model: params}, res, fitted, prep,
                 tags={"source": "tuning", "best_trial": str(best["number"])})
         log_importances(df.sparkSession, runs_dir, run_id, importances or [])
-    data.unpersist()
+    prep.frame.unpersist()
     res["params"] = params
     res["best_trial"] = best["number"]
     return res

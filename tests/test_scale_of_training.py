@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabsmith.operators import split as S
+from tabsmith.operators.search import tune
 from tabsmith.operators.training import train_all
 
 
@@ -28,3 +29,12 @@ def test_models_share_the_folds(rows, dealt):
     assert len(dealt) == 1
     one = train_all(rows, "y", "regression", {}, ["ridge"], cfg).first()
     assert one["cv_rmse"] == both["ridge"]
+
+
+def test_trials_share_the_folds(rows, dealt):
+    found = tune(rows, "y", "ridge", 3, "regression", {"cv_folds": 3}).collect()
+    assert len(dealt) == 1 and [r["state"] for r in found] == ["COMPLETE"] * 3
+
+
+def test_a_strategy_that_cannot_be_dealt_fails_the_trials(rows):
+    assert {r["state"] for r in tune(rows, "y", "ridge", 2, "regression", {"val_strategy": "loo"}).collect()} == {"FAIL"}
