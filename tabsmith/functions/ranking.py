@@ -55,14 +55,15 @@ PASS_PREFIXES, SMALL_ROWS = 200_000, 100_000
 DIGEST_LENGTH = 32
 
 
-def digest_boundaries(df: DataFrame, digest: str, wanted: dict, group: str | None = None) -> dict:
+def digest_boundaries(df: DataFrame, digest: str, wanted: dict, group: str | None = None, slack: int = 0) -> dict:
     """{group: (prefix, ties)}: where the first ``wanted[group]`` rows of each group in ``digest`` order (md5, hex) end.
     They are the rows whose leading digits are smaller than ``prefix``, and of those that have it the
     ``ties`` first, or all for None. The key is None without groups; groups not wanted are left out.
 
     A selection: each pass counts leading digits of the rows that still share the boundary's, map-side combined,
     and goes on in the one bucket in which the boundary lies, until it ends with a bucket. Rows are not moved
-    or sorted. Only repeated digests are ever a tie."""
+    or sorted. Only repeated digests are ever a tie. With ``slack`` a group ends with the whole bucket that holds its
+    boundary as soon as that has at most so many rows: what is below is then a little more than wanted."""
     key = F.col(group) if group else F.lit(None).cast("string")
     now = df.select(key.alias("g"), F.col(digest).alias("d"))
     found = {g: ("", 0) for g, n in wanted.items() if n <= 0}
@@ -87,7 +88,7 @@ def digest_boundaries(df: DataFrame, digest: str, wanted: dict, group: str | Non
             start = before[g]
             before[g] = start + r["n"]
             if start < wanted[g] <= before[g]:
-                if before[g] == wanted[g]:
+                if before[g] == wanted[g] or r["n"] <= slack:
                     found[g] = (r["prefix"], None)
                 elif size == DIGEST_LENGTH:
                     found[g] = (r["prefix"], wanted[g] - start)
@@ -122,6 +123,19 @@ def first_by_digest(df: DataFrame, digest: str, wanted: dict, group: str | None
     return rest.unionByName(numbered).select(*[f"`{c}`" for c in names], out)
 
 
+def near_first(df: DataFrame, digest: str, wanted: dict, group: str, slack: int = 100_000) -> DataFrame:
+    """The rows of the wanted groups among which their first ``wanted[group]`` in ``digest`` order are, and at most
+    ``slack`` more of each (but for rows with one and the same digest): a comparison, so that a rank sorts few rows."""
+    ends = digest_boundaries(df, digest, wanted, group, slack)
+    if not ends:
+        return df.limit(0)
+    rows = [(g, prefix) for g, (prefix, _) in ends.items()]
+    edge = df.sparkSession.createDataFrame(rows, f"__g {df.schema[group].dataType.simpleString()}, __prefix string")
+    edge = F.broadcast(edge) if len(rows) <= SMALL_ROWS else edge
+    near = F.expr(f"substring(`{digest}`, 1, length(__prefix))") <= F.col("__prefix")
+    return df.join(edge, F.col(group).eqNullSafe(F.col("__g")) & near, "left_semi")
+
+
 def hash_positions(nodes: DataFrame, digest: str, weight: str, groups: Sequence[str], out: str = "start") -> DataFrame:
     """Add ``out`` = the sum of ``weight`` over the group's rows with a smaller digest. Digests are unique in
     their group. Sums of leading-digit buckets (at most 16^4 a group) are accumulated first, rows only

@@ -25,6 +25,7 @@ from tabsmith.functions.columns import (
     row_hash,
     default_key,
 )
+from tabsmith.functions.ranking import near_first
 from tabsmith.functions.stats import (
     column_quantiles,
     grouped_quantiles,
@@ -438,11 +439,12 @@ def feature_target_numeric(df: DataFrame, target: str, columns: Sequence[str] |
 def feature_target_points(df: DataFrame, target: str, columns: Sequence[str] | None = None, n: int = 400, seed: int = 42,
                           key: Sequence[str] | None = None) -> DataFrame:
     """Per feature up to ``n`` points (column, x, y) with feature and target non-null, those with the smallest
-    row digests. The limit is applied before the shuffle too (a partial top-n of each task)."""
+    row digests. The rows near each feature's boundary digest are told by a comparison; only they are sorted."""
     cols = [c for c in (list(columns) if columns else numeric_columns(df)) if c != target]
     keyed = df.withColumn("__h", row_hash(key if key else default_key(df), seed)).withColumn("__y", q(target).cast("double"))
     long = long_numeric(keyed.where(F.col("__y").isNotNull()), cols, id_cols=["__h", "__y"]).where(F.col("value").isNotNull())
-    ranked = long.withColumn("__r", F.row_number().over(Window.partitionBy("column").orderBy("__h"))).where(F.col("__r") <= n)
+    near = near_first(long, "__h", {c: n for c in cols}, "column")
+    ranked = near.withColumn("__r", F.row_number().over(Window.partitionBy("column").orderBy("__h"))).where(F.col("__r") <= n)
     return ranked.select("column", F.round("value", 4).alias("x"), F.round("__y", 4).alias("y"))
 
 
