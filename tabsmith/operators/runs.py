@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabsmith.functions.columns import q
+
 RUN_METRICS = ["rmse", "mae", "r2", "cv_rmse", "train_rmse", "train_mae", "train_r2", "accuracy", "f1_score",
                "roc_auc", "train_accuracy", "train_f1"]
 LOWER_BETTER = {"rmse", "mae", "cv_rmse", "train_rmse", "train_mae"}
@@ -161,12 +163,30 @@ def score(model, df: DataFrame, digits: int = 4) -> DataFrame:
 
 
 def score_all(models: dict, df: DataFrame, key: Sequence[str]) -> DataFrame:
-    """X11: score the same rows with every run; per row min, max and spread of the predictions."""
-    parts = []
-    for run_id, m in models.items():
-        parts.append(m.transform(df).select(*key, F.lit(run_id).alias("run_id"), F.col("prediction")))
+    """X11: score the same rows with every run; per row min, max and spread of the predictions. Rows pass once through
+    all models that score each row, each of which reads the raw columns; the others are scored apart."""
+    whole = {r: m for r, m in models.items() if _scores_each_row(m)}
+    parts = [m.transform(df).select(*key, F.col("prediction").alias("__lo"), F.col("prediction").alias("__hi")) for r, m in models.items() if r not in whole]
+    if whole:
+        rows = df.select(F.struct(*[q(c) for c in df.columns]).alias("__row"))
+        names = [f"__p{i}" for i in range(len(whole))]
+        for i, m in enumerate(whole.values()):
+            rows = m.transform(rows.select("__row.*", "__row", *names[:i])).select("__row", *names[:i], F.col("prediction").alias(names[i]))
+        own = [F.col(p) for p in names]
+        parts.append(rows.select(*[F.col("__row").getField(k).alias(k) for k in key], (F.least(*own) if len(own) > 1 else own[0]).alias("__lo"),
+                                 (F.greatest(*own) if len(own) > 1 else own[0]).alias("__hi")))
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    return u.groupBy(*key).agg(F.min("prediction").alias("min_pred"), F.max("prediction").alias("max_pred"),
-                               (F.max("prediction") - F.min("prediction")).alias("spread"))
+    return u.groupBy(*key).agg(F.min("__lo").alias("min_pred"), F.max("__hi").alias("max_pred"),
+                               (F.max("__hi") - F.min("__lo")).alias("spread"))
+
+
+def _scores_each_row(model) -> bool:
+    """Whether no stage of a model may leave rows out."""
+    from pyspark.ml.feature import SQLTransformer
+
+    for stage in getattr(model, "stages", [model]):
+        if isinstance(stage, SQLTransformer) or (stage.hasParam("handleInvalid") and stage.getOrDefault("handleInvalid") == "skip"):
+            return False
+    return True

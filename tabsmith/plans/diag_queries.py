@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
@@ -53,10 +54,15 @@ def _d18(s, sf):
                                   key=LINEITEM_KEY)
 
 
-def _one_feature(s, sf, feature):
+def _labelled(s, sf, *features):
+    """The features, target and hold-out labels of lineitem."""
+    li = holdout_split(table(s, sf, "lineitem"), "l_extendedprice", 0.2, 42, stratify=False, key=LINEITEM_KEY)
+    return li.select(*features, "l_extendedprice", SPLIT_COL)
+
+
+def _one_feature(s, li, feature):
     """A pipeline of scaler and least squares on one feature, fitted on the training rows, saved as a run and
     loaded again."""
-    li = holdout_split(table(s, sf, "lineitem"), "l_extendedprice", 0.2, 42, stratify=False, key=LINEITEM_KEY)
     runs = _scratch(s, "runs")
     train_all(li.select(feature, "l_extendedprice", SPLIT_COL), "l_extendedprice", "regression", models=["linear_regression"],
               split_config={"val_strategy": "none"}, runs_dir=runs, dataset="lineitem")
@@ -64,11 +70,13 @@ def _one_feature(s, sf, feature):
 
 
 def _x10_saved(s, sf):
-    return X.score(_one_feature(s, sf, "l_quantity"), table(s, sf, "lineitem")).select(*LINEITEM_KEY, F.round("prediction", 3).alias("prediction"))
+    return X.score(_one_feature(s, _labelled(s, sf, "l_quantity"), "l_quantity"), table(s, sf, "lineitem")).select(*LINEITEM_KEY, F.round("prediction", 3).alias("prediction"))
 
 
 def _x11_saved(s, sf):
-    models = {c: _one_feature(s, sf, c) for c in ("l_quantity", "l_tax")}
+    li = _labelled(s, sf, "l_quantity", "l_tax").persist(StorageLevel.MEMORY_AND_DISK)  # labelled once for both
+    models = {c: _one_feature(s, li, c) for c in ("l_quantity", "l_tax")}
+    li.unpersist()
     out = X.score_all(models, table(s, sf, "lineitem"), LINEITEM_KEY)
     return out.select(*LINEITEM_KEY, *(F.round(c, 3).alias(c) for c in ("min_pred", "max_pred", "spread")))
 
