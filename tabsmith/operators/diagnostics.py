@@ -90,33 +90,35 @@ def learning_curve(data: DataFrame, model: str, task: str, hyper: dict | None =
     classification). Sizes are fractions of the training fold."""
     spark = data.sparkSession
     k = key or [c for c in data.columns if c != "features"]
-    keyed = data.withColumn("__h", row_hash(k, seed)).withColumn("__h2", row_hash(k, seed + 1))
-    keyed = hash_rank(keyed, "__h", out="__rn").withColumn("__fold", ((F.col("__rn") - 1) % folds).cast("int"))
+    # only the columns that fits and scores read are dealt
+    keyed = data.select("features", "label", row_hash(k, seed).alias("__h"), row_hash(k, seed + 1).alias("__h2"))
+    keyed = hash_rank(keyed, "__h", out="__rn").withColumn("__fold", ((F.col("__rn") - 1) % folds).cast("int")).drop("__h", "__rn")
     # every fit and score below reads this frame: persist it once (recomputed from lineage if
     # an executor holding blocks is lost)
     keyed = keyed.persist(StorageLevel.MEMORY_AND_DISK)
-    parts = {f: keyed.where(F.col("__fold") != f) for f in range(folds)}
-    ranked = {f: hash_rank(parts[f].drop("__rn"), "__h2", out="__r2").persist(StorageLevel.MEMORY_AND_DISK)
+    parts = {f: keyed.where(F.col("__fold") != f).drop("__fold") for f in range(folds)}
+    ranked = {f: hash_rank(parts[f], "__h2", out="__r2").drop("__h2").persist(StorageLevel.MEMORY_AND_DISK)
               for f in range(folds)}
-    counts = {f: parts[f].count() for f in range(folds)}
+    sized = {r["__fold"]: r["count"] for r in keyed.groupBy("__fold").count().collect()}
+    counts = {f: sum(sized.values()) - sized.get(f, 0) for f in range(folds)}
+    sizes_of = {f: [min(counts[f], max(min_size, int(counts[f] * frac))) for frac in fractions] for f in range(folds)}
+    spreads = {f: ranked[f].agg(*[F.stddev_pop(F.when(F.col("__r2") <= size, F.col("label"))) for size in sizes_of[f]]).first()
+               for f in range(folds)}
     out = []
-    for frac in fractions:
+    for i, frac in enumerate(fractions):
         tr_scores, va_scores, sizes = [], [], []
         for f in range(folds):
-            n = counts[f]
-            size = min(n, max(min_size, int(n * frac)))
-            sub = ranked[f].where(F.col("__r2") <= size)
-            sd = sub.agg(F.stddev_pop("label")).first()[0] or 1.0
-            m = build_estimator(model, task, hyper, n=size, y_std=sd).fit(sub)
-            val = keyed.where(F.col("__fold") == f)
+            size = sizes_of[f][i]
+            sub = ranked[f].where(F.col("__r2") <= size).select("features", "label")
+            m = build_estimator(model, task, hyper, n=size, y_std=spreads[f][i] or 1.0).fit(sub)
+            val = keyed.where(F.col("__fold") == f).select("features", "label")
+            both = m.transform(sub.withColumn("__role", F.lit("train")).unionByName(val.withColumn("__role", F.lit("val"))))
             if task == "regression":
-                a = M.regression_metrics(m.transform(sub), "label", "prediction", by=None, digits=12).first()["rmse"]
-                b = M.regression_metrics(m.transform(val), "label", "prediction", by=None, digits=12).first()["rmse"]
+                got = {r["__role"]: r["rmse"] for r in M.regression_metrics(both, "label", "prediction", by="__role", digits=12).collect()}
             else:
-                a = M.classification_metrics(m.transform(sub), "label", "prediction", by=None, digits=12).first()["accuracy"]
-                b = M.classification_metrics(m.transform(val), "label", "prediction", by=None, digits=12).first()["accuracy"]
-            tr_scores.append(a)
-            va_scores.append(b)
+                got = {r["__role"]: r["accuracy"] for r in M.classification_metrics(both, "label", "prediction", by="__role", digits=12).collect()}
+            tr_scores.append(got["train"])
+            va_scores.append(got["val"])
             sizes.append(size)
         out.append((float(frac), int(round(np.mean(sizes))), round(float(np.mean(tr_scores)), 4),
                     round(float(np.mean(va_scores)), 4)))
@@ -131,29 +133,29 @@ def permutation_importance(fitted, data: DataFrame, features: Sequence[str], tas
                            top: int = 40, digits: int = 5) -> DataFrame:
     """Drop in score when one feature's values are permuted among the scored rows.
 
-    Rows are replicated once per (feature, repeat) with ``explode`` (a fixed factor of
-    features x repeats); inside each copy a row takes the feature value of the row whose
-    permuted rank equals its own rank (two two-phase ranks and one equi-join); ONE
-    ``transform`` scores every copy and ONE grouped aggregate gives the scores. Importance =
-    score(original) - score(permuted) with score = -RMSE or accuracy; mean and std (ddof 0)
-    over repeats, top ``top`` by mean."""
+    Rows are ranked once. A row gets, for each (feature, repeat), the feature value of the row whose permuted
+    rank equals its own rank: digest, copy and value alone are ranked for that and gathered by rank. Rows are
+    replicated per (feature, repeat) only where they are scored; ONE ``transform`` scores every copy and ONE
+    grouped aggregate gives the scores. Importance = score(original) - score(permuted) with score = -RMSE or
+    accuracy; mean and std (ddof 0) over repeats, top ``top`` by mean."""
     k = key or list(features) + ["label"]
     base = data.select(*[q(c).cast("double").alias(c) for c in features], q("label"), *[q(c) for c in k
                                                                                        if c not in features and c != "label"])
     if max_rows:
         base = base.withColumn("__h", row_hash(k, seed + 1)).orderBy("__h").limit(max_rows).drop("__h")
-    grid = F.array(*[F.struct(F.lit(i).alias("fi"), F.lit(r).alias("rep")) for i in range(len(features))
-                     for r in range(repeats)])
-    rep = base.withColumn("__g", F.explode(grid)).select("*", "__g.fi", "__g.rep").drop("__g")
-    rep = rep.withColumn("__ha", row_hash(k, seed)).withColumn(
-        "__hb", F.md5(F.concat_ws("~", F.col("__ha"), F.col("fi").cast("string"), F.col("rep").cast("string"))))
-    ra = hash_rank(rep, "__ha", groups=["fi", "rep"], out="__ra")
-    rb = hash_rank(rep.select("fi", "rep", "__hb", *[q(c) for c in features]), "__hb", groups=["fi", "rep"], out="__rb")
-    donor_val = F.coalesce(*[F.when(F.col("fi") == i, q(c)) for i, c in enumerate(features)])
-    donors = rb.select("fi", "rep", F.col("__rb").alias("__ra"), donor_val.alias("__pv"))
-    perm = ra.join(donors, ["fi", "rep", "__ra"])
-    perm = perm.withColumns({c: F.when(F.col("fi") == i, F.col("__pv")).otherwise(q(c)) for i, c in enumerate(features)})
-    va = VectorAssembler(inputCols=list(features), outputCol="features")
+    names = list(features)
+    copies = F.explode(F.sequence(F.lit(0), F.lit(len(names) * repeats - 1)))
+    fi, rep = F.floor(F.col("__copy") / repeats).cast("int"), (F.col("__copy") % repeats).cast("int")
+    base = base.withColumn("__ha", row_hash(k, seed)).select(*[q(c) for c in names], "label", "__ha")
+    base = hash_rank(base, "__ha", out="__ra").persist(StorageLevel.MEMORY_AND_DISK)
+    donors = base.select("__ha", F.array(*[q(c) for c in names]).alias("__x"), copies.alias("__copy")).select(
+        "__copy", F.md5(F.concat_ws("~", F.col("__ha"), fi.cast("string"), rep.cast("string"))).alias("__hb"), F.get("__x", fi).alias("__pv"))
+    taken = hash_rank(donors, "__hb", groups=["__copy"], out="__ra").groupBy("__ra").agg(
+        F.array(*[F.max(F.when(F.col("__copy") == c, F.col("__pv"))) for c in range(len(names) * repeats)]).alias("__pv"))
+    perm = base.drop("__ha").join(taken, "__ra").select(*[q(c) for c in names], "label", "__pv", copies.alias("__copy"))
+    perm = perm.select("label", fi.alias("fi"), rep.alias("rep"), *[q(c) for c in names], F.get("__pv", F.col("__copy")).alias("__pv"))
+    perm = perm.withColumns({c: F.when(F.col("fi") == i, F.col("__pv")).otherwise(q(c)) for i, c in enumerate(names)})
+    va = VectorAssembler(inputCols=names, outputCol="features")
     scored = fitted.transform(va.transform(perm)).select("fi", "rep", "label", "prediction")
     base_scored = fitted.transform(va.transform(base)).select("label", "prediction")
     if task == "regression":
@@ -164,8 +166,11 @@ def permutation_importance(fitted, data: DataFrame, features: Sequence[str], tas
         b = M.classification_metrics(base_scored, "label", "prediction", by=None, digits=12).first()["accuracy"]
         per = M.classification_metrics(scored, "label", "prediction", by=["fi", "rep"], digits=12)
         imp = per.select("fi", "rep", (F.lit(b) - F.col("accuracy")).alias("drop"))
-    names = F.array(*[F.lit(c) for c in features])
+    labels = F.array(*[F.lit(c) for c in names])
     agg = imp.groupBy("fi").agg(F.avg("drop").alias("mean"), F.stddev_pop("drop").alias("std"))
-    return (agg.select(F.element_at(names, F.col("fi") + 1).alias("feature"), F.round("mean", digits).alias("mean"),
-                       F.round("std", digits).alias("std"))
-               .orderBy(F.col("mean").desc(), F.col("feature")).limit(top))
+    out = (agg.select(F.element_at(labels, F.col("fi") + 1).alias("feature"), F.round("mean", digits).alias("mean"),
+                      F.round("std", digits).alias("std"))
+              .orderBy(F.col("mean").desc(), F.col("feature")).limit(top))
+    rows = out.collect()  # at most ``top``
+    base.unpersist()
+    return data.sparkSession.createDataFrame(rows, out.schema).coalesce(1)
