@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: ASCII white space, the set [\x20\x09-\x0D]
 SPACE = " \t\n\x0b\x0c\r"
+#: Bits of ``may_match`` for each key, and at most: 2^20 words of 64 bits, 24 MB, are broadcast.
+KEY_BITS, MOST_BITS = 64, 1 << 26
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -45,6 +47,19 @@ def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
 
+def may_match(rows: DataFrame, wanted: DataFrame, *names: str) -> DataFrame:
+    """The rows of ``rows`` whose columns ``names`` may be equal to those of a row of ``wanted``, which is stored: all that
+    are and few others, for an exact join that then shuffles only these.
+
+    Hashes of the wanted keys are broadcast as bits. Their number has a limit, beyond which more of the others
+    are let through, none of the wanted. Nulls count as equal."""
+    bits = min(MOST_BITS, 1 << max(6, (KEY_BITS * wanted.count() - 1).bit_length()))
+    place = F.xxhash64(*names).bitwiseAND(F.lit(bits - 1))
+    word, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
+    words = wanted.groupBy(word.alias("__word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("__bits"))
+    return rows.join(F.broadcast(words), (word == F.col("__word")) & (F.getbit("__bits", bit) == 1), "left_semi")
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z, all other characters as they are."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))

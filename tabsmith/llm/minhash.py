@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsmith.llm.common import SPACE, ascii_lower, connected_components, digest, is_empty, stored
+from tabsmith.llm.common import SPACE, ascii_lower, connected_components, digest, is_empty, may_match, stored
 
 RING = (1 << 62) - 1
 #: Rows that are broadcast.
@@ -75,7 +75,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whose nodes have all met in one component are done, as links inside a component can't change the result.
     What is left is dealt anew by rare differences from the hub (see :func:`_difference_members`) and compared
     with ``HUBS`` nodes of such a bucket at a time; the pairs of a bucket are never formed. Shingle sets are
-    made only for nodes that share a bucket."""
+    made only for nodes that share a bucket. Texts, sets and buckets that a join doesn't need are left out before
+    they are shuffled (see ``common.may_match``), so a turn moves what it compares and not all sets."""
     nodes = _classes(docs, id_col, text_col, k, percent, bands, rows)
     low = nodes.groupBy("root").agg(F.min("first_id").alias("__nd_component"))
     nodes = nodes.join(low, "root").select(F.col("text").alias("__nd_text"), F.col("n").alias("__nd_n"), "__nd_component")
@@ -125,13 +126,13 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
 def _components(docs: DataFrame, sig: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """(text, root) for the nodes that are linked with another."""
     spread = sig.select("text", "n", F.explode_outer("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = stored(spread.join(shared, "bucket"), "buckets")
-    sets = _sets(docs, sig, members, id_col, text_col, k)
+    shared = stored(spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+    members = stored(may_match(spread, shared, "bucket").join(shared, "bucket"), "buckets")
     near = stored(members.groupBy("text").agg(F.sum("size").alias("near")), "nodes")
+    sets = _sets(docs, sig, near, id_col, text_col, k)
     members = members.select("bucket", "text", "n", F.lit(0).alias("side"))
     root = near.select("text", F.col("text").alias("root"))
-    now = _mixed(members, root)
+    now = members.withColumn("root", F.col("text"))  # each is a component of its own: all buckets are mixed
     if is_empty(now):
         return root
     hubs = _hubs(now, near, 1)
@@ -173,7 +174,9 @@ def _star_turn(now: DataFrame, hubs: DataFrame, root: DataFrame, sets: DataFrame
     """The new roots once every node has been compared with the hubs of its buckets, and the members without
     those: all pairs that hold one are done, so the work grows with the members."""
     met = now.join(hubs, "bucket").where("root != root2 AND side + side2 = 0")
-    root = _merged(root, _confirmed(_near_in_size(met, percent), sets, percent))
+    pairs = stored(_near_in_size(met, percent), "pairs")
+    if not is_empty(pairs):
+        root = _merged(root, _confirmed(pairs, sets, percent))
     rest = now.join(hubs.select("bucket", F.col("text2").alias("text")), ["bucket", "text"], "left_anti")
     return root, rest.select("bucket", "text", "n", "side")
 
@@ -205,10 +208,13 @@ def _difference_members(nodes: DataFrame, sets: DataFrame, percent: int) -> Data
     the |Dy| - c + 1 rarest of the other have one in common. A bucket is a hub, such a shingle and the classes of
     the two sizes |D|; ``side`` tells the smaller (-1) from the larger (1), or is 0 where the classes are one.
     Shingles that only one node of a hub has in D are left out, but take their places among the
-    rarest: nodes that differ from the hub each in its own way have no bucket at all."""
-    own, other = sets.withColumnRenamed("s", "s1"), sets.select(F.col("text").alias("hub"), F.col("s").alias("s2"))
+    rarest: nodes that differ from the hub each in its own way have no bucket at all. Nor are buckets
+    returned that have only one node or one of two sides."""
+    nodes = stored(nodes, "apart")
+    own = may_match(sets, nodes, "text").withColumnRenamed("s", "s1")
+    other = may_match(sets, nodes.select(F.col("hub").alias("text")), "text").select(F.col("text").alias("hub"), F.col("s").alias("s2"))
     each = nodes.join(own, "text").join(other, "hub").select("hub", "text", "n", F.concat(F.array_except("s1", "s2"), F.array_except("s2", "s1")).alias("d"))
-    each = each.select("hub", "text", "n", F.size("d").alias("size"), F.explode_outer("d").alias("s"))
+    each = stored(each, "unshared").select("hub", "text", "n", F.size("d").alias("size"), F.explode_outer("d").alias("s"))
     often = each.groupBy("hub", "s").agg(F.count("*").alias("often")).where("often > 1")
     ranked = each.join(often, ["hub", "s"]).groupBy("hub", "text", "n", "size").agg(F.sort_array(F.collect_list(F.struct("often", "s"))).alias("shared"))
     widest = F.col("n") * (1 + 100 / percent) * ((100 - percent) / (100 + percent)) + 1e-6  # H for the largest partner
@@ -219,22 +225,27 @@ def _difference_members(nodes: DataFrame, sets: DataFrame, percent: int) -> Data
     common = F.greatest(F.lit(1), F.ceil((F.col("size") + least - F.col("widest")) / 2))
     prefix = ranked.withColumn("take", F.least(F.size("shared"), (F.col("size") - common + 1 - F.col("alone")).cast("int"))).where("take > 0")
     prefix = prefix.select("hub", "text", "n", "own", "other", F.explode(F.expr("slice(shared, 1, take)")).alias("s"))
-    return prefix.select(F.xxhash64("hub", "s", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "text", "n",
-                         F.signum(F.col("own") - F.col("other")).cast("int").alias("side")).distinct()
+    members = stored(prefix.select(F.xxhash64("hub", "s", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "text", "n",
+                                   F.signum(F.col("own") - F.col("other")).cast("int").alias("side")), "prefixes")
+    paired = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("side").alias("low"), F.max("side").alias("high"))
+    paired = stored(paired.where("size > 1 AND (low = 0 OR low != high)").select("bucket"), "paired")
+    return may_match(members, paired, "bucket").join(paired, "bucket", "left_semi")
 
 
 def _sets(docs: DataFrame, sig: DataFrame, members: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(text, s): the shingle set of each node that shares a bucket, from one row that has the text."""
-    need = members.select("text").distinct().join(sig.select("text", "first_id"), "text").withColumnsRenamed({"text": "need", "first_id": "need_id"})
+    """(text, s): the shingle set of each node that shares a bucket, from a row that has the text: of
+    copies only those with the smallest id are shuffled."""
+    need = stored(members.select("text").distinct().join(sig.select("text", F.col("first_id").alias("id")), "text"), "need")
     rows = docs.select(F.col(id_col).alias("id"), digest(F.col(text_col)).alias("text"), F.col(text_col).alias("body"))
-    rows = rows.join(need, (rows["text"] == need["need"]) & rows["id"].eqNullSafe(need["need_id"])).dropDuplicates(["text"])
+    rows = may_match(rows, need, "id", "text").groupBy("text").agg(F.any_value("body").alias("body")).join(need, "text", "left_semi")
     return stored(rows.select("text", word_list(F.col("body")).alias("w")).select("text", shingle_set("w", k).alias("s")), "sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    both = (pairs.join(sets.withColumnRenamed("s", "s1"), "text")
-            .join(sets.select(F.col("text").alias("text2"), F.col("s").alias("s2")), "text2")
+    """The (stored) pairs whose full sets are similar enough."""
+    first, second = may_match(sets, pairs, "text"), may_match(sets, pairs.select(F.col("text2").alias("text")), "text")
+    both = (pairs.join(first.withColumnRenamed("s", "s1"), "text")
+            .join(second.select(F.col("text").alias("text2"), F.col("s").alias("s2")), "text2")
             .withColumn("both", F.size(F.array_intersect("s1", "s2"))))
     return both.where(100 * F.col("both") >= percent * (F.size("s1") + F.size("s2") - F.col("both"))).select("root", "root2").distinct()
 
