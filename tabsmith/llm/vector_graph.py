@@ -13,10 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsmith.llm.common import connected_components, is_empty, stored
+from tabsmith.llm import common
+from tabsmith.llm.common import connected_components, is_empty
 
 #: Vectors of a shard; vectors that a shard's centres are fitted on; centres of a level at most; shards
 #: that a vector is in at each level.
@@ -31,30 +33,51 @@ SLACK = 0.04
 VISITS, STARTS = 4096, 8
 
 
+#: Spark's switch for removing a query's shuffle files when it has ended, else they stay until the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``common.stored``; what was shuffled for the table goes as soon as it's written."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        return common.stored(df, name)
+    finally:
+        conf.set(CLEANUP, before)
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
+def _units(table: pa.Table) -> np.ndarray:
+    """Unit vectors in double precision."""
+    return _matrix(table["v"]).astype(np.float64) / table["norm"].to_numpy()[:, None]
+
+
 def classes_of(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal vectors (nid, key, first, copies, v: unit vector) and (id, key) of all rows.
+    """Classes of equal vectors (nid, key, first, copies, v, norm) and (id, key) of all rows. Vectors of floats
+    stay floats wherever they are stored or shuffled; unit vectors are made in double precision when read.
     Vectors that are null, empty, zero or hold null or non-finite components have no class."""
+    kind = vectors.schema[vector_col].dataType.simpleString()
     v = F.col(vector_col).cast("array<double>")
-    rows = vectors.select(F.col(id_col).alias("id"), v.alias("v"))
+    rows = vectors.select(F.col(id_col).alias("id"), v.alias("v"), F.col(vector_col).cast(kind if kind == "array<float>" else "array<double>").alias("given"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     fine = F.size("v") > 0
     fine = fine & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.withColumn("norm", F.when(fine, norm)).withColumn("norm", F.when((F.col("norm") > 0) & (F.col("norm") < float("inf")), F.col("norm")))
     rows = rows.withColumn("key", F.when(F.col("norm").isNotNull(), F.unhex(F.md5(F.array_join(F.transform("v", lambda x: x.cast("string")), ",")))))
-    classes = (rows.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.min("v").alias("v"), F.min("norm").alias("norm"))
-               .select("key", "first", "copies", F.transform("v", lambda x: x / F.col("norm")).alias("v")))
+    classes = (rows.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.min("given").alias("v"), F.min("norm").alias("norm")))
     classes = stored(classes.withColumn("nid", F.monotonically_increasing_id()), "classes")
     return classes, rows.select("id", "key")
 
 
 def _centres(table: pa.Table) -> pa.Table:
     """Centres of one shard's sample by spherical k-means."""
-    x, k = _matrix(table["v"]), table["k"][0].as_py()
+    x, k = _units(table), table["k"][0].as_py()
     rng = np.random.default_rng(len(x))
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)]
     for _ in range(8):
@@ -71,18 +94,19 @@ def _dealt(vectors: pa.Table, centres: pa.Table) -> pa.Table:
     way down. Only a vector at rank 0 goes to several, so that a vector is in 1 + (OVERLAP - 1) * levels
     shards at most, however often a dense group must be split."""
     shard, c = centres["shard"][0].as_py(), np.array(centres["centres"][0].as_py())
-    x, rank = _matrix(vectors["v"]), vectors["rank"].to_numpy()
+    x, rank = _units(vectors), vectors["rank"].to_numpy()
     near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :OVERLAP]
     row, place = np.nonzero((rank == 0)[:, None] | (np.arange(near.shape[1]) == 0)[None, :])
     return pa.table({"shard": pa.array([f"{shard}.{j}" for j in near[row, place]], pa.string()), "nid": vectors["nid"].take(pa.array(row)),
-                     "v": vectors["v"].take(pa.array(row)), "rank": pa.array(np.maximum(rank[row], place).astype(np.int32))})
+                     "v": vectors["v"].take(pa.array(row)), "norm": vectors["norm"].take(pa.array(row)), "rank": pa.array(np.maximum(rank[row], place).astype(np.int32))})
 
 
 def overlapping_shards(classes: DataFrame, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
-    """(shard, nid, v, rank). Shards larger than ``shard`` are split level by level, up to
+    """(shard, nid, v, norm, rank). Shards larger than ``shard`` are split level by level, up to
     ``CENTRES`` ways each, by centres fitted on ``sample`` of their vectors with the smallest hashes.
     Vectors of different length never share a shard."""
-    now = classes.select(F.size("v").cast("string").alias("shard"), "nid", "v", F.lit(0).alias("rank"))
+    now = classes.select(F.size("v").cast("string").alias("shard"), "nid", "v", "norm", F.lit(0).alias("rank"))
+    given = now.schema["v"].dataType.simpleString()
     for _ in range(6):
         large = now.groupBy("shard").agg(F.count("*").alias("count"), F.count_if(F.col("rank") == 0).alias("home")).where(F.col("count") > shard)
         dealt = F.col("count") + F.col("home") * (OVERLAP - 1)
@@ -92,11 +116,11 @@ def overlapping_shards(classes: DataFrame, shard: int = SHARD, sample: int = SAM
             break
         order = Window.partitionBy("shard").orderBy(F.xxhash64("nid"), "nid")
         part = now.select("shard", "nid").withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).drop("r").join(large, "shard")
-        fitted = part.join(classes.select("nid", "v"), "nid").select("shard", "k", "v").groupBy("shard").applyInArrow(_centres, "shard string, centres array<array<double>>")
+        fitted = part.join(classes.select("nid", "v", "norm"), "nid").select("shard", "k", "v", "norm").groupBy("shard").applyInArrow(_centres, "shard string, centres array<array<double>>")
         fitted = stored(fitted, "centres").join(large, "shard").select("shard", "centres", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
         blocks = now.join(large, "shard").withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
-        split = blocks.groupBy("shard", "block").cogroup(fitted.groupBy("shard", "block")).applyInArrow(_dealt, "shard string, nid long, v array<double>, rank int")
-        now = stored(now.join(large, "shard", "left_anti").select("shard", "nid", "v", "rank").unionByName(split), "shards")
+        split = blocks.groupBy("shard", "block").cogroup(fitted.groupBy("shard", "block")).applyInArrow(_dealt, f"shard string, nid long, v {given}, norm double, rank int")
+        now = stored(now.join(large, "shard", "left_anti").select("shard", "nid", "v", "norm", "rank").unionByName(split), "shards")
     return now
 
 
@@ -134,7 +158,7 @@ def robust_prune(x: np.ndarray, degree: int = DEGREE, near: int = NEAR, alpha: f
 
 def _graph(table: pa.Table) -> pa.Table:
     """Adjacency lists of one shard by global number, with edges added the other way round."""
-    nid, x = table["nid"].to_numpy(), _matrix(table["v"])
+    nid, x = table["nid"].to_numpy(), _units(table)
     adjacent = robust_prune(x)
     lists = [set(r[r >= 0].tolist()) for r in adjacent]
     for i, r in enumerate(adjacent):
@@ -144,6 +168,51 @@ def _graph(table: pa.Table) -> pa.Table:
     return pa.table({"nid": pa.array(nid, pa.int64()), "next": pa.array([sorted(nid[list(s)].tolist()) for s in lists], pa.list_(pa.int64()))})
 
 
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(nid, code) of vectors: a scale and the length of what rounding takes off, as floats, and each component in
+    a byte, in units of the scale."""
+    for batch in batches:
+        sizes = pc.list_value_length(batch["v"])
+        for size in pc.unique(sizes):
+            part = pa.table(batch).filter(pc.equal(sizes, size)).combine_chunks()
+            x = _units(part)
+            scale = (np.abs(x).max(1) / 127).astype(np.float32)
+            small = np.clip(np.rint(x / scale[:, None]), -127, 127).astype(np.int8)
+            off = np.linalg.norm(x - small * scale[:, None].astype(np.float64), axis=1)
+            head = np.stack([scale, np.nextafter(off.astype(np.float32), np.float32(np.inf))], axis=1)
+            code = np.concatenate([head.view(np.uint8), small.view(np.uint8)], axis=1)
+            yield pa.RecordBatch.from_arrays([part["nid"].combine_chunks(), pa.array([r.tobytes() for r in code], pa.binary())], ["nid", "code"])
+
+
+def _near_home(home: pa.Table, border: pa.Table, least: float, block: int = 2048) -> pa.Table:
+    """Of a shard's border (shard, nid, code), those that may have a cosine of ``least`` with a vector at home."""
+    kept = np.zeros(border.num_rows, dtype=bool)
+    if home.num_rows and border.num_rows:
+        x = _units(home)
+        code = np.frombuffer(b"".join(border["code"].to_pylist()), dtype=np.uint8).reshape(border.num_rows, -1)
+        head = np.ascontiguousarray(code[:, :8]).view(np.float32).astype(np.float64)
+        for at in range(0, border.num_rows, block):
+            rows = slice(at, at + block)
+            y = np.ascontiguousarray(code[rows, 8:]).view(np.int8) * head[rows, :1]
+            for k in range(0, len(x), block):
+                kept[rows] |= (y @ x[k:k + block].T).max(1) + head[rows, 1] >= least - 1e-6
+    return border.select(["shard", "nid"]).filter(pa.array(kept))
+
+
+def bordering(pairs: DataFrame, shards: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Of ``pairs`` (shard, nid), those whose vector may be in range of one that visits the shard.
+
+    Who visits a shard is in range of a vector at home there (at first, of itself). So what both are in range of
+    has at most twice the angle of the range to that vector. The rest would be met by searches in vain, and nothing
+    is adjacent to it there. Codes of a byte a component are compared, with what rounding took off added: none that
+    is in range is left out, and only vectors that stay are sent in full."""
+    least = 2 * threshold ** 2 - 1 if threshold > 0 else -1.0
+    codes = classes.select("nid", "v", "norm").mapInArrow(_codes, "nid long, code binary")
+    home = shards.where("rank = 0").select("shard", "v", "norm")
+    return (home.groupBy("shard").cogroup(pairs.join(codes, "nid").select("shard", "nid", "code").groupBy("shard"))
+            .applyInArrow(lambda left, right: _near_home(left, right, least), "shard string, nid long"))
+
+
 def range_search(x: np.ndarray, adjacent: np.ndarray, q: np.ndarray, medoids: np.ndarray, starts: tuple[np.ndarray, np.ndarray], threshold: float,
                  effort: int = EFFORT, slack: float = SLACK, block: int = 256) -> Iterator[tuple[int, np.ndarray]]:
     """(first query of the block, its rows of cosines to all of ``x``, -inf where not met) of a greedy search for
@@ -224,7 +293,7 @@ def _search(nodes: pa.Table, visits: pa.Table, threshold: float) -> pa.Table:
         n = len(next(iter(columns.values())))
         parts.append(pa.table([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in kinds], schema=kinds))
 
-    nid, x, rank = nodes["nid"].to_numpy(), _matrix(nodes["v"]), nodes["rank"].to_numpy()
+    nid, x, rank = nodes["nid"].to_numpy(), _units(nodes), nodes["rank"].to_numpy()
     homes = nodes["home"].combine_chunks().dictionary_encode()
     names, home, copies = homes.dictionary, homes.indices.to_numpy(), nodes["copies"].to_numpy()
     number = {n: i for i, n in enumerate(names.to_pylist())}
@@ -240,7 +309,7 @@ def _search(nodes: pa.Table, visits: pa.Table, threshold: float) -> pa.Table:
     for _ in range(min(7, len(inside) - 1)):  # the medoid and, one after another, the members farthest from those before
         medoids.append(inside[far.argmin()])
         far = np.maximum(far, x[inside] @ x[medoids[-1]])
-    query, q = visits["nid"].to_numpy(), _matrix(visits["v"])
+    query, q = visits["nid"].to_numpy(), _units(visits)
     given = [(i, place[n]) for i, own in enumerate(visits["starts"].to_pylist()) for n in own if n in place]
     starts = (np.array([g[0] for g in given], dtype=np.int64), np.array([g[1] for g in given], dtype=np.int64))
     new = np.ones((len(query), len(names)), dtype=bool)
@@ -274,21 +343,24 @@ def vector_links(classes: DataFrame, shards: DataFrame, threshold: float = 0.95)
     A class is at home in one shard. It visits its home first, then every shard in which it has met
     vectors in range at home, until no visit finds a new one: a group that lies in many shards is
     followed through all of them. A visit counts the shard's own vectors only, so none counts twice,
-    and no list of pairs is made."""
+    and no list of pairs is made. A shard's nodes are its members and, of what these are adjacent to elsewhere, the
+    vectors that may be in range of a visit (``bordering``)."""
     graph = shards.groupBy("shard").applyInArrow(_graph, "nid long, next array<long>")
     united = graph.groupBy("nid").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))
     known = stored(united.join(shards.where("rank = 0").select("nid", F.col("shard").alias("home")), "nid").join(classes.select("nid", "copies"), "nid"), "graph")
-    members = shards.select("shard", "nid", "v", "rank").join(known, "nid")
-    border = (members.where("rank = 0").select("shard", F.explode("next").alias("nid")).distinct()
-              .join(shards.select("shard", "nid"), ["shard", "nid"], "left_anti").join(classes.select("nid", "v"), "nid").join(known.drop("next"), "nid")
-              .select("nid", "shard", "v", F.lit(-1).alias("rank"), F.array().cast("array<long>").alias("next"), "home", "copies"))
-    nodes = stored(members.select("shard", "nid", "v", "rank", "next", "home", "copies").unionByName(border), "nodes")
+    members = shards.select("shard", "nid", "v", "norm", "rank").join(known, "nid")
+    pairs = (known.select(F.col("home").alias("shard"), F.explode("next").alias("nid")).distinct()
+             .join(shards.select("shard", "nid"), ["shard", "nid"], "left_anti"))
+    border = (bordering(pairs, shards, classes, threshold).join(classes.select("nid", "v", "norm"), "nid").join(known.drop("next"), "nid")
+              .select("nid", "shard", "v", "norm", F.lit(-1).alias("rank"), F.array().cast("array<long>").alias("next"), "home", "copies"))
+    nodes = stored(members.select("shard", "nid", "v", "norm", "rank", "next", "home", "copies").unionByName(border), "nodes")
     visits = known.select("nid", F.col("home").alias("shard"), F.array().cast("array<long>").alias("starts"), F.array("home").alias("known"))
     done, counted, joined = None, None, None
     while True:
-        sizes = visits.groupBy("shard").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("blocks"))
-        asked = (visits.join(sizes, "shard").join(classes.select("nid", "v"), "nid")
-                 .select("shard", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int").alias("block"), "nid", "v", "starts", "known"))
+        # a row for each shard: broadcast, so that nodes and visits are dealt once, by shard and block
+        sizes = F.broadcast(visits.groupBy("shard").agg(F.ceil(F.count("*") / VISITS).cast("int").alias("blocks")))
+        asked = (visits.join(sizes, "shard").join(classes.select("nid", "v", "norm"), "nid")
+                 .select("shard", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int").alias("block"), "nid", "v", "norm", "starts", "known"))
         dealt = nodes.join(sizes, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
         found = dealt.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(lambda left, right: _search(left, right, threshold), FOUND)
         found = stored(found, "found")
