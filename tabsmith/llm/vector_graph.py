@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tabsmith.llm import common
 from tabsmith.llm.common import connected_components, is_empty
+from tabsmith.session import shuffle_files_removed
 
 #: Vectors of a shard; vectors that a shard's centres are fitted on; centres of a level at most; shards
 #: that a vector is in at each level.
@@ -33,19 +34,10 @@ SLACK = 0.04
 VISITS, STARTS = 4096, 8
 
 
-#: Spark's switch for removing a query's shuffle files when it has ended, else they stay until the driver collects garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``common.stored``; what was shuffled for the table goes as soon as it's written."""
-    conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, "false")
-    conf.set(CLEANUP, "true")
-    try:
+    with shuffle_files_removed(df.sparkSession):
         return common.stored(df, name)
-    finally:
-        conf.set(CLEANUP, before)
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:

@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from tabsmith.functions.columns import q, row_hash
 from tabsmith.functions.stats import column_quantiles
-from tabsmith.functions.ranking import hash_rank
+from tabsmith.functions.ranking import first_by_digest, hash_rank
 from tabsmith.operators import metrics as M
 from tabsmith.operators.models import build_estimator
 from tabsmith.operators.steps import scale_params
+from tabsmith.session import stored
 
 
 def loo_press(df: DataFrame, features: Sequence[str], label: str, alpha: float = 0.0) -> DataFrame:
@@ -87,30 +88,29 @@ def learning_curve(data: DataFrame, model: str, task: str, hyper: dict | None =
                    key: Sequence[str] | None = None, min_size: int = 5) -> DataFrame:
     """Nested training subsets (by digest order) of each training fold at the given
     fractions; mean train and validation score per size (RMSE for regression, accuracy for
-    classification). Sizes are fractions of the training fold."""
+    classification). Sizes are fractions of the training fold.
+
+    Rows are ranked once, for the folds, with digests of 16 bytes, and stored: fits and scores read the table by columns,
+    no executor caches rows. A subset is what lies below a digest (``first_by_digest``)."""
     spark = data.sparkSession
     k = key or [c for c in data.columns if c != "features"]
-    # only the columns that fits and scores read are dealt
-    keyed = data.select("features", "label", row_hash(k, seed).alias("__h"), row_hash(k, seed + 1).alias("__h2"))
-    keyed = hash_rank(keyed, "__h", out="__rn").withColumn("__fold", ((F.col("__rn") - 1) % folds).cast("int")).drop("__h", "__rn")
-    # every fit and score below reads this frame: persist it once (recomputed from lineage if
-    # an executor holding blocks is lost)
-    keyed = keyed.persist(StorageLevel.MEMORY_AND_DISK)
-    parts = {f: keyed.where(F.col("__fold") != f).drop("__fold") for f in range(folds)}
-    ranked = {f: hash_rank(parts[f], "__h2", out="__r2").drop("__h2").persist(StorageLevel.MEMORY_AND_DISK)
-              for f in range(folds)}
+    # only the columns that fits and scores read are dealt; the first two bytes are the bucket
+    keyed = data.select("features", "label", F.unhex(row_hash(k, seed)).alias("__h"), F.unhex(row_hash(k, seed + 1)).alias("__h2"))
+    keyed = hash_rank(keyed, "__h", out="__rn", hex_digits=2).withColumn("__fold", ((F.col("__rn") - 1) % folds).cast("int")).drop("__h", "__rn")
+    keyed = stored(keyed, "learning-curve")
+    parts = {f: keyed.where(F.col("__fold") != f).select("features", "label", F.lower(F.hex("__h2")).alias("__h2")) for f in range(folds)}
     sized = {r["__fold"]: r["count"] for r in keyed.groupBy("__fold").count().collect()}
     counts = {f: sum(sized.values()) - sized.get(f, 0) for f in range(folds)}
     sizes_of = {f: [min(counts[f], max(min_size, int(counts[f] * frac))) for frac in fractions] for f in range(folds)}
-    spreads = {f: ranked[f].agg(*[F.stddev_pop(F.when(F.col("__r2") <= size, F.col("label"))) for size in sizes_of[f]]).first()
-               for f in range(folds)}
     out = []
     for i, frac in enumerate(fractions):
         tr_scores, va_scores, sizes = [], [], []
         for f in range(folds):
             size = sizes_of[f][i]
-            sub = ranked[f].where(F.col("__r2") <= size).select("features", "label")
-            m = build_estimator(model, task, hyper, n=size, y_std=spreads[f][i] or 1.0).fit(sub)
+            sub = parts[f] if size == counts[f] else first_by_digest(parts[f], "__h2", {None: size}, out="__in").where("__in")
+            sub = sub.select("features", "label")
+            spread = sub.agg(F.stddev_pop("label")).first()[0]
+            m = build_estimator(model, task, hyper, n=size, y_std=spread or 1.0).fit(sub)
             val = keyed.where(F.col("__fold") == f).select("features", "label")
             both = m.transform(sub.withColumn("__role", F.lit("train")).unionByName(val.withColumn("__role", F.lit("val"))))
             if task == "regression":
@@ -122,9 +122,6 @@ def learning_curve(data: DataFrame, model: str, task: str, hyper: dict | None =
             sizes.append(size)
         out.append((float(frac), int(round(np.mean(sizes))), round(float(np.mean(tr_scores)), 4),
                     round(float(np.mean(va_scores)), 4)))
-    for r in ranked.values():
-        r.unpersist()
-    keyed.unpersist()
     return spark.createDataFrame(out, "fraction double, train_size long, train_score double, val_score double")
 
 

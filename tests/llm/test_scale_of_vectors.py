@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabsmith.llm import vector_graph
+from tabsmith.session import CLEANUP
 
 
 @pytest.fixture
@@ -85,5 +86,5 @@ def test_shuffle_files_go_when_a_table_is_written(spark):
         if files() <= before:
             break
         time.sleep(0.1)
-    assert files() <= before and spark.conf.get(vector_graph.CLEANUP, "false") == "false"
+    assert files() <= before and spark.conf.get(CLEANUP, "false") == "false"
     assert table.count() == 7

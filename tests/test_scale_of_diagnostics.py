@@ -1,5 +1,8 @@
 """Diagnostics and scoring deal narrow rows, once."""
 
+import hashlib
+
+import numpy as np
 import pytest
 from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.regression import LinearRegression
@@ -37,6 +40,29 @@ def test_learning_curve_ranks_what_is_read(rows, ranked):
     assert all(cols <= {"features", "label", "__h", "__h2"} for cols, _ in ranked)
 
 
+def test_learning_curve_ranks_once_and_caches_nothing(rows, ranked, monkeypatch):
+    """Folds and nested subsets by digest order, against ridge by hand; fits and scores read a stored table."""
+    cached = []
+    monkeypatch.setattr(type(rows), "persist", lambda df, *a: cached.append(df) or df)
+    out = D.learning_curve(rows, "ridge", "regression", fractions=(0.3, 1.0), key=["id"]).collect()
+    assert not cached and len(ranked) == 1
+
+    def order(ids, seed):
+        return sorted(ids, key=lambda i: hashlib.md5(f"{i}~{seed}".encode()).hexdigest())
+
+    data = {r["id"]: (r["features"].toArray(), r["label"]) for r in rows.collect()}
+    fold = {i: n % 2 for n, i in enumerate(order(data, 42))}
+    for row, size in zip(out, (9, 30)):
+        scores = []
+        for f in range(2):
+            own = order([i for i in data if fold[i] != f], 43)[:size]
+            x, y = (np.array(v, dtype=float) for v in zip(*(data[i] for i in own)))
+            w = np.linalg.solve((x - x.mean(0)).T @ (x - x.mean(0)) + np.eye(2), (x - x.mean(0)).T @ (y - y.mean()))
+            error = {i: data[i][1] - y.mean() - (data[i][0] - x.mean(0)) @ w for i in data}
+            scores.append([np.sqrt(np.mean([error[i] ** 2 for i in ids])) for ids in (own, [i for i in data if fold[i] == f])])
+        assert (row["train_size"], row["train_score"], row["val_score"]) == (size, *(pytest.approx(v, abs=2e-4) for v in np.mean(scores, axis=0)))
+
+
 def test_rows_pass_once_through_all_models(rows):
     lr = {n: LinearRegression(labelCol="label", regParam=r, solver="normal").fit(rows) for n, r in (("p", 0.0), ("q", 2.0))}
     out = score_all(lr, rows, ["id"])
